@@ -156,16 +156,6 @@ def gather(data: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
     return data[start[:, None] + np.arange(length)[None, :]]
 
 
-def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Maximal intervals that cover the given ones, which are sorted by start; touching ones merge."""
-    if not len(start):
-        return start, end
-    reach = np.maximum.accumulate(end)
-    new = np.concatenate(([True], start[1:] > reach[:-1]))
-    last = np.concatenate((np.flatnonzero(new)[1:] - 1, [len(start) - 1]))
-    return start[new], reach[last]
-
-
 def covered(n: int, start: np.ndarray, length: int) -> np.ndarray:
     """Which of n positions lie in a window of ``length`` at one of the starts."""
     edge = np.zeros(n + 1, np.int32)
@@ -187,3 +177,13 @@ def all_words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> Words
         none = np.zeros(0, np.int64)
         return Words(none, none, np.zeros(1, np.int64), np.zeros(0, np.uint64))
     return Words(*(np.concatenate([getattr(p, f) for p in parts]) for f in ("start", "end")), np.concatenate([*(p.first for p in parts), [words]]), np.concatenate([p.hash for p in parts]))
+
+
+def row_intervals(offsets: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal intervals covered by windows at the sorted starts, never across rows: row, start, end."""
+    if not len(start):
+        return start, start, start
+    row = np.searchsorted(offsets, start, side="right") - 1
+    new = np.concatenate(([True], (start[1:] > start[:-1] + length) | (row[1:] != row[:-1])))
+    last = np.concatenate((np.flatnonzero(new)[1:] - 1, [len(start) - 1]))
+    return row[new], start[new], start[last] + length

@@ -53,7 +53,7 @@ def layout(docs: DataFrame, keys_per_byte: float, chunk_bytes: int = CHUNK_BYTES
     buckets = 1 << max(0, math.ceil(math.log2(max(1.0, n_bytes * keys_per_byte / bucket_keys, min(tasks, chunks)))))
     bounds: list[int] = []
     if chunks > 1:
-        shares = F.array(*[F.lit(i / chunks) for i in range(1, chunks)]) if chunks <= 64 else F.expr(f"transform(sequence(1, {chunks - 1}), i -> double(i) / {chunks})")
+        shares = [i / chunks for i in range(1, chunks)]
         bounds = docs.agg(F.percentile_approx("doc_id", shares, max(10_000, 8 * chunks)).alias("q")).first()["q"] or []
     return Layout(tuple(sorted(set(bounds))), buckets)
 

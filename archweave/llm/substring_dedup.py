@@ -97,18 +97,12 @@ def _finish(k: int):
         ids = table["doc_id"].fill_null(0).to_numpy()
         hit = _in_chunk(w, ids)
         hit |= ch.among(w.two, ch.answered_keys(told, None, "<u8"))
-        start, end = bt.merged(w.at[hit], w.at[hit] + k)
-        # Intervals of neighbouring rows may touch: cut them at the rows' first words.
-        row = np.searchsorted(w.words.first, start, side="right") - 1
+        row, start, end = bt.row_intervals(w.words.first, w.at[hit], k)
         out: dict[str, list] = {c: [] for c in ("n_removed", "n_intervals", "removed", "kept_text", "kept_sha256")}
         gone: list[list[tuple[int, int]]] = [[] for _ in range(table.num_rows)]
-        for r, s, e in zip(row.tolist(), start.tolist(), end.tolist(), strict=True):
-            while s < e:
-                while w.words.first[r + 1] <= s:
-                    r += 1
-                stop = min(e, int(w.words.first[r + 1]))
-                gone[r].append((s - int(w.words.first[r]), stop - s))
-                s = stop
+        base = w.words.first[row]
+        for r, first, n in zip(row.tolist(), (start - base).tolist(), (end - start).tolist(), strict=True):
+            gone[r].append((first, n))
         raw = data.tobytes()
         for r, cuts in enumerate(gone):
             words = raw[offsets[r] : offsets[r + 1]].split()
