@@ -33,6 +33,8 @@ from archweave.llm.suffix_sort import Suffixes
 from archweave.ship import ship_package
 
 LENGTH = 50
+#: Records whose suffixes are sorted at once.
+_SORTED = 1 << 13
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start: long, n_bytes: long>>, kept binary, kept_sha256 string"
 _SPAN = pa.list_(pa.struct([("start", pa.int64()), ("n_bytes", pa.int64())]))
 
@@ -48,14 +50,12 @@ class _Runs:
     start: np.ndarray
     count: np.ndarray
     anchor: np.ndarray
-    grams: np.ndarray  # hash of the gram at each byte of the chunk
 
 
 def _runs(table: pa.Table, data: np.ndarray, offsets: np.ndarray, length: int) -> _Runs:
     gram = _gram(length)
     many = length - gram + 1
     skip = table["doc_id"].is_null().to_numpy(zero_copy_only=False)
-    grams = np.zeros(len(data), np.uint64)
     parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for row, stop in bt.blocks(offsets):
         base = int(offsets[row])
@@ -63,7 +63,6 @@ def _runs(table: pa.Table, data: np.ndarray, offsets: np.ndarray, length: int) -
         if len(block) < length:
             continue
         hashes = bt.mix(bt.roll(block.astype(np.uint64) + np.uint64(1), gram, bt.ROLL_A))
-        grams[base : base + len(hashes)] = hashes
         least = (hashes >> np.uint64(32) << np.uint64(32)) | np.arange(len(hashes), dtype=np.uint64)
         wide = 1
         while wide * 2 <= many:
@@ -84,8 +83,8 @@ def _runs(table: pa.Table, data: np.ndarray, offsets: np.ndarray, length: int) -
         parts.append((at[first] + base, np.diff(np.append(first, len(at))), hashes[anchor[first]]))
     if not parts:
         none = np.zeros(0, np.int64)
-        return _Runs(none, none, np.zeros(0, np.uint64), grams)
-    return _Runs(*(np.concatenate(x) for x in zip(*parts, strict=True)), grams)
+        return _Runs(none, none, np.zeros(0, np.uint64))
+    return _Runs(*(np.concatenate(x) for x in zip(*parts, strict=True)))
 
 
 def _first_message(length: int, plan: ch.Layout):
@@ -146,18 +145,25 @@ def _sort_suffixes(length: int):
         np.minimum.at(least, inverse, chunk)
         # A record whose anchor has no other record shares windows with its own copies only.
         key = keys[first]
-        _, of, times = np.unique(key, return_inverse=True, return_counts=True)
-        several = np.flatnonzero(times[of.ravel()] > 1)
+        order = np.argsort(key, kind="stable")
+        begin = np.flatnonzero(np.concatenate(([True], key[order][1:] != key[order][:-1])))
+        size = np.diff(np.append(begin, len(order)))
         earliest = np.repeat(least[:, None], most, axis=1)
-        if len(several):
-            records = rows[first[several]]
+        several = order[np.repeat(size > 1, size)]
+        # Anchors don't share windows: sort the suffixes of some thousand records at a time.
+        cuts = np.concatenate(([0], np.cumsum(size[size > 1])))
+        done = 0
+        while done < len(several):
+            stop = int(cuts[max(np.searchsorted(cuts, done + _SORTED, side="right") - 1, np.searchsorted(cuts, done) + 1)])
+            some = several[done:stop]
+            records = rows[first[some]]
             count = records[:, 0].astype(np.int64)
-            record = np.repeat(np.arange(len(several)), count)
+            record = np.repeat(np.arange(len(some)), count)
             offset = np.arange(len(record)) - np.repeat(np.cumsum(count) - count, count)
-            order, number = Suffixes(np.ascontiguousarray(records[:, 1:]), length).classes(record, offset)
-            begin = np.flatnonzero(np.diff(number, prepend=-1))
-            lowest = np.minimum.reduceat(least[several][record[order]], begin)
-            earliest[several[record[order]], offset[order]] = lowest[number]
+            place, number = Suffixes(np.ascontiguousarray(records[:, 1:]), length).classes(record, offset)
+            lowest = np.minimum.reduceat(least[some][record[place]], np.flatnonzero(np.diff(number, prepend=-1)))
+            earliest[some[record[place]], offset[place]] = lowest[number]
+            done = stop
         seen = (earliest[inverse] < chunk[:, None]) & (np.arange(most) < rows[:, :1])
         mask = (seen.astype(np.uint64) << np.arange(most, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
         return ch.answers(bucket, chunk, (mask << np.uint64(32)) | keys, np.dtype("<u8"))
@@ -165,16 +171,26 @@ def _sort_suffixes(length: int):
     return f
 
 
+def _hash_windows(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """64 bits of each window's bytes, eight bytes a step; a slice at a time."""
+    lanes = -(-length // 8)
+    out = np.zeros(len(at), np.uint64)
+    for i in range(0, len(at), 1 << 16):
+        part = at[i : i + (1 << 16)]
+        rows = np.zeros((len(part), lanes * 8), np.uint8)
+        rows[:, :length] = bt.gather(data, part, length)
+        for lane in rows.view("<u8").T:
+            out[i : i + len(part)] = bt.mix(out[i : i + len(part)] * bt.ROLL_B + lane)
+    return out
+
+
 def _in_chunk(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, runs: _Runs, length: int) -> np.ndarray:
     """Starts of windows that a document with a smaller doc_id in the chunk has too; rows are in order of doc_id."""
     _, of, times = np.unique(runs.anchor, return_inverse=True, return_counts=True)
     hit = np.flatnonzero(times[of.ravel()] > 1) if len(runs.anchor) else np.zeros(0, np.int64)
     count = runs.count[hit]
     at = np.repeat(runs.start[hit], count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-    gram = _gram(length)
-    hashes = bt.mix(runs.grams[at] * bt.ROLL_B + runs.grams[at + length - gram])
-    if length > 2 * gram:
-        hashes ^= data[at + gram]
+    hashes = _hash_windows(data, at, length)
     order, leader = ch.groups(hashes)
     later = np.flatnonzero(leader != np.arange(len(order)))
     here, first = at[order[later]], at[order[leader[later]]]
