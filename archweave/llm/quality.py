@@ -99,7 +99,9 @@ def bucket_floor(number: Column) -> Column:
 def sketches(measured: DataFrame) -> DataFrame:
     """(lang, source, metric, bucket, n) over documents that pass the base rules."""
     each = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), bucket(_ratio(m)).alias("bucket")) for m in METRICS]))
-    return measured.where(~F.col("base_failed")).select("lang", "source", each.alias("s")).groupBy("lang", "source", "s.metric", "s.bucket").agg(F.count("*").alias("n"))
+    # No filter below the aggregation: it would be pushed to the scan, and with it a second copy of all features.
+    counted = measured.select("lang", "source", "base_failed", each.alias("s")).groupBy("lang", "source", "s.metric", "s.bucket")
+    return counted.agg(F.count_if(~F.col("base_failed")).alias("n")).where("n > 0")
 
 
 def _quartiles(sketch: DataFrame, *keys: str) -> DataFrame:
@@ -137,13 +139,14 @@ def thresholds(sketch: DataFrame) -> DataFrame:
 def _kept(limits: DataFrame, measured: DataFrame) -> DataFrame:
     """``measured`` with ``kept``: joined to its group's limits."""
     limits = limits.withColumnsRenamed({"lang": "limit_lang", "source": "limit_source"})
-    passes = ~F.col("base_failed")
+    # One expression over both sides of the join, so that no part of it is pushed below and computed twice.
+    fails = F.when(F.col("base_failed"), True)
     for m, (_, _, _, _, low) in METRICS.items():
-        passes &= F.coalesce(_ratio(m) <= F.col(f"{m}_most"), F.lit(True))
+        fails = fails.when(_ratio(m) > F.col(f"{m}_most"), True)
         if low:
-            passes &= F.coalesce(_ratio(m) >= F.col(f"{m}_least"), F.lit(True))
+            fails = fails.when(_ratio(m) < F.col(f"{m}_least"), True)
     joined = measured.join(limits, F.col("lang").eqNullSafe(F.col("limit_lang")) & F.col("source").eqNullSafe(F.col("limit_source")), "left")
-    return joined.withColumn("kept", passes)
+    return joined.withColumn("kept", ~fails.otherwise(False))
 
 
 def _measured(docs: DataFrame) -> DataFrame:

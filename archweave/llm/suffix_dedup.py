@@ -33,8 +33,8 @@ from archweave.llm.suffix_sort import Suffixes
 from archweave.ship import ship_package
 
 LENGTH = 50
-#: Records whose suffixes are sorted at once.
-_SORTED = 1 << 13
+#: Records whose suffixes are sorted at once, and anchors that a bucket should hold.
+_SORTED, _BUCKET = 1 << 13, 500_000
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start: long, n_bytes: long>>, kept binary, kept_sha256 string"
 _SPAN = pa.list_(pa.struct([("start", pa.int64()), ("n_bytes", pa.int64())]))
 
@@ -105,8 +105,8 @@ def _records(data: np.ndarray, runs: _Runs, hit: np.ndarray, length: int) -> tup
     start, count = runs.start[hit], runs.count[hit]
     rows = np.zeros((len(hit), width + 1), np.uint8)
     rows[:, 0] = count
-    for at in range(0, len(hit), 1 << 16):
-        here = slice(at, at + (1 << 16))
+    for at in range(0, len(hit), 1 << 14):
+        here = slice(at, at + (1 << 14))
         column = np.arange(width)
         index = np.minimum(start[here, None] + column, len(data) - 1)
         rows[here, 1:] = np.where(column < (count[here] + length - 1)[:, None], data[index], 0)
@@ -164,8 +164,10 @@ def _sort_suffixes(length: int):
             lowest = np.minimum.reduceat(least[some][record[place]], np.flatnonzero(np.diff(number, prepend=-1)))
             earliest[some[record[place]], offset[place]] = lowest[number]
             done = stop
-        seen = (earliest[inverse] < chunk[:, None]) & (np.arange(most) < rows[:, :1])
-        mask = (seen.astype(np.uint64) << np.arange(most, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+        mask = np.zeros(len(rows), np.uint64)
+        for i in range(most):
+            seen = (earliest[:, i][inverse] < chunk) & (i < rows[:, 0])
+            mask |= seen.astype(np.uint64) << np.uint64(i)
         return ch.answers(bucket, chunk, (mask << np.uint64(32)) | keys, np.dtype("<u8"))
 
     return f
@@ -255,7 +257,7 @@ def remove_repeated_strings(docs: DataFrame, length: int = LENGTH, plan: ch.Layo
     if not 4 <= length <= 62:
         raise ValueError("length: 4 to 62 bytes, so that a run's windows fit the answer's bits")
     ship_package(docs.sparkSession)
-    plan = plan or ch.layout(docs, keys_per_byte=2 / (length - _gram(length) + 2))
+    plan = plan or ch.layout(docs, keys_per_byte=2 / (length - _gram(length) + 2), bucket_keys=_BUCKET)
     texts = ch.dealt(docs, plan)
     maybe = ch.compare(ch.send(texts, _first_message(length, plan)), ch.shared_keys("<u4", earlier=False))
     surely = ch.compare(ch.receive(texts, maybe, _second_message(length, plan), ch.MESSAGE), _sort_suffixes(length))
