@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from archweave.llm import decontaminate, simhash, substring_dedup, suffix_dedup
+from archweave.llm import decontaminate, mixing, quality, simhash, substring_dedup, suffix_dedup, token_counts, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,22 +26,44 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_report(_table(spark, sf_dir, "documents")).select("doc_id", *quality.FEATURES, "base_failed", "kept")
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return substring_dedup.remove_repeated_windows(docs).select("doc_id", "n_words", "n_removed", "n_intervals", "kept_sha256")
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str, tokenizer: str | None = None, limit: int = 1024) -> DataFrame:
+    if tokenizer is None:
+        import public_tokenizers
+
+        tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    counted = token_counts.token_counts(_table(spark, sf_dir, "documents"), tokenizer)
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return suffix_dedup.remove_repeated_strings(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.write_warc(warc.records(_table(spark, sf_dir, "pages")))
+    return warc.record_table(warc.read_warc(archives, payloads=False))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op3_substring_dedup, op8_suffix_dedup, op10_simhash)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_quality, op3_substring_dedup, op4_token_counts, op7_mixing, op8_suffix_dedup, op9_warc, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
