@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from archweave.llm import decontaminate, mixing, quality, simhash, substring_dedup, suffix_dedup, token_counts, warc
+from archweave.llm import decontaminate, line_dedup, lm_scores, mixing, quality, simhash, substring_dedup, suffix_dedup, token_counts, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +44,16 @@ def op4_token_counts(spark: SparkSession, sf_dir: str, tokenizer: str | None = N
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
+def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm_scores.stupid_backoff(_table(spark, sf_dir, "documents"))
+    return scored.select("doc_id", "n_words", "n_backoff", F.round("score", 4).alias("score"))
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.remove_repeated_runs(_table(spark, sf_dir, "documents"))
+    return kept.select("doc.doc_id", "n_lines", "n_removed", "n_runs", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -63,7 +73,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_quality, op3_substring_dedup, op4_token_counts, op7_mixing, op8_suffix_dedup, op9_warc, op10_simhash)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_quality, op3_substring_dedup, op4_token_counts, op5_lm_scores, op6_line_dedup, op7_mixing, op8_suffix_dedup, op9_warc, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
