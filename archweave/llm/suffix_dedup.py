@@ -80,7 +80,8 @@ def _runs(table: pa.Table, data: np.ndarray, offsets: np.ndarray, length: int) -
             continue
         anchor = (least[at] & np.uint64(0xFFFFFFFF)).astype(np.int64)
         first = np.flatnonzero(np.diff(anchor, prepend=-1))
-        parts.append((at[first] + base, np.diff(np.append(first, len(at))), hashes[anchor[first]]))
+        # Anchors have small hashes; mixed again, they spread over all buckets.
+        parts.append((at[first] + base, np.diff(np.append(first, len(at))), bt.mix(hashes[anchor[first]])))
     if not parts:
         none = np.zeros(0, np.int64)
         return _Runs(none, none, np.zeros(0, np.uint64))
