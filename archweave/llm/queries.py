@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from archweave.llm import decontaminate, line_dedup, lm_scores, mixing, quality, simhash, substring_dedup, suffix_dedup, token_counts, warc
+from archweave.llm import decontaminate, line_dedup, lm_scores, mixing, oracle, quality, simhash, substring_dedup, suffix_dedup, token_counts, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,4 +77,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.oracle_sql()
