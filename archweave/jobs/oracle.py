@@ -144,5 +144,38 @@ _ORACLE = {
 }
 
 
+_COVERED = """l(layer) AS (VALUES ('DomainModel'), ('ApplicationOrchestration'), ('PersistenceAdapters'), ('PresentationAdapters'), ('Features'), ('Kernel'), ('ReportingReadModels')),
+ r AS (SELECT repo, count(*) AS total, count(layer) AS c FROM seen GROUP BY repo),
+ coverage AS (SELECT r.repo, l.layer, count(x.path) AS n_files, r.total, CAST(floor(100.0 * r.c / r.total + 0.5) AS BIGINT) AS percent
+  FROM r CROSS JOIN l LEFT JOIN seen x ON x.repo = r.repo AND x.layer = l.layer GROUP BY r.repo, l.layer, r.total, r.c)"""
+_ALL = f"seen AS (SELECT * FROM classified), {_COVERED}"
+_ORACLE |= {
+    "governance_weight": f"""{CLASSIFIED}, {_ALL}, g AS (SELECT repo, CAST(sum(n_files) AS BIGINT) AS n_governed, count(*) FILTER (n_files > 0) AS n_populated FROM coverage GROUP BY repo)
+ SELECT *, floor(n_governed / 7 * 10 + 0.5) / 10 AS files_per_layer, CAST(1.0 AS DOUBLE) AS rules_per_layer, CASE WHEN n_governed = 0 THEN 'unknown' WHEN n_governed / 7 < 25 THEN 'heavy' ELSE 'typical' END AS weight FROM g""",
+    "coverage_honesty": f"""{CLASSIFIED}, {_ALL} SELECT DISTINCT repo, total, percent, CASE WHEN percent < 50 THEN 'weak' WHEN percent < 80 THEN 'partial' ELSE 'strong' END AS status FROM coverage""",
+    "operating_mode": f"""{VIOLATIONS}, {_ALL}, b AS (SELECT DISTINCT repo FROM violations WHERE blocking),
+ p AS (SELECT repo, max(total) AS total, max(percent) AS percent, sum(n_files) FILTER (layer IN ('DomainModel', 'PersistenceAdapters')) AS core, sum(n_files) FILTER (layer = 'PresentationAdapters') AS shown FROM coverage GROUP BY repo)
+ SELECT p.repo, CASE WHEN percent >= 50 AND b.repo IS NULL AND NOT (core = 0 AND shown >= 0.5 * total) THEN 'enforce' ELSE 'adapt' END AS mode FROM p LEFT JOIN b ON b.repo = p.repo""",
+    "contract_warnings": f"""{CLASSIFIED}, seen AS (SELECT * FROM classified WHERE layer <> 'Kernel' OR ordinal % 2 = 1), {_COVERED}
+ SELECT repo, layer, 'pattern-without-match' AS warning FROM coverage WHERE n_files = 0 AND layer <> 'ReportingReadModels'""",
+    "dead_rules": f"""{CLASSIFIED}, seen AS (SELECT * FROM classified WHERE layer <> 'PersistenceAdapters' OR ordinal % 2 = 1), {_COVERED},
+ e(edge, a, b) AS (VALUES ('DomainModel->ApplicationOrchestration', 'DomainModel', 'ApplicationOrchestration'), ('DomainModel->PersistenceAdapters', 'DomainModel', 'PersistenceAdapters'), ('DomainModel->PresentationAdapters', 'DomainModel', 'PresentationAdapters'),
+  ('ApplicationOrchestration->PresentationAdapters', 'ApplicationOrchestration', 'PresentationAdapters'), ('PresentationAdapters->PersistenceAdapters', 'PresentationAdapters', 'PersistenceAdapters'))
+ SELECT DISTINCT repo, edge, 'empty' AS reason FROM e JOIN coverage c ON c.layer IN (a, b) WHERE n_files = 0
+ UNION ALL SELECT repo, unnest(['Features->Features', 'Kernel->Kernel']), 'self' FROM r""",
+    "physical_cohesion": f"""{with_views('code_files')}, f AS (SELECT CASE WHEN ordinal % 5 = 0 THEN 'order' ELSE 'user' END || lang AS concept, regexp_replace(path, '/[^/]*$', '') AS anchor, count(*) AS n FROM code_files GROUP BY ALL)
+ SELECT concept, CAST(sum(n) AS BIGINT) AS n_files, count(*) FILTER (n >= 5) AS n_anchors, max(n) AS largest FROM f GROUP BY concept HAVING max(n) >= 40 OR count(*) FILTER (n >= 5) >= 2""",
+    "verify_ledger": f"""{EVENTS}, n AS (SELECT correlation_id AS ledger, event_id, row_number() OVER (PARTITION BY correlation_id ORDER BY event_id) AS k FROM domain_events),
+ s AS (SELECT ledger, event_id, k + CASE WHEN event_id % 97 = 0 THEN 1 ELSE 0 END AS sequence FROM n),
+ o AS (SELECT *, row_number() OVER (PARTITION BY ledger ORDER BY sequence) AS place FROM s)
+ SELECT ledger, sequence, CASE WHEN sequence <> place THEN 'sequence' ELSE 'chain' END AS failure FROM o WHERE sequence <> place OR event_id % 50 = 3""",
+    "bench_budgets": f"""{CELLS}, m AS (SELECT arm AS scenario, quantile_disc(restricted_ms, 0.5) AS p50, quantile_disc(restricted_ms, 0.95) AS p95 FROM experiment_cells GROUP BY arm)
+ SELECT scenario, 'p50' AS p, p50 AS value, CAST(100 AS BIGINT) AS ceiling FROM m WHERE scenario = 'control' AND p50 > 100 UNION ALL SELECT scenario, 'p95', p95, CAST(100 AS BIGINT) FROM m WHERE scenario = 'treatment' AND p95 > 100""",
+    "slice_ids": f"{with_views('code_files')} SELECT repo, path, nullif(regexp_extract(path, '^src/((features|adapters)/[^/]+)', 1), '') AS slice FROM code_files",
+    "normalized_paths": f"{with_views('code_files')} SELECT repo, ordinal, path FROM code_files",
+    "path_hashes": f"{with_views('code_files')} SELECT repo, path, {_FNV.replace('string_split(key', 'string_split(path')} AS hash FROM code_files",
+}
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(_ORACLE)

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from archweave.contract import DEFAULT_PREFIXES, FLEET, Contract, Layer
 from archweave.derive import facts
-from archweave.functions.names import intent_layer, intent_problem
-from archweave.operators import changes, events, experiments, graph, layers, ratchet
+from archweave.functions.names import intent_layer, intent_problem, stable_hash
+from archweave.functions.paths import normalize_path, slice_id
+from archweave.operators import changes, events, experiments, graph, layers, ratchet, reports
 
 Query = Callable[[SparkSession, str], DataFrame]
 _found: dict[str, Query] = {}
@@ -304,5 +305,74 @@ def paired_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
     return experiments.paired_bootstrap(experiments.pair_arms(facts(spark, sf, "experiment_cells")))
 
 
+def _coverage(spark: SparkSession, sf: str) -> DataFrame:
+    return layers.coverage(_classified(spark, sf), FLEET)
+
+
+@_query
+def governance_weight(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.governance_weight(_coverage(spark, sf), FLEET)
+
+
+@_query
+def coverage_honesty(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.coverage_honesty(_coverage(spark, sf))
+
+
+@_query
+def operating_mode(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.operating_mode(_coverage(spark, sf), layers.verdict(_repos(spark, sf), _violations(spark, sf)))
+
+
+@_query
+def contract_warnings(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.contract_warnings(layers.coverage(_classified(spark, sf).where("layer <> 'Kernel' or ordinal % 2 = 1"), FLEET), FLEET)
+
+
+@_query
+def dead_rules(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.dead_rules(layers.coverage(_classified(spark, sf).where("layer <> 'PersistenceAdapters' or ordinal % 2 = 1"), FLEET), FLEET)
+
+
+@_query
+def physical_cohesion(spark: SparkSession, sf: str) -> DataFrame:
+    files = facts(spark, sf, "code_files").select(F.concat("path", F.lit("/"), F.expr("CASE WHEN ordinal % 5 = 0 THEN 'Order' ELSE 'user' END"), "lang", F.lit(".ts")).alias("path"))
+    return reports.physical_cohesion(files.select(F.regexp_replace("path", r"/f[0-9]+[^/]*/", "/").alias("path")), 40, 5)
+
+
+@_query
+def verify_ledger(spark: SparkSession, sf: str) -> DataFrame:
+    rows = facts(spark, sf, "domain_events").select(F.col("correlation_id").alias("ledger"), "event_id")
+    from pyspark.sql import Window as W
+
+    w = W.partitionBy("ledger").orderBy("event_id")
+    digest = F.sha2(F.col("event_id").cast("string"), 256)
+    entries = rows.select("ledger", (F.row_number().over(w) + F.when(F.col("event_id") % 97 == 0, 1).otherwise(0)).cast("long").alias("sequence"), F.when(F.col("event_id") % 50 == 3, "broken").otherwise(F.coalesce(F.lag(digest).over(w), F.lit("0" * 64))).alias("previous_hash"), digest.alias("entry_hash"))
+    return reports.verify_ledger(entries)
+
+
+@_query
+def bench_budgets(spark: SparkSession, sf: str) -> DataFrame:
+    measured = ratchet.nearest_rank_percentile(facts(spark, sf, "experiment_cells").withColumnRenamed("arm", "scenario"), "scenario", "restricted_ms", [50, 95])
+    budgets = spark.createDataFrame([("control", "p50", 100), ("control", "p95", 10**9), ("treatment", "p95", 100)], "scenario string, p string, ceiling long")
+    return reports.bench_budgets(measured, budgets)
+
+
+@_query
+def slice_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return facts(spark, sf, "code_files").select("repo", "path", slice_id(F.col("path"), ("features", "adapters")).alias("slice"))
+
+
+@_query
+def normalized_paths(spark: SparkSession, sf: str) -> DataFrame:
+    odd = F.concat(F.lit("./"), F.col("lang"), F.lit("//../"), F.replace("path", F.lit("/"), F.lit("\\")))
+    return facts(spark, sf, "code_files").select("repo", "ordinal", normalize_path(odd).alias("path"))
+
+
+@_query
+def path_hashes(spark: SparkSession, sf: str) -> DataFrame:
+    return facts(spark, sf, "code_files").select("repo", "path", stable_hash(F.col("path")).alias("hash"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_found)
