@@ -177,5 +177,16 @@ _ORACLE |= {
 }
 
 
+CYCLES = f"""{CLASSIFIED.replace('WITH ', 'WITH RECURSIVE ', 1)}, g AS (SELECT DISTINCT repo, from_path, to_path FROM dependencies WHERE NOT type_only AND from_path <> to_path AND (from_ordinal < to_ordinal OR repo IN ('src1', 'src7'))),
+ reach AS (SELECT repo, from_path AS a, to_path AS b FROM g UNION SELECT r.repo, r.a, g.to_path FROM reach r JOIN g ON g.repo = r.repo AND g.from_path = r.b),
+ mutual AS (SELECT x.repo, x.a, x.b FROM reach x JOIN reach y ON y.repo = x.repo AND y.a = x.b AND y.b = x.a),
+ member AS (SELECT repo, a, min(b) AS anchor FROM mutual GROUP BY repo, a),
+ cycles AS (SELECT repo, anchor, count(*) AS n_members, string_agg(a, ',' ORDER BY a) AS members FROM member GROUP BY repo, anchor HAVING count(*) > 1)"""
+_ORACLE |= {
+    "find_cycles": f"{CYCLES} SELECT repo, anchor, n_members, members FROM cycles",
+    "apply_cycle_policy": f"{CYCLES} SELECT repo, 'CIRCULAR_DEPENDENCY' AS rule_id, anchor AS file, repo = 'src1' AS blocking FROM cycles WHERE repo IN ('src1', 'src7')",
+}
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(_ORACLE)
