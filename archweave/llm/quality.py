@@ -27,7 +27,7 @@ from archweave.lineage import cut
 
 #: ASCII white space, as characters and as a pattern.
 SPACE, SPACE_RE = " \t\n\x0b\f\r", r"[\x20\x09-\x0D]+"
-SYMBOLS = "#*$%&|<>"
+SYMBOLS_RE = "[#*$%&|<>]"
 MIN_WORDS, MOST_REPEATED = 50, 50
 MIN_GROUP, FENCE = 100, 3
 #: Ratios as integers (numerator times scale, by denominator), the least spread that counts, and whether low is bad too.
@@ -40,10 +40,6 @@ METRICS = {
 FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
-def _without(text: Column, characters: str) -> Column:
-    return F.translate(text, characters, "")
-
-
 def features(docs: DataFrame) -> DataFrame:
     """``docs`` with the columns of FEATURES, n_lines and base_failed put beside a struct column ``doc`` of all it had."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -53,12 +49,11 @@ def features(docs: DataFrame) -> DataFrame:
         "doc",
         F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE_RE)).alias("w"),
         F.filter(F.split("t", "\n"), lambda line: F.trim(line, F.lit(SPACE)) != "").alias("lines"),
-        F.length(_without(F.col("t"), SPACE)).cast("long").alias("word_chars"),
-        (F.length("t") - F.length(_without(F.col("t"), SYMBOLS))).cast("long").alias("n_symbols"),
+        F.regexp_count("t", F.lit(SYMBOLS_RE)).cast("long").alias("n_symbols"),
     )
     rows = rows.select(
         "doc",
-        "word_chars",
+        F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         "n_symbols",
         F.size("w").cast("long").alias("n_words"),
         F.size("lines").cast("long").alias("n_lines"),
