@@ -13,9 +13,12 @@ suffix begin later copies; these windows merge into maximal runs, since a longer
 Ranks count the suffixes before a class. They are running sums over classes, first by ranges of the second rank and
 then inside a range, so a line with a third of all occurrences doesn't put its classes in one task.
 
+Documents with one text (by MD5) are told apart from the rest first: only the earliest enters the array, the others are
+later copies from end to end, as the array would find in as many rounds as their lines have doublings.
+
 Defined results: null and empty texts have no lines; lines without a word are kept and don't part runs; documents
 without doc_id come last; rows of the same doc_id and text are one document, treated alike; rows of the same doc_id with
-other texts are in the order of a hash of the text; other columns are kept by ``deduplicated_documents``.
+other texts are in the order of the MD5 of the text; other columns are kept by ``deduplicated_documents``.
 """
 
 from __future__ import annotations
@@ -43,11 +46,11 @@ def _doc(doc_id: Column) -> Column:
 
 
 def _tag(text: Column) -> Column:
-    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+    return F.md5(F.coalesce(text.cast("string"), F.lit("")))
 
 
 def line_ids(docs: DataFrame) -> DataFrame:
-    """(d, g, s, h): document, hash of its text, place among its lines with a word, line ID."""
+    """(d, g, s, h): document, MD5 of its text, place among its lines with a word, line ID."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     lines = F.transform(F.filter(F.split(text, "\n"), lambda x: F.trim(x, F.lit(SPACE)) != ""), lambda x: F.xxhash64(x))
     return docs.select(_doc(F.col("doc_id")).alias("d"), _tag(F.col("text")).alias("g"), F.posexplode(lines).alias("s", "h")).distinct()
@@ -73,18 +76,19 @@ def suffix_classes(lines: DataFrame) -> Iterator[tuple[int, DataFrame]]:
     classes = lines.groupBy("h").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1")
     # IDs are hashes, so their upper bits part them evenly: one row a range meets in one task.
     classes = cut(_ranked(classes, [], "h", F.shiftright("h", 64 - _RANGES), F.lit(0)).select("h", "rank", "first"))
-    suffixes = cut(lines.join(classes, "h").select(*_PLACE, F.col("rank").alias("r"), (place > F.col("first")).alias("later")))
-    length = 1
-    while not suffixes.isEmpty():
-        yield length, suffixes
-        ahead = suffixes.select("d", "g", (F.col("s") - length).alias("s"), F.col("r").alias("r2"))
-        pairs = cut(suffixes.select(*_PLACE, "r").join(ahead, _PLACE))
+    suffixes = cut(lines.join(classes, "h").select(*_PLACE, F.col("rank").alias("r"), (place > F.col("first")).alias("later"), F.lit(1).alias("length")))
+    while True:
+        now = suffixes.agg(F.max("length").alias("length"), F.max("r").alias("top")).first()
+        if now["length"] is None:
+            return
+        yield now["length"], suffixes
+        # Lengths are a column, so that rounds share their compiled code.
+        ahead = suffixes.select("d", "g", (F.col("s") - F.col("length")).alias("s"), F.col("r").alias("r2"))
+        width = 1 << max(0, int(now["top"]).bit_length() - _RANGES)
+        pairs = cut(suffixes.select(*_PLACE, "r", (2 * F.col("length")).alias("length")).join(ahead, _PLACE))
         classes = pairs.groupBy("r", "r2").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1")
-        top = pairs.agg(F.max("r2")).first()[0] or 0
-        shift = max(0, int(top).bit_length() - _RANGES)
-        classes = cut(_ranked(classes, ["r"], "r2", F.shiftright("r2", shift), F.col("r")).select("r", "r2", "rank", "first"))
-        suffixes = cut(pairs.join(classes, ["r", "r2"]).select(*_PLACE, F.col("rank").alias("r"), (place > F.col("first")).alias("later")))
-        length *= 2
+        classes = cut(_ranked(classes, ["r"], "r2", F.floor(F.col("r2") / width), F.col("r")).select("r", "r2", "rank", "first"))
+        suffixes = cut(pairs.join(classes, ["r", "r2"]).select(*_PLACE, F.col("rank").alias("r"), (place > F.col("first")).alias("later"), "length"))
 
 
 def later_copies(lines: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
@@ -107,23 +111,27 @@ def later_copies(lines: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
 def _kept(min_lines: int):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {c: [] for c in ("n_lines", "n_removed", "n_runs", "kept_text")}
-            for text, starts in zip(batch.column("text").to_pylist(), batch.column("starts").to_pylist(), strict=True):
+            out: dict[str, list] = {c: [] for c in ("longest_match", "n_lines", "n_removed", "n_runs", "kept_text")}
+            for text, starts, is_copy, longest in zip(*(batch.column(c).to_pylist() for c in ("text", "starts", "is_copy", "longest")), strict=True):
+                lines = (text or "").split("\n")
+                words = [bool(line.strip(SPACE)) for line in lines]
+                n = sum(words)
                 gone: set[int] = set()
+                if is_copy and n >= min_lines:
+                    gone, longest = set(range(n)), 1 << (n.bit_length() - 1)
                 for s in starts or ():
                     gone.update(range(s, s + min_lines))
                 kept, seq = [], 0
-                for line in (text or "").split("\n"):
-                    has_word = bool(line.strip(SPACE))
+                for line, has_word in zip(lines, words, strict=True):
                     if not (has_word and seq in gone):
                         kept.append(line)
                     seq += has_word
-                out["n_lines"].append(seq)
+                out["longest_match"].append(longest or 0)
+                out["n_lines"].append(n)
                 out["n_removed"].append(len(gone))
                 out["n_runs"].append(sum(s - 1 not in gone for s in gone))
                 out["kept_text"].append("\n".join(kept) if gone else text)
-            columns = [pa.array(out[c], pa.int64()) for c in ("n_lines", "n_removed", "n_runs")]
-            yield pa.record_batch([*(batch.column(c) for c in batch.schema.names if c not in ("text", "starts")), *columns, pa.array(out["kept_text"], pa.string())], names=[*(c for c in batch.schema.names if c not in ("text", "starts")), *out])
+            yield pa.record_batch([batch.column("doc"), *(pa.array(v, pa.string() if c == "kept_text" else pa.int64()) for c, v in out.items())], names=["doc", *out])
 
     return f
 
@@ -132,15 +140,19 @@ def remove_repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFra
     """Per row of ``docs``: (doc, longest_match, n_lines, n_removed, n_runs, kept_text); doc is a struct of its columns.
 
     longest_match: the greatest length, of those doubled from 1, at which some run of the document is a later copy; 0
-    if none is.
+    if none of min_lines is.
     """
     ship_package(docs.sparkSession)
-    found = later_copies(line_ids(docs), min_lines)
     rows = docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("doc"), F.col("text").cast("string").alias("text"), _doc(F.col("doc_id")).alias("d"), _tag(F.col("text")).alias("g"))
-    joined = rows.join(found, ["d", "g"], "left").select("doc", "text", "starts", F.coalesce("longest", F.lit(0)).alias("longest_match"))
-    kept = joined.select("doc", "longest_match", "text", "starts")
-    schema = f"doc {rows.schema['doc'].dataType.simpleString()}, longest_match long, n_lines long, n_removed long, n_runs long, kept_text string"
-    return kept.mapInArrow(_kept(min_lines), schema)
+    known = cut(rows.select("d", "g").distinct())
+    firsts = known.groupBy("g").agg(F.min("d").alias("first"), F.count("*").alias("n"))
+    copied = cut(firsts.where("n > 1").select("g", "first"))
+    copies = known.join(copied, "g").where("d <> first").select("d", "g")
+    own = line_ids(docs).join(copies, ["d", "g"], "left_anti")
+    found = later_copies(own, min_lines).select("d", "g", "starts", "longest", F.lit(False).alias("is_copy"))
+    found = found.union(copies.select("d", "g", F.lit(None).cast("array<int>"), F.lit(None).cast("long"), F.lit(True)))
+    joined = rows.join(found, ["d", "g"], "left").select("doc", "text", "starts", "longest", F.coalesce("is_copy", F.lit(False)).alias("is_copy"))
+    return joined.mapInArrow(_kept(min_lines), f"doc {rows.schema['doc'].dataType.simpleString()}, longest_match long, n_lines long, n_removed long, n_runs long, kept_text string")
 
 
 def deduplicated_documents(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
