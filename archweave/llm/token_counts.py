@@ -84,10 +84,9 @@ def _splits(path: str, text: str) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(1, np.int64), np.zeros(1, np.int64)
     word = np.array([-1 if w is None else w for w in e.word_ids])
     first = np.flatnonzero((np.diff(word, prepend=-2) != 0) | (word == -1))
-    start = np.array([e.offsets[i][0] for i in first.tolist()])
-    # Offsets leave leading white space out of a token if the library trims them: move to the space that it begins with.
-    end = np.array([0, *(e.offsets[i - 1][1] for i in first.tolist() if i)])
-    start = np.minimum(start, np.maximum(end, 0))
+    offsets = np.array(e.offsets)  # the library makes the list anew each time it is asked for
+    # Offsets leave leading white space out of a token if the library trims them: begin where the token before ends.
+    start = np.minimum(offsets[first, 0], np.concatenate(([0], offsets[first[1:] - 1, 1])))
     return np.append(start, len(text)), np.append(first, len(e))
 
 
