@@ -2,7 +2,8 @@
 
 A document is the sequence of its lines that hold a word, each an ID (a 64-bit hash). A run of ``min_lines`` or more
 lines that also starts earlier, in the order of (doc_id, place in the document), is a later copy, and its lines are
-deleted. Runs are judged on the input; overlaps count; runs never cross documents.
+deleted. Runs are judged on the input; overlaps count; runs never cross documents. With ``long_words``, a line of that
+many words or more is a run of its own, whatever its neighbours are; words are parted by ASCII white space.
 
 Prefix doubling: suffixes are ranked by their first line, then by pairs of ranks (own, that of the suffix ``length``
 lines on) by twice as many lines, and so on. The suffixes of equal rank after a round are the intervals of the suffix
@@ -34,6 +35,8 @@ from archweave.lineage import cut
 from archweave.ship import ship_package
 
 MIN_LINES = 2
+#: Words from which the pipeline takes one line for a run: the window of operator 3.
+LONG_WORDS = 50
 SPACE = " \t\n\x0b\f\r"
 _NONE = (1 << 63) - 1
 #: Ranges of ranks that a class table is summed by.
@@ -49,11 +52,20 @@ def _tag(text: Column) -> Column:
     return F.md5(F.coalesce(text.cast("string"), F.lit("")))
 
 
-def line_ids(docs: DataFrame) -> DataFrame:
-    """(d, g, s, h): document, MD5 of its text, place among its lines with a word, line ID."""
+def _is_long(line: Column, long_words: int) -> Column:
+    """Whether a line has so many words; lines too short for that aren't split."""
+    return (F.length(line) >= 2 * long_words - 1) & (F.size(F.split(F.trim(line, F.lit(SPACE)), "[ \\t\\x0B\\f\\r]+")) >= long_words)
+
+
+def line_ids(docs: DataFrame, long_words: int | None = None) -> DataFrame:
+    """(d, g, s, h): document, MD5 of its text, place among its lines with a word, line ID; with long_words also long."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    lines = F.transform(F.filter(F.split(text, "\n"), lambda x: F.trim(x, F.lit(SPACE)) != ""), lambda x: F.xxhash64(x))
-    return docs.select(_doc(F.col("doc_id")).alias("d"), _tag(F.col("text")).alias("g"), F.posexplode(lines).alias("s", "h")).distinct()
+    lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x, F.lit(SPACE)) != "")
+    document = docs.select(_doc(F.col("doc_id")).alias("d"), _tag(F.col("text")).alias("g"), lines.alias("lines"))
+    if long_words is None:
+        return document.select("d", "g", F.posexplode(F.transform("lines", lambda x: F.xxhash64(x))).alias("s", "h")).distinct()
+    known = F.transform("lines", lambda x: F.struct(F.xxhash64(x).alias("h"), _is_long(x, long_words).alias("long")))
+    return document.select("d", "g", F.posexplode(known).alias("s", "x")).select("d", "g", "s", "x.h", "x.long").distinct()
 
 
 def _ranked(classes: DataFrame, within: list[str], by: str, ranges: Column, base: Column) -> DataFrame:
@@ -69,14 +81,16 @@ def _ranked(classes: DataFrame, within: list[str], by: str, ranges: Column, base
 def suffix_classes(lines: DataFrame) -> Iterator[tuple[int, DataFrame]]:
     """For each length 1, 2, 4, ...: (length, table (d, g, s, r, later)) of the suffixes whose first ``length`` lines recur.
 
-    r is the rank of the class, later whether an earlier suffix is in it. Ends when there is none.
+    r is the rank of the class, later whether an earlier suffix is in it; at length 1, further columns of ``lines`` are
+    there too. Ends when there is none.
     """
     lines = cut(lines)
+    further = [c for c in lines.columns if c not in (*_PLACE, "h")]
     place = F.struct(*_PLACE)
     classes = lines.groupBy("h").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1")
     # IDs are hashes, so their upper bits part them evenly: one row a range meets in one task.
     classes = cut(_ranked(classes, [], "h", F.shiftright("h", 64 - _RANGES), F.lit(0)).select("h", "rank", "first"))
-    suffixes = cut(lines.join(classes, "h").select(*_PLACE, F.col("rank").alias("r"), (place > F.col("first")).alias("later"), F.lit(1).alias("length")))
+    suffixes = cut(lines.join(classes, "h").select(*_PLACE, F.col("rank").alias("r"), (place > F.col("first")).alias("later"), F.lit(1).alias("length"), *further))
     while True:
         now = suffixes.agg(F.max("length").alias("length"), F.max("r").alias("top")).first()
         if now["length"] is None:
@@ -92,33 +106,41 @@ def suffix_classes(lines: DataFrame) -> Iterator[tuple[int, DataFrame]]:
 
 
 def later_copies(lines: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
-    """(d, g, starts, longest): where windows of later copies start, and the longest length doubling found from there.
+    """(d, g, starts, singles, longest): where windows of later copies start, and the longest length doubling found from there.
 
-    min_lines: a power of two.
+    singles: later copies of one line, of those that ``lines`` has as long. min_lines: a power of two.
     """
     if min_lines & (min_lines - 1):
         raise ValueError("min_lines: a power of two")
     found = None
     for length, suffixes in suffix_classes(lines):
+        if length < min_lines and "long" in suffixes.columns:
+            found = suffixes.where("later and long").select(*_PLACE, F.lit(length).cast("long").alias("length"))
         if length >= min_lines:
             own = suffixes.where("later").select(*_PLACE, F.lit(length).cast("long").alias("length"))
             found = own if found is None else found.union(own)
     if found is None:
         found = lines.select(*_PLACE, F.lit(0).cast("long").alias("length")).limit(0)
-    return found.groupBy("d", "g").agg(F.sort_array(F.collect_set(F.when(F.col("length") == min_lines, F.col("s")))).alias("starts"), F.max("length").alias("longest"))
+    at = {name: F.sort_array(F.collect_set(F.when(which, F.col("s")))).alias(name) for name, which in (("starts", F.col("length") == min_lines), ("singles", F.col("length") < min_lines))}
+    return found.groupBy("d", "g").agg(at["starts"], at["singles"], F.max("length").alias("longest"))
 
 
-def _kept(min_lines: int):
+def _kept(min_lines: int, long_words: int | None = None):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: dict[str, list] = {c: [] for c in ("longest_match", "n_lines", "n_removed", "n_runs", "kept_text")}
-            for text, starts, is_copy, longest in zip(*(batch.column(c).to_pylist() for c in ("text", "starts", "is_copy", "longest")), strict=True):
+            for text, starts, singles, is_copy, longest in zip(*(batch.column(c).to_pylist() for c in ("text", "starts", "singles", "is_copy", "longest")), strict=True):
                 lines = (text or "").split("\n")
                 words = [bool(line.strip(SPACE)) for line in lines]
                 n = sum(words)
                 gone: set[int] = set()
                 if is_copy and n >= min_lines:
                     gone, longest = set(range(n)), 1 << (n.bit_length() - 1)
+                elif is_copy and long_words is not None:
+                    of_words = [line for line, word in zip(lines, words, strict=True) if word]
+                    gone = {s for s, line in enumerate(of_words) if len(line.encode().split()) >= long_words}
+                    longest = int(bool(gone))
+                gone.update(singles or ())
                 for s in starts or ():
                     gone.update(range(s, s + min_lines))
                 kept, seq = [], 0
@@ -136,11 +158,11 @@ def _kept(min_lines: int):
     return f
 
 
-def remove_repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+def remove_repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES, long_words: int | None = None) -> DataFrame:
     """Per row of ``docs``: (doc, longest_match, n_lines, n_removed, n_runs, kept_text); doc is a struct of its columns.
 
     longest_match: the greatest length, of those doubled from 1, at which some run of the document is a later copy; 0
-    if none of min_lines is.
+    if none of min_lines is, and no long line.
     """
     ship_package(docs.sparkSession)
     rows = docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("doc"), F.col("text").cast("string").alias("text"), _doc(F.col("doc_id")).alias("d"), _tag(F.col("text")).alias("g"))
@@ -148,19 +170,19 @@ def remove_repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFra
     firsts = known.groupBy("g").agg(F.min("d").alias("first"), F.count("*").alias("n"))
     copied = cut(firsts.where("n > 1").select("g", "first"))
     copies = known.join(copied, "g").where("d <> first").select("d", "g")
-    own = line_ids(docs).join(copies, ["d", "g"], "left_anti")
-    found = later_copies(own, min_lines).select("d", "g", "starts", "longest", F.lit(False).alias("is_copy"))
-    found = found.union(copies.select("d", "g", F.lit(None).cast("array<int>"), F.lit(None).cast("long"), F.lit(True)))
-    joined = rows.join(found, ["d", "g"], "left").select("doc", "text", "starts", "longest", F.coalesce("is_copy", F.lit(False)).alias("is_copy"))
-    return joined.mapInArrow(_kept(min_lines), f"doc {rows.schema['doc'].dataType.simpleString()}, longest_match long, n_lines long, n_removed long, n_runs long, kept_text string")
+    own = line_ids(docs, long_words).join(copies, ["d", "g"], "left_anti")
+    found = later_copies(own, min_lines).select("d", "g", "starts", "singles", "longest", F.lit(False).alias("is_copy"))
+    found = found.union(copies.select("d", "g", F.lit(None).cast("array<int>"), F.lit(None).cast("array<int>"), F.lit(None).cast("long"), F.lit(True)))
+    joined = rows.join(found, ["d", "g"], "left").select("doc", "text", "starts", "singles", "longest", F.coalesce("is_copy", F.lit(False)).alias("is_copy"))
+    return joined.mapInArrow(_kept(min_lines, long_words), f"doc {rows.schema['doc'].dataType.simpleString()}, longest_match long, n_lines long, n_removed long, n_runs long, kept_text string")
 
 
-def deduplicated_documents(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+def deduplicated_documents(docs: DataFrame, min_lines: int = MIN_LINES, long_words: int | None = None) -> DataFrame:
     """``docs`` with later copies deleted from text, and n_chars (if there is one) of what is left.
 
     Documents of which no line with a word is left, though there was one, are dropped.
     """
-    kept = remove_repeated_runs(docs, min_lines).where((F.col("n_lines") == 0) | (F.col("n_removed") < F.col("n_lines")))
+    kept = remove_repeated_runs(docs, min_lines, long_words).where((F.col("n_lines") == 0) | (F.col("n_removed") < F.col("n_lines")))
     columns = []
     for name, kind in docs.dtypes:
         if name == "text":
