@@ -179,7 +179,7 @@ def value_graph(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _cyclic(spark: SparkSession, sf: str) -> DataFrame:
-    """Forward edges only, but for some repositories, so that both kinds occur."""
+    """Forward edges only, but for some repositories, as in the SQL of these queries; find_all_cycles takes all edges."""
     edges = facts(spark, sf, "dependencies").where("from_ordinal < to_ordinal or repo in ('src1', 'src7')")
     return graph.find_cycles(graph.value_graph(edges, _classified(spark, sf)))
 
@@ -195,6 +195,22 @@ def apply_cycle_policy(spark: SparkSession, sf: str) -> DataFrame:
     return graph.apply_cycle_policy(_cyclic(spark, sf), policies)
 
 
+def _all_cycles(spark: SparkSession, sf: str) -> DataFrame:
+    """Over all dependencies; recursive SQL is too slow for these, so there is none."""
+    return graph.find_cycles(graph.value_graph(facts(spark, sf, "dependencies"), _classified(spark, sf)))
+
+
+@_query
+def find_all_cycles(spark: SparkSession, sf: str) -> DataFrame:
+    return _all_cycles(spark, sf).select("repo", "anchor", "n_members", "members")
+
+
+@_query
+def apply_cycle_policy_to_all(spark: SparkSession, sf: str) -> DataFrame:
+    policies = _repos(spark, sf).select("repo", F.when(F.col("repo") == "src1", "strict").when(F.col("repo") == "src7", "off").otherwise("soft").alias("cycle_policy"))
+    return graph.apply_cycle_policy(_all_cycles(spark, sf), policies)
+
+
 @_query
 def intent_graph(spark: SparkSession, sf: str) -> DataFrame:
     return graph.intent_graph(facts(spark, sf, "intent_flows"))
