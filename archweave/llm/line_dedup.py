@@ -6,16 +6,21 @@ deleted. Runs are judged on the input; overlaps count; runs never cross document
 many words or more is a run of its own, whatever its neighbours are; words are parted by ASCII white space.
 
 Prefix doubling: suffixes are ranked by their first line, then by pairs of ranks (own, that of the suffix ``length``
-lines on) by twice as many lines, and so on. The suffixes of equal rank after a round are the intervals of the suffix
+lines on) by twice as many lines, and so on. The suffixes of equal rank after a round are an interval of the suffix
 array whose longest common prefix is ``length`` lines or more. A suffix that is alone, or whose continuation is, shares
-no longer run, and leaves; so rounds get smaller, and end when no class of two is left. In each class all but the first
-suffix begin later copies; these windows merge into maximal runs, since a longer common run has one at each line.
+no longer run, and leaves; so rounds get smaller, and end when no class of two is left.
 
-Ranks count the suffixes before a class. They are running sums over classes, first by ranges of the second rank and
-then inside a range, so a line with a third of all occurrences doesn't put its classes in one task.
+Deletion goes by the deepest interval: each suffix deletes as many lines as the last round had in which an earlier
+suffix shared its class. A common run has such a suffix at each of its lines, so the union of these is the union of all
+maximal repeated runs, though lengths are known to powers of two only; ``longest_match`` is the greatest of them.
+
+Ranks: classes of two or more, one row each, are sorted; a class's rank is its number in that order, with gaps. A line
+with a third of all occurrences is one row a task before the shuffle. The continuation's rank is looked up by a range
+frame of exactly ``length`` lines inside the document.
 
 Documents with one text (by MD5) are told apart from the rest first: only the earliest enters the array, the others are
-later copies from end to end, as the array would find in as many rounds as their lines have doublings.
+later copies from end to end, as the array would find in as many rounds as their lines have doublings. Line IDs aren't
+confirmed: a false run of two lines needs two collisions of 64 bits side by side.
 
 Defined results: null and empty texts have no lines; lines without a word are kept and don't part runs; documents
 without doc_id come last; rows of the same doc_id and text are one document, treated alike; rows of the same doc_id with
@@ -39,8 +44,6 @@ MIN_LINES = 2
 LONG_WORDS = 50
 SPACE = " \t\n\x0b\f\r"
 _NONE = (1 << 63) - 1
-#: Ranges of ranks that a class table is summed by.
-_RANGES = 12
 _PLACE = ["d", "g", "s"]
 
 
@@ -52,30 +55,35 @@ def _tag(text: Column) -> Column:
     return F.md5(F.coalesce(text.cast("string"), F.lit("")))
 
 
+def _order(tag: Column) -> Column:
+    """The first 60 bits of an MD5: they order the texts of one doc_id."""
+    return F.conv(F.substring(tag, 1, 15), 16, 10).cast("long")
+
+
 def _is_long(line: Column, long_words: int) -> Column:
     """Whether a line has so many words; lines too short for that aren't split."""
     return (F.length(line) >= 2 * long_words - 1) & (F.size(F.split(F.trim(line, F.lit(SPACE)), "[ \\t\\x0B\\f\\r]+")) >= long_words)
 
 
-def line_ids(docs: DataFrame, long_words: int | None = None) -> DataFrame:
-    """(d, g, s, h): document, MD5 of its text, place among its lines with a word, line ID; with long_words also long."""
+def line_ids(docs: DataFrame, long_words: int | None = None, without: DataFrame | None = None) -> DataFrame:
+    """(d, g, s, h): document, order of its text, place among its lines with a word, line ID; with long_words also long.
+
+    without: (d, g) of documents that are left out, before their lines become rows.
+    """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x, F.lit(SPACE)) != "")
-    document = docs.select(_doc(F.col("doc_id")).alias("d"), _tag(F.col("text")).alias("g"), lines.alias("lines"))
-    if long_words is None:
-        return document.select("d", "g", F.posexplode(F.transform("lines", lambda x: F.xxhash64(x))).alias("s", "h")).distinct()
-    known = F.transform("lines", lambda x: F.struct(F.xxhash64(x).alias("h"), _is_long(x, long_words).alias("long")))
-    return document.select("d", "g", F.posexplode(known).alias("s", "x")).select("d", "g", "s", "x.h", "x.long").distinct()
+    known = F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("h"), *([] if long_words is None else [_is_long(x, long_words).alias("long")])))
+    document = docs.select(_doc(F.col("doc_id")).alias("d"), _order(_tag(F.col("text"))).alias("g"), known.alias("lines"))
+    if without is not None:
+        document = document.join(without, ["d", "g"], "left_anti")
+    return document.select("d", "g", F.posexplode("lines").alias("s", "x")).select("d", "g", "s", "x.*")
 
 
-def _ranked(classes: DataFrame, within: list[str], by: str, ranges: Column, base: Column) -> DataFrame:
-    """classes (within..., by, n, ...) with rank: base plus the sum of n over smaller ``by`` among the same ``within``."""
-    classes = classes.withColumn("range", ranges)
-    sums = classes.groupBy(*within, "range").agg(F.sum("n").alias("total"))
-    before = F.sum("total").over(W.partitionBy(*within).orderBy("range").rowsBetween(W.unboundedPreceding, -1))
-    sums = sums.select(*within, "range", F.coalesce(before, F.lit(0)).alias("offset"))
-    inside = F.sum("n").over(W.partitionBy(*within, "range").orderBy(by).rowsBetween(W.unboundedPreceding, -1))
-    return classes.withColumn("inside", F.coalesce(inside, F.lit(0))).join(sums, [*within, "range"]).withColumn("rank", base + F.col("offset") + F.col("inside")).drop("range", "inside", "offset")
+def _recurring(suffixes: DataFrame, key: list[str]) -> DataFrame:
+    """(key..., first, rank) of the keys that suffixes at two places or more have; ranks are in the order of the keys."""
+    place = F.struct(*_PLACE)
+    classes = suffixes.groupBy(*key).agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last")
+    return classes.orderBy(*key).select(*key, "first", F.monotonically_increasing_id().alias("rank"))
 
 
 def suffix_classes(lines: DataFrame) -> Iterator[tuple[int, DataFrame]]:
@@ -86,63 +94,56 @@ def suffix_classes(lines: DataFrame) -> Iterator[tuple[int, DataFrame]]:
     """
     lines = cut(lines)
     further = [c for c in lines.columns if c not in (*_PLACE, "h")]
-    place = F.struct(*_PLACE)
-    classes = lines.groupBy("h").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1")
-    # IDs are hashes, so their upper bits part them evenly: one row a range meets in one task.
-    classes = cut(_ranked(classes, [], "h", F.shiftright("h", 64 - _RANGES), F.lit(0)).select("h", "rank", "first"))
-    suffixes = cut(lines.join(classes, "h").select(*_PLACE, F.col("rank").alias("r"), (place > F.col("first")).alias("later"), F.lit(1).alias("length"), *further))
-    while True:
-        now = suffixes.agg(F.max("length").alias("length"), F.max("r").alias("top")).first()
-        if now["length"] is None:
-            return
-        yield now["length"], suffixes
-        # Lengths are a column, so that rounds share their compiled code.
-        ahead = suffixes.select("d", "g", (F.col("s") - F.col("length")).alias("s"), F.col("r").alias("r2"))
-        width = 1 << max(0, int(now["top"]).bit_length() - _RANGES)
-        pairs = cut(suffixes.select(*_PLACE, "r", (2 * F.col("length")).alias("length")).join(ahead, _PLACE))
-        classes = pairs.groupBy("r", "r2").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1")
-        classes = cut(_ranked(classes, ["r"], "r2", F.floor(F.col("r2") / width), F.col("r")).select("r", "r2", "rank", "first"))
-        suffixes = cut(pairs.join(classes, ["r", "r2"]).select(*_PLACE, F.col("rank").alias("r"), (place > F.col("first")).alias("later"), "length"))
+    later = (F.struct(*_PLACE) > F.col("first")).alias("later")
+    suffixes = cut(lines.join(_recurring(lines, ["h"]), "h").select(*_PLACE, F.col("rank").alias("r"), later, *further))
+    length = 1
+    while not suffixes.isEmpty():
+        yield length, suffixes
+        onward = W.partitionBy("d", "g").orderBy("s").rangeBetween(length, length)
+        pairs = suffixes.select(*_PLACE, "r", F.first("r").over(onward).alias("r2")).where("r2 is not null")
+        suffixes = cut(pairs.join(_recurring(pairs, ["r", "r2"]), ["r", "r2"]).select(*_PLACE, F.col("rank").alias("r"), later))
+        length *= 2
 
 
 def later_copies(lines: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
-    """(d, g, starts, singles, longest): where windows of later copies start, and the longest length doubling found from there.
+    """(d, g, runs, longest): runs (s, length) of later copies, the longest known from each start, and the greatest length.
 
-    singles: later copies of one line, of those that ``lines`` has as long. min_lines: a power of two.
+    Of runs shorter than min_lines only those of one line that ``lines`` has as long. min_lines: a power of two.
     """
     if min_lines & (min_lines - 1):
         raise ValueError("min_lines: a power of two")
-    found = None
+    found = lines.select(*_PLACE, F.lit(0).alias("length")).limit(0)
     for length, suffixes in suffix_classes(lines):
-        if length < min_lines and "long" in suffixes.columns:
-            found = suffixes.where("later and long").select(*_PLACE, F.lit(length).cast("long").alias("length"))
-        if length >= min_lines:
-            own = suffixes.where("later").select(*_PLACE, F.lit(length).cast("long").alias("length"))
-            found = own if found is None else found.union(own)
-    if found is None:
-        found = lines.select(*_PLACE, F.lit(0).cast("long").alias("length")).limit(0)
-    at = {name: F.sort_array(F.collect_set(F.when(which, F.col("s")))).alias(name) for name, which in (("starts", F.col("length") == min_lines), ("singles", F.col("length") < min_lines))}
-    return found.groupBy("d", "g").agg(at["starts"], at["singles"], F.max("length").alias("longest"))
+        counts = F.lit(length >= min_lines) | (F.col("long") if "long" in suffixes.columns else F.lit(False))
+        found = found.union(suffixes.where(F.col("later") & counts).select(*_PLACE, F.lit(length).alias("length")))
+    deepest = found.repartition("d", "g").groupBy(*_PLACE).agg(F.max("length").alias("length"))
+    return deepest.groupBy("d", "g").agg(F.collect_list(F.struct("s", "length")).alias("runs"), F.max("length").cast("long").alias("longest"))
+
+
+def _covered(runs: list[dict]) -> set[int]:
+    gone: set[int] = set()
+    done = 0
+    for s, length in sorted((r["s"], r["length"]) for r in runs):
+        gone.update(range(max(s, done), s + length))
+        done = max(done, s + length)
+    return gone
 
 
 def _kept(min_lines: int, long_words: int | None = None):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: dict[str, list] = {c: [] for c in ("longest_match", "n_lines", "n_removed", "n_runs", "kept_text")}
-            for text, starts, singles, is_copy, longest in zip(*(batch.column(c).to_pylist() for c in ("text", "starts", "singles", "is_copy", "longest")), strict=True):
+            for text, runs, is_copy, longest in zip(*(batch.column(c).to_pylist() for c in ("text", "runs", "is_copy", "longest")), strict=True):
                 lines = (text or "").split("\n")
                 words = [bool(line.strip(SPACE)) for line in lines]
                 n = sum(words)
-                gone: set[int] = set()
+                gone = _covered(runs or [])
                 if is_copy and n >= min_lines:
                     gone, longest = set(range(n)), 1 << (n.bit_length() - 1)
                 elif is_copy and long_words is not None:
                     of_words = [line for line, word in zip(lines, words, strict=True) if word]
                     gone = {s for s, line in enumerate(of_words) if len(line.encode().split()) >= long_words}
                     longest = int(bool(gone))
-                gone.update(singles or ())
-                for s in starts or ():
-                    gone.update(range(s, s + min_lines))
                 kept, seq = [], 0
                 for line, has_word in zip(lines, words, strict=True):
                     if not (has_word and seq in gone):
@@ -165,15 +166,14 @@ def remove_repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES, long_words
     if none of min_lines is, and no long line.
     """
     ship_package(docs.sparkSession)
-    rows = docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("doc"), F.col("text").cast("string").alias("text"), _doc(F.col("doc_id")).alias("d"), _tag(F.col("text")).alias("g"))
-    known = cut(rows.select("d", "g").distinct())
-    firsts = known.groupBy("g").agg(F.min("d").alias("first"), F.count("*").alias("n"))
-    copied = cut(firsts.where("n > 1").select("g", "first"))
-    copies = known.join(copied, "g").where("d <> first").select("d", "g")
-    own = line_ids(docs, long_words).join(copies, ["d", "g"], "left_anti")
-    found = later_copies(own, min_lines).select("d", "g", "starts", "singles", "longest", F.lit(False).alias("is_copy"))
-    found = found.union(copies.select("d", "g", F.lit(None).cast("array<int>"), F.lit(None).cast("array<int>"), F.lit(None).cast("long"), F.lit(True)))
-    joined = rows.join(found, ["d", "g"], "left").select("doc", "text", "starts", "singles", "longest", F.coalesce("is_copy", F.lit(False)).alias("is_copy"))
+    own = docs.select(_doc(F.col("doc_id")).alias("d"), _tag(F.col("text")).alias("tag"))
+    known = cut(own.select("*", _order(F.col("tag")).alias("g")))
+    firsts = known.groupBy("tag").agg(F.min("d").alias("first"), F.max("d").alias("last")).where("first < last").select("tag", "first")
+    copies = cut(known.join(firsts, "tag").where("d <> first").select("d", "g").distinct())
+    found = later_copies(line_ids(docs, long_words, without=copies), min_lines).select("d", "g", "runs", "longest", F.lit(False).alias("is_copy"))
+    found = found.union(copies.select("d", "g", F.lit(None).cast(found.schema["runs"].dataType), F.lit(None).cast("long"), F.lit(True)))
+    rows = docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("doc"), F.col("text").cast("string").alias("text"), _doc(F.col("doc_id")).alias("d"), _order(_tag(F.col("text"))).alias("g"))
+    joined = rows.join(found, ["d", "g"], "left").select("doc", "text", "runs", "longest", F.coalesce("is_copy", F.lit(False)).alias("is_copy"))
     return joined.mapInArrow(_kept(min_lines, long_words), f"doc {rows.schema['doc'].dataType.simpleString()}, longest_match long, n_lines long, n_removed long, n_runs long, kept_text string")
 
 

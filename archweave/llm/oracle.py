@@ -65,9 +65,13 @@ OP6 = """WITH l AS (SELECT doc_id, ln, line, regexp_matches(line, '[^\\x20\\x09-
  r AS (SELECT doc_id, s FROM p WHERE two IS NOT NULL QUALIFY row_number() OVER (PARTITION BY two ORDER BY doc_id, s) > 1),
  g AS (SELECT DISTINCT doc_id, unnest([s, s + 1]) AS s FROM r),
  e AS (SELECT q.doc_id, q.ln, q.line, q.word, q.s, q.word AND g.s IS NOT NULL AS gone FROM q LEFT JOIN g ON g.doc_id = q.doc_id AND g.s = q.s),
- u AS (SELECT doc_id, s - row_number() OVER (PARTITION BY doc_id ORDER BY s) AS run FROM g)
-SELECT e.doc_id, count(*) FILTER (word) AS n_lines, count(*) FILTER (gone) AS n_removed, coalesce(any_value(n.n), 0) AS n_runs, sha256(coalesce(string_agg(line, chr(10) ORDER BY ln) FILTER (NOT gone), '')) AS kept_sha256
-FROM e LEFT JOIN (SELECT doc_id, count(DISTINCT run) AS n FROM u GROUP BY doc_id) n ON n.doc_id = e.doc_id GROUP BY e.doc_id"""
+ u AS (SELECT doc_id, s - row_number() OVER (PARTITION BY doc_id ORDER BY s) AS run FROM g),
+ j AS (SELECT a.doc_id, a.s, b.doc_id AS earlier, a.s - b.s AS apart FROM p a JOIN p b ON a.two = b.two AND (b.doc_id < a.doc_id OR (b.doc_id = a.doc_id AND b.s < a.s))),
+ k AS (SELECT *, s - row_number() OVER (PARTITION BY doc_id, earlier, apart ORDER BY s) AS common FROM j),
+ m AS (SELECT doc_id, max(n) + 1 AS longest FROM (SELECT doc_id, count(*) AS n FROM k GROUP BY doc_id, earlier, apart, common) GROUP BY doc_id)
+SELECT e.doc_id, count(*) FILTER (word) AS n_lines, count(*) FILTER (gone) AS n_removed, coalesce(any_value(n.n), 0) AS n_runs,
+ CASE WHEN any_value(m.longest) IS NULL THEN 0 ELSE CAST(1 AS BIGINT) << (length(bin(any_value(m.longest))) - 1) END AS longest_match, sha256(coalesce(string_agg(line, chr(10) ORDER BY ln) FILTER (NOT gone), '')) AS kept_sha256
+FROM e LEFT JOIN (SELECT doc_id, count(DISTINCT run) AS n FROM u GROUP BY doc_id) n ON n.doc_id = e.doc_id LEFT JOIN m ON m.doc_id = e.doc_id GROUP BY e.doc_id"""
 
 OP7 = f"""WITH {_WORDS}, z AS (SELECT doc_id, source, CAST(len(w) AS BIGINT) AS size, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || text), 1, 15) AS BIGINT) AS h FROM d),
  s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM z GROUP BY source),

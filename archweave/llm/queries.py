@@ -51,7 +51,7 @@ def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.remove_repeated_runs(_table(spark, sf_dir, "documents"))
-    return kept.select("doc.doc_id", "n_lines", "n_removed", "n_runs", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
+    return kept.select("doc.doc_id", "n_lines", "n_removed", "n_runs", "longest_match", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

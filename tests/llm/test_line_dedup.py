@@ -88,3 +88,33 @@ def test_deduplicated_documents(spark):
 
 def test_empty_table(spark):
     assert remove_repeated_runs(spark.createDataFrame([], "doc_id long, text string")).select(F.col("n_lines")).collect() == []
+
+
+def brute_longest(rows):
+    """The greatest power of two of lines, two at least, that a run has which also starts earlier."""
+    docs = {(doc, text or ""): [x for x in (text or "").split("\n") if x.strip(SPACE)] for doc, text in rows}
+    order = sorted(docs, key=lambda k: (k[0] is None, k[0] or 0))
+    seen, out = set(), {}
+    for key in order:
+        lines, most = docs[key], 0
+        for i in range(len(lines)):
+            for n in range(1, len(lines) - i + 1):
+                window = tuple(lines[i : i + n])
+                most = max(most, n if window in seen else 0)
+                seen.add(window)
+        out[key] = 1 << (most.bit_length() - 1) if most > 1 else 0
+    return out
+
+
+def test_lengths_come_from_the_deepest_intervals(spark):
+    rows = [(i, "\n".join(f"row {k}" for k in range(a, b))) for i, (a, b) in enumerate([(0, 40), (3, 30), (100, 103), (101, 140), (5, 12), (120, 137)])] + documents(5)
+    got = {(r.doc.doc_id, r.kept_text is None): r.longest_match for r in remove_repeated_runs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = brute_longest(rows)
+    assert {k: v for k, v in got.items() if k[0] is not None and k[0] < 6} == {(i, False): want[rows[i]] for i in range(6)}
+    assert [want[rows[i]] for i in range(6)] == [0, 16, 0, 2, 4, 16]
+
+
+def test_a_very_long_text(spark):
+    long = "\n".join(f"w{i % 50_000}" for i in range(120_000))
+    got = {r.doc.doc_id: r for r in remove_repeated_runs(spark.createDataFrame([(1, "w7\nw8"), (2, long)], "doc_id long, text string")).collect()}
+    assert (got[1].n_removed, got[2].n_lines, got[2].n_removed, got[2].n_runs, got[2].longest_match) == (0, 120_000, 70_002, 2, 65_536)
