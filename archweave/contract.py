@@ -6,7 +6,7 @@ no shuffle, whatever the size of the fleet; a fleet with several contracts calls
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 
 @dataclass(frozen=True)
@@ -16,6 +16,9 @@ class Layer:
     exclude: tuple[str, ...] = ()
     prefixes: tuple[str, ...] = ()
     optional: bool = False
+    pure: bool = False
+    deny: tuple[str, ...] = ()
+    forbidden_globals: tuple[str, ...] = ()
 
 
 @dataclass(frozen=True)
@@ -28,10 +31,37 @@ class Rule:
     message: str = ""
 
 
+@dataclass(frozen=True)
+class StructureRule:
+    """A sensor over a layer's classes or files; ``globs`` narrow it, none means the whole layer."""
+
+    id: str
+    layer: str
+    sensor: str
+    enforced: bool = False
+    globs: tuple[str, ...] = ()
+    source: str = ""
+
+
+@dataclass(frozen=True)
+class Invariant:
+    """Must be named in a test (``test`` true or None) or show its ``symbol``; test False asks for no test."""
+
+    id: str
+    layer: str
+    enforced: bool = False
+    test: bool | None = None
+    symbol: str | None = None
+    globs: tuple[str, ...] = ()
+    source: str = ""
+
+
 @dataclass(frozen=True)
 class Contract:
     layers: tuple[Layer, ...]
     rules: tuple[Rule, ...] = field(default=())
+    structure: tuple[StructureRule, ...] = ()
+    invariants: tuple[Invariant, ...] = ()
 
 
 #: The intent prefixes of the layers, by default.
@@ -72,3 +102,27 @@ FLEET = Contract(
         Rule("Kernel", "Kernel", message="never fires: same layer"),
     ),
 )
+
+#: The same fleet with effect walls, structure rules and invariants.
+WALLED = Contract(
+    layers=tuple(
+        replace(x, **{"DomainModel": {"pure": True, "forbidden_globals": ("Date",)}, "ApplicationOrchestration": {"deny": ("filesystem", "network"), "forbidden_globals": ("process", "process.env")}, "PresentationAdapters": {"deny": ("persistence",)}}.get(x.name, {}))
+        for x in FLEET.layers
+    ),
+    rules=FLEET.rules,
+    structure=(
+        StructureRule("S1", "DomainModel", "aggregate-private-state", True, source="rules/domain.json"),
+        StructureRule("S2", "DomainModel", "always-valid-factory", source="rules/domain.json"),
+        StructureRule("S3", "DomainModel", "domain-event-on-mutation", True, ("src/domain/**",), "rules/domain.json"),
+        StructureRule("S4", "DomainModel", "no-anemic-model", True, source="rules/domain.json"),
+        StructureRule("S5", "ApplicationOrchestration", "orchestration-only", True, source="rules/application.json"),
+        StructureRule("S6", "PersistenceAdapters", "thin-adapter", source="rules/adapters.json"),
+        StructureRule("S7", "DomainModel", "aggregate-private-state", True, ("src/billing/**",), "rules/domain.json"),
+    ),
+    invariants=(
+        Invariant("INV-1", "DomainModel", True, source="rules/domain.json"),
+        Invariant("INV-2", "DomainModel", True, symbol="Order.place", source="rules/domain.json"),
+        Invariant("INV-3", "DomainModel", test=False, source="rules/domain.json"),
+        Invariant("INV-4", "Kernel", globs=("src/nowhere/*.ts",), source="rules/kernel.json"),
+    ),
+)

@@ -5,6 +5,9 @@ Each view is SQL that Spark and DuckDB read alike; the oracle puts the same text
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = {
@@ -52,12 +55,47 @@ EXPERIMENT_CELLS = """SELECT CAST(floor(o_orderkey / 2) AS BIGINT) AS pair_id, C
 INTENT_FLOWS = """SELECT concat('Application.S', l_suppkey) AS from_intent, concat('Domain.P', l_partkey) AS to_intent,
  CASE WHEN l_linestatus = 'O' THEN 'produces' ELSE 'observed' END AS kind FROM lineitem"""
 
-COMMIT_PATHS = "SELECT l_orderkey AS commit_id, concat('src/p', l_partkey % 500, '.ts') AS path FROM lineitem"
+COMMIT_PATHS = "SELECT l_orderkey AS commit_id, concat('r', l_orderkey % 7) AS repo, concat('src/p', l_partkey % 500, '.ts') AS path FROM lineitem"
 
 TREE_BASE = "SELECT repo, path, n_chars AS content_version FROM code_files WHERE ordinal % 10 <> 0"
 
 TREE_CANDIDATE = "SELECT repo, path, n_chars + CASE WHEN ordinal % 13 = 0 THEN 1 ELSE 0 END AS content_version FROM code_files WHERE ordinal % 10 <> 1"
 
+_TWICE = "(SELECT CAST(1 AS BIGINT) AS k UNION ALL SELECT CAST(2 AS BIGINT)) k"
+
+MODULE_IMPORTS = f"""SELECT f.repo, f.path AS file, k.k AS ordinal, 10 * k.k AS line, CASE k.k WHEN 1 THEN 'import' ELSE 'require' END AS kind, f.ordinal % 8 = 0 AS type_only,
+ CASE (f.ordinal + k.k) % 9 WHEN 0 THEN 'fs' WHEN 1 THEN 'node:fs/promises' WHEN 2 THEN 'pg' WHEN 3 THEN 'axios/lib/core' WHEN 4 THEN 'process' WHEN 5 THEN '@prisma/client/edge'
+  WHEN 6 THEN concat('./x/.././f', f.ordinal + 180) WHEN 7 THEN '../none' ELSE 'left-pad' END AS specifier
+FROM code_files f CROSS JOIN {_TWICE}"""
+
+AMBIENT_USES = f"""SELECT f.repo, f.path AS file, 20 + k.k AS line,
+ CASE (2 * f.ordinal + k.k) % 7 WHEN 0 THEN 'fetch' WHEN 1 THEN 'Date.now' WHEN 2 THEN 'Math.random' WHEN 3 THEN 'process.env.HOME' WHEN 4 THEN 'process.cwd' WHEN 5 THEN 'window.location' ELSE 'Dated' END AS symbol
+FROM code_files f CROSS JOIN {_TWICE}"""
+
+PUBLISH_CALLS = """SELECT repo, path AS file, CAST(7 AS BIGINT) AS line, CASE ordinal % 4 WHEN 0 THEN 'Domain.Order.Placed' WHEN 1 THEN 'not an intent' END AS raw_intent, ordinal % 6 = 0 AS object_has_intent,
+ ordinal % 3 <> 0 AS candidate, ordinal % 2 = 0 AS has_source, CASE ordinal % 5 WHEN 0 THEN 'Domain.Order' WHEN 1 THEN 'Application.PlaceOrder' WHEN 2 THEN 'Presentation.Web' WHEN 3 THEN 'Nobody.Knows' END AS source_intent FROM code_files"""
+
+INTENT_REFERENCES = """SELECT repo, path AS file, CAST(9 AS BIGINT) AS line,
+ CASE ordinal % 4 WHEN 0 THEN 'Application.Ship' WHEN 1 THEN 'Domain.Order' WHEN 2 THEN 'Adapter.Persistence.Orders' ELSE 'Nobody.Knows' END AS intent FROM code_files"""
+
+CLASS_SHAPES = """SELECT repo, path AS file, concat('C', ordinal) AS class_name, ordinal % 7 <> 0 AS exported, ordinal % 5 = 0 AS public_setters, ordinal % 11 = 0 AS public_mutable, ordinal % 2 = 0 AS public_constructor,
+ ordinal % 3 = 0 AS static_factory, CASE ordinal % 4 WHEN 0 THEN true WHEN 1 THEN false END AS data_only, ordinal % 3 AS n_mutating, ordinal % 13 = 0 AS guarded FROM code_files"""
+
+SAFETY_USES = f"""SELECT f.repo, f.path AS file, 30 + k.k AS line, 3 * f.ordinal + k.k AS ordinal,
+ CASE (f.ordinal + k.k) % 6 WHEN 0 THEN 'ts-suppression' WHEN 1 THEN 'any-cast' WHEN 2 THEN 'dynamic-import' WHEN 3 THEN 'dynamic-require' WHEN 4 THEN 'in-memory-store' ELSE 'other' END AS kind
+FROM code_files f CROSS JOIN {_TWICE}"""
+
+#: Scripts: some lines of code by ordinal, then the document's text as prose.
+SOURCES = """SELECT f.repo, f.path, f.ordinal, f.ordinal % 23 = 0 AS is_test, concat(
+ CASE f.ordinal % 5 WHEN 0 THEN concat('import { db } from ''pg'';', chr(10)) WHEN 1 THEN concat('import x from ''./other'';', chr(10)) ELSE '' END,
+ CASE f.ordinal % 7 WHEN 0 THEN concat('export function canShip(order) { if (order.total > 3) { return 1 } }', chr(10)) WHEN 1 THEN concat('export function GET() {}', chr(10))
+  WHEN 2 THEN concat('const shouldShow = () => useState(isOpen);', chr(10)) WHEN 3 THEN concat('const shouldOpen = () => cart.limit > 1;', chr(10)) WHEN 4 THEN concat('const toDomain = (row) => row;', chr(10)) ELSE '' END,
+ CASE WHEN f.ordinal % 6 = 0 THEN repeat(concat('if (status) { go() } switch (x) {}', chr(10)), 3) ELSE '' END,
+ CASE WHEN f.ordinal % 11 = 0 THEN repeat(concat('export const a = 1', chr(10)), 500) ELSE '' END,
+ CASE WHEN f.ordinal % 46 = 0 THEN concat('it(''INV-1 holds'')', chr(10)) ELSE '' END, CASE WHEN f.ordinal % 31 = 0 THEN concat('class Order { place() {} }', chr(10)) ELSE '' END,
+ coalesce(d.text, '')) AS content
+FROM code_files f JOIN documents d ON d.doc_id = f.ordinal"""
+
 VIEWS = {
     "code_files": CODE_FILES,
     "dependencies": DEPENDENCIES,
@@ -68,17 +106,30 @@ VIEWS = {
     "commit_paths": COMMIT_PATHS,
     "tree_base": TREE_BASE,
     "tree_candidate": TREE_CANDIDATE,
+    "module_imports": MODULE_IMPORTS,
+    "ambient_uses": AMBIENT_USES,
+    "publish_calls": PUBLISH_CALLS,
+    "intent_references": INTENT_REFERENCES,
+    "class_shapes": CLASS_SHAPES,
+    "safety_uses": SAFETY_USES,
+    "sources": SOURCES,
 }
-_NEEDS = {"dependencies": ["code_files"], "tree_base": ["code_files"], "tree_candidate": ["code_files"]}
+_OF_FILES = ("dependencies", "tree_base", "tree_candidate", "module_imports", "ambient_uses", "publish_calls", "intent_references", "class_shapes", "safety_uses", "sources")
+_NEEDS = {name: ["code_files"] for name in _OF_FILES}
+TABLES |= {name: ["documents"] for name in _OF_FILES}
+#: Names of the views while they are read, so that a session's own tables and views aren't replaced.
+_PREFIX = "archweave_"
 
 
 def facts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One derived view over the tables of ``sf_dir``."""
+    used = {x: _PREFIX + x for x in (*TABLES[name], *_NEEDS.get(name, []))}
+    own = lambda sql: reduce(lambda text, kv: re.sub(rf"(FROM|JOIN) {kv[0]}\b", rf"\1 {kv[1]}", text), used.items(), sql)
     for table in TABLES[name]:
-        spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
+        spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(used[table])
     for needed in _NEEDS.get(name, []):
-        spark.sql(VIEWS[needed]).createOrReplaceTempView(needed)
-    return spark.sql(VIEWS[name])
+        spark.sql(own(VIEWS[needed])).createOrReplaceTempView(used[needed])
+    return spark.sql(own(VIEWS[name]))
 
 
 def with_views(*names: str) -> str:

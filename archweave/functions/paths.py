@@ -78,3 +78,20 @@ def normalize_path(path: Column) -> Column:
 
 def parent(path: Column) -> Column:
     return F.regexp_replace(path, r"/?[^/]*$", "")
+
+
+def is_canonical_path(path: Column) -> Column:
+    """Relative to the project, no drive, no NUL, no way above the root, and already normal."""
+    portable = F.replace(path, F.lit("\\"), F.lit("/"))
+    clean = normalize_path(path)
+    return (clean != "") & (clean == portable) & ~portable.rlike("^(/|[A-Za-z]:/)") & ~portable.contains("\0") & (clean != "..") & ~clean.startswith("../")
+
+
+#: Generated files.
+GENERATED = ("**/*.gen.ts", "**/*.gen.tsx", "**/*.generated.ts", "**/*.generated.tsx")
+
+
+def scan_excluded(path: Column, exclude: tuple[str, ...] = (), generated: bool = True) -> Column:
+    """Whether a file is left out of scans: generated ones, unless asked for, and those that a glob names."""
+    globs = (*(GENERATED if generated else ()), *exclude)
+    return F.replace(path, F.lit("\\"), F.lit("/")).rlike("|".join(glob_to_regex(g) for g in globs)) if globs else F.lit(False)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from archweave.derive import with_views
+from archweave.jobs import oracle_governance
 
 _LAYER = """CASE WHEN regexp_matches(path, '^src/domain/') AND NOT regexp_matches(path, '[.]gen[.]ts$') THEN 'DomainModel'
  WHEN regexp_matches(path, '^src/application/') THEN 'ApplicationOrchestration'
@@ -101,8 +102,6 @@ _ORACLE = {
     "change_set_gate": f"""{with_views('commit_paths')}, c AS (SELECT commit_id AS change_id, count(*) FILTER (regexp_matches(path, '^src/p[0-4][.]ts$')) AS n_law,
   count(*) FILTER (regexp_matches(path, '^src/p[0-9][0-9][.]ts$')) AS n_product, count(*) FILTER (NOT regexp_matches(path, '^src/p([0-4]|[0-9][0-9])[.]ts$')) AS n_other FROM commit_paths GROUP BY commit_id)
   SELECT *, CASE WHEN n_law > 0 AND n_product > 0 THEN 'mixed' WHEN n_law > 0 THEN 'law' ELSE 'open' END AS gate FROM c""",
-    "hot_paths": f"""{with_views('commit_paths')}, recent AS (SELECT DISTINCT commit_id FROM commit_paths ORDER BY commit_id DESC LIMIT 1000)
-  SELECT path, count(*) AS hits FROM commit_paths WHERE commit_id IN (SELECT commit_id FROM recent) GROUP BY path HAVING count(*) >= 3""",
     "evolution": f"""{CLASSIFIED}, s AS (SELECT repo, ordinal % 3 AS ts, layer, count(*) AS n FROM classified GROUP BY ALL), e AS (SELECT repo, min(ts) AS a, max(ts) AS b FROM s GROUP BY repo),
   x AS (SELECT s.repo, layer, CAST(coalesce(sum(n) FILTER (ts = a), 0) AS BIGINT) AS n_origin, CAST(coalesce(sum(n) FILTER (ts = b), 0) AS BIGINT) AS n_latest FROM s JOIN e ON s.repo = e.repo GROUP BY s.repo, layer)
   SELECT *, n_latest - n_origin AS delta FROM x""",
@@ -156,15 +155,11 @@ _ORACLE |= {
     "operating_mode": f"""{VIOLATIONS}, {_ALL}, b AS (SELECT DISTINCT repo FROM violations WHERE blocking),
  p AS (SELECT repo, max(total) AS total, max(percent) AS percent, sum(n_files) FILTER (layer IN ('DomainModel', 'PersistenceAdapters')) AS core, sum(n_files) FILTER (layer = 'PresentationAdapters') AS shown FROM coverage GROUP BY repo)
  SELECT p.repo, CASE WHEN percent >= 50 AND b.repo IS NULL AND NOT (core = 0 AND shown >= 0.5 * total) THEN 'enforce' ELSE 'adapt' END AS mode FROM p LEFT JOIN b ON b.repo = p.repo""",
-    "contract_warnings": f"""{CLASSIFIED}, seen AS (SELECT * FROM classified WHERE layer <> 'Kernel' OR ordinal % 2 = 1), {_COVERED}
- SELECT repo, layer, 'pattern-without-match' AS warning FROM coverage WHERE n_files = 0 AND layer <> 'ReportingReadModels'""",
     "dead_rules": f"""{CLASSIFIED}, seen AS (SELECT * FROM classified WHERE layer <> 'PersistenceAdapters' OR ordinal % 2 = 1), {_COVERED},
  e(edge, a, b) AS (VALUES ('DomainModel->ApplicationOrchestration', 'DomainModel', 'ApplicationOrchestration'), ('DomainModel->PersistenceAdapters', 'DomainModel', 'PersistenceAdapters'), ('DomainModel->PresentationAdapters', 'DomainModel', 'PresentationAdapters'),
   ('ApplicationOrchestration->PresentationAdapters', 'ApplicationOrchestration', 'PresentationAdapters'), ('PresentationAdapters->PersistenceAdapters', 'PresentationAdapters', 'PersistenceAdapters'))
  SELECT DISTINCT repo, edge, 'empty' AS reason FROM e JOIN coverage c ON c.layer IN (a, b) WHERE n_files = 0
  UNION ALL SELECT repo, unnest(['Features->Features', 'Kernel->Kernel']), 'self' FROM r""",
-    "physical_cohesion": f"""{with_views('code_files')}, f AS (SELECT CASE WHEN ordinal % 5 = 0 THEN 'order' ELSE 'user' END || lang AS concept, regexp_replace(path, '/[^/]*$', '') AS anchor, count(*) AS n FROM code_files GROUP BY ALL)
- SELECT concept, CAST(sum(n) AS BIGINT) AS n_files, count(*) FILTER (n >= 5) AS n_anchors, max(n) AS largest FROM f GROUP BY concept HAVING max(n) >= 40 OR count(*) FILTER (n >= 5) >= 2""",
     "verify_ledger": f"""{EVENTS}, n AS (SELECT correlation_id AS ledger, event_id, row_number() OVER (PARTITION BY correlation_id ORDER BY event_id) AS k FROM domain_events),
  s AS (SELECT ledger, event_id, k + CASE WHEN event_id % 97 = 0 THEN 1 ELSE 0 END AS sequence FROM n),
  o AS (SELECT *, row_number() OVER (PARTITION BY ledger ORDER BY sequence) AS place FROM s)
@@ -189,4 +184,4 @@ _ORACLE |= {
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_ORACLE)
+    return _ORACLE | oracle_governance.oracle_sql()

@@ -11,6 +11,7 @@ from archweave.contract import DEFAULT_PREFIXES, FLEET, Contract, Layer
 from archweave.derive import facts
 from archweave.functions.names import intent_layer, intent_problem, stable_hash
 from archweave.functions.paths import normalize_path, slice_id
+from archweave.jobs import governance
 from archweave.operators import changes, events, experiments, graph, layers, ratchet, reports
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -162,11 +163,6 @@ def change_set_gate(spark: SparkSession, sf: str) -> DataFrame:
     return changes.change_set_gate(commits, r"^src/p[0-4]\.ts$", r"^src/p\d\d\.ts$")
 
 
-@_query
-def hot_paths(spark: SparkSession, sf: str) -> DataFrame:
-    return changes.hot_paths(facts(spark, sf, "commit_paths"), 1000, 3)
-
-
 @_query
 def evolution(spark: SparkSession, sf: str) -> DataFrame:
     shots = _classified(spark, sf).select("repo", "layer", F.expr("ordinal % 3").alias("ts")).groupBy("repo", "ts", "layer").agg(F.count("*").alias("n_files"))
@@ -340,22 +336,11 @@ def operating_mode(spark: SparkSession, sf: str) -> DataFrame:
     return reports.operating_mode(_coverage(spark, sf), layers.verdict(_repos(spark, sf), _violations(spark, sf)))
 
 
-@_query
-def contract_warnings(spark: SparkSession, sf: str) -> DataFrame:
-    return reports.contract_warnings(layers.coverage(_classified(spark, sf).where("layer <> 'Kernel' or ordinal % 2 = 1"), FLEET), FLEET)
-
-
 @_query
 def dead_rules(spark: SparkSession, sf: str) -> DataFrame:
     return reports.dead_rules(layers.coverage(_classified(spark, sf).where("layer <> 'PersistenceAdapters' or ordinal % 2 = 1"), FLEET), FLEET)
 
 
-@_query
-def physical_cohesion(spark: SparkSession, sf: str) -> DataFrame:
-    files = facts(spark, sf, "code_files").select(F.concat("path", F.lit("/"), F.expr("CASE WHEN ordinal % 5 = 0 THEN 'Order' ELSE 'user' END"), "lang", F.lit(".ts")).alias("path"))
-    return reports.physical_cohesion(files.select(F.regexp_replace("path", r"/f[0-9]+[^/]*/", "/").alias("path")), 40, 5)
-
-
 @_query
 def verify_ledger(spark: SparkSession, sf: str) -> DataFrame:
     rows = facts(spark, sf, "domain_events").select(F.col("correlation_id").alias("ledger"), "event_id")
@@ -391,4 +376,4 @@ def path_hashes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return dict(_found)
+    return _found | governance.queries()

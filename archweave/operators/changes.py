@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -46,14 +47,33 @@ def change_set_gate(changes: DataFrame, law: str, product: str) -> DataFrame:
     return counts.withColumn("gate", gate)
 
 
-def hot_paths(commits: DataFrame, last: int, least: int) -> DataFrame:
-    """(path, hits) over the last commits of a repository: paths changed at least ``least`` times.
+def hot_paths(commits: DataFrame, last: int, least: int, most: int = 8) -> DataFrame:
+    """commits (repo, commit_id, path) -> (repo, path, hits, place): over each repository's last commits, the ``most`` changed paths.
 
-    The cut is found among distinct commits, by one bounded top-k; no window over all commits.
+    The cut is a rank over distinct commits, so that each task keeps ``last`` commits a repository before the shuffle.
     """
-    cutoff = commits.select("commit_id").distinct().orderBy(F.desc("commit_id")).limit(last).agg(F.min("commit_id").alias("oldest"))
-    recent = commits.join(F.broadcast(cutoff), F.col("commit_id") >= F.col("oldest"))
-    return recent.groupBy("path").agg(F.count("*").alias("hits")).where(F.col("hits") >= least)
+    recent = commits.select("repo", "commit_id").distinct().withColumn("k", F.row_number().over(W.partitionBy("repo").orderBy(F.desc("commit_id")))).where(F.col("k") <= last)
+    hits = commits.join(recent.select("repo", "commit_id"), ["repo", "commit_id"], "left_semi").groupBy("repo", "path").agg(F.count("*").alias("hits")).where(F.col("hits") >= least)
+    return hits.withColumn("place", F.row_number().over(W.partitionBy("repo").orderBy(F.desc("hits"), "path")).cast("long")).where(F.col("place") <= most)
+
+
+def team_gate(sets: DataFrame) -> DataFrame:
+    """sets (change_id, n_law, n_product, session, policy, n_grow, has_stewards, is_steward) -> (change_id, reason).
+
+    policy: loosen, tighten or the like. ok, or the first reason to refuse: mixed sets; law without a session; loosening
+    or a growing baseline without a session, or by someone who isn't a steward where there are some.
+    """
+    loosen, grow = F.coalesce(F.col("policy") == "loosen", F.lit(False)), F.col("n_grow") > 0
+    why = F.when(loosen, "steward-only-loosen").otherwise("steward-only-baseline-grow")
+    asks = loosen | grow
+    reason = (
+        F.when((F.col("n_law") > 0) & (F.col("n_product") > 0), "mixed-law-and-product")
+        .when((F.col("n_law") > 0) & ~F.col("session"), "law-in-feature")
+        .when(asks & ~F.col("session"), why)
+        .when(asks & F.col("has_stewards") & ~F.col("is_steward"), why)
+        .otherwise("ok")
+    )
+    return sets.select("change_id", reason.alias("reason"))
 
 
 def evolution(snapshots: DataFrame) -> DataFrame:

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from archweave.contract import DEFAULT_PREFIXES, Contract
-from archweave.functions.names import intent_layer, intent_problem
+from archweave.functions.names import intent_problem
 
 
 @dataclass(frozen=True)
@@ -93,7 +95,7 @@ def contract_gate(strict: bool, contracts: tuple[EventContract, ...] = CONTRACTS
 
 def layer_flow(contract: Contract, prefixes: dict[str, tuple[str, ...]] = DEFAULT_PREFIXES) -> Column:
     """Whether the flow from the source's layer to the intent's is denied; peer rules have no paths and deny."""
-    source, target = intent_layer(F.col("source"), prefixes), intent_layer(F.col("intent"), prefixes)
+    source, target = event_layer(F.col("source"), prefixes), event_layer(F.col("intent"), prefixes)
     denied = [(source == r.source) & (target == r.target) for r in contract.rules if not r.allowed and (r.source != r.target or r.peer_isolation)]
     return F.coalesce(reduce(lambda a, b: a | b, denied), F.lit(False)) if denied else F.lit(False)
 
@@ -160,3 +162,126 @@ def audit_query(records: DataFrame, since, until, limit: int, keys: list[str]) -
     """Records from since to until, the last ``limit`` of each key."""
     w = W.partitionBy(*keys).orderBy(F.desc("occurred_at"), F.desc("event_id"))
     return records.where(F.col("occurred_at").between(since, until)).withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= limit).drop("_k")
+
+
+def event_layer(name: Column, prefixes: dict[str, tuple[str, ...]]) -> Column:
+    """The layer of a name at the time of an event: layers by their longest prefix, the first in which any prefix fits.
+
+    Unlike ``intent_layer``, a layer with a long prefix goes before another whose matching prefix is longer than its own.
+    """
+    dotted = {layer: [p if p.endswith(".") else f"{p}." for p in own] for layer, own in prefixes.items()}
+    out = F.when(F.lit(False), "")
+    for layer, own in sorted(dotted.items(), key=lambda kv: -max(map(len, kv[1]), default=0)):
+        if own:
+            out = out.when(reduce(lambda a, b: a | b, [name.startswith(p) for p in own]), layer)
+    return out
+
+
+def declared_layer_policy(edges: DataFrame, contract: Contract, prefixes: dict[str, tuple[str, ...]] = DEFAULT_PREFIXES) -> DataFrame:
+    """edges (from_intent, to_intent, kind) that are declared, not observed, and that a rule of the contract denies.
+
+    (from_intent, to_intent, from_layer, to_layer, rule): one row for each denying rule, whose number it has.
+    """
+    found = edges.where(F.col("kind").isin("declared", "produces", "dependsOn")).select("from_intent", "to_intent").distinct()
+    found = found.withColumns({"from_layer": event_layer(F.col("from_intent"), prefixes), "to_layer": event_layer(F.col("to_intent"), prefixes)})
+    hits = [F.when((F.col("from_layer") == r.source) & (F.col("to_layer") == r.target), F.lit(i).cast("long")) for i, r in enumerate(contract.rules) if not r.allowed]
+    return found.select("*", F.explode(F.array_compact(F.array(*hits)) if hits else F.array().cast("array<bigint>")).alias("rule"))
+
+
+def history_query(history: DataFrame, keys: list[str], newest: int, intent: str | None = None, kind: str | None = None) -> DataFrame:
+    """The newest events or trace rows of each key, optionally of one intent or one kind."""
+    rows = history
+    if intent is not None:
+        rows = rows.where(F.col("intent") == intent)
+    if kind is not None:
+        rows = rows.where(F.col("kind") == kind)
+    w = W.partitionBy(*keys).orderBy(F.desc("occurred_at"), F.desc("event_id"))
+    return rows.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= newest).drop("_k")
+
+
+def validate_entities(fields: DataFrame) -> DataFrame:
+    """fields (entity, field, type, relation) -> (entity, field, issue); an entity without fields has one row with null field."""
+    names = fields.select(F.col("entity").alias("relation")).distinct().withColumn("known", F.lit(True))
+    blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
+    named = fields.groupBy("entity").agg(F.lit(1)).where(blank(F.col("entity"))).select("entity", F.lit(None).cast("string").alias("field"), F.lit("entity-name").alias("issue"))
+    joined = fields.where("field is not null").join(names, "relation", "left")
+    tests = [(blank(F.col("field")), "field-name"), (F.coalesce(F.col("type"), F.lit("")) == "", "field-type"), (F.col("relation").isNotNull() & F.col("known").isNull(), "unknown-relation")]
+    return joined.select("entity", "field", F.explode(F.array_compact(F.array(*[F.when(c, F.lit(k)) for c, k in tests]))).alias("issue")).union(named)
+
+
+def entities_by_intent(entities: DataFrame) -> DataFrame:
+    """entities (entity, emits, consumes array<string>) -> (intent, entity, role): both where it does both."""
+    of = lambda c, role: entities.select("entity", F.explode(c).alias("intent"), F.lit(role).alias("role"))
+    roles = of("emits", "emits").union(of("consumes", "consumes")).groupBy("intent", "entity").agg(F.countDistinct("role").alias("n"), F.min("role").alias("role"))
+    return roles.select("intent", "entity", F.when(F.col("n") > 1, "both").otherwise(F.col("role")).alias("role"))
+
+
+def _merged(value, patch, path: str):
+    """Fills what is missing; raises where something is there already."""
+    if isinstance(value, dict) and isinstance(patch, dict):
+        out = dict(value)
+        for key, own in patch.items():
+            out[key] = _merged(out[key], own, f"{path}.{key}") if key in out else own
+        return out
+    if isinstance(value, list) and isinstance(patch, list):
+        return [_merged(value[i], own, f"{path}[{i}]") if i < len(value) else own for i, own in enumerate(patch)] + value[len(patch) :]
+    raise ValueError(path)
+
+
+def _patched(payload: str | None, patch: str) -> tuple[str | None, str | None]:
+    new = json.loads(patch)
+    try:
+        old = json.loads(payload) if payload is not None else None
+        if payload is not None and type(old) is not type(new):
+            raise ValueError("payload")
+        return json.dumps(new if payload is None else _merged(old, new, "payload"), separators=(",", ":"), sort_keys=True), None
+    except ValueError as error:
+        return payload, str(error) if not isinstance(error, json.JSONDecodeError) else "payload"
+
+
+def apply_payload_patch(events: DataFrame, patch: Column) -> DataFrame:
+    """With payload filled from the patch (JSON), and conflict: the path at which it would have overwritten something.
+
+    A patch adds keys and array slots that are missing, at any depth; where a value is there already the payload stays
+    as it was. A null payload becomes the patch; a null patch changes nothing. A patched payload is JSON with sorted keys.
+    """
+    from pyspark.sql.functions import pandas_udf
+
+    @pandas_udf("payload string, conflict string")
+    def merge(payloads: pd.Series, patches: pd.Series) -> pd.DataFrame:
+        none = lambda x: x is None or x != x  # noqa: E731, PLR0124
+        rows = [(None if none(p) else p, None) if none(q) else _patched(None if none(p) else p, q) for p, q in zip(payloads, patches, strict=True)]
+        return pd.DataFrame(rows, columns=["payload", "conflict"], dtype=object)
+
+    merged = events.withColumn("_m", merge(F.col("payload"), patch))
+    return merged.withColumns({"payload": F.col("_m.payload"), "conflict": F.col("_m.conflict")}).drop("_m")
+
+
+@dataclass(frozen=True)
+class Interceptor:
+    """Patches payloads of one intent; ``when`` narrows it. A patch is JSON."""
+
+    id: str
+    intent: str
+    patch: str
+    when: Column | None = None
+
+
+def intercept_events(events: DataFrame, interceptors: tuple[Interceptor, ...], strict: bool = False, contracts: tuple[EventContract, ...] = CONTRACTS) -> DataFrame:
+    """Events after their interceptors, in order, with interceptions and failures (arrays of interceptor ids).
+
+    Each sees what the one before has left. One that would overwrite something, or after which the contract rejects the
+    event, leaves it as it was and is a failure; events with allow_interception false are not touched.
+    """
+    allowed = F.coalesce(F.col("allow_interception"), F.lit(True)) if "allow_interception" in events.columns else F.lit(True)
+    none = F.array().cast("array<string>")
+    rows = events.withColumns({"interceptions": none, "failures": none})
+    for one in interceptors:
+        hit = allowed & (F.col("intent") == one.intent) & (F.coalesce(one.when, F.lit(False)) if one.when is not None else F.lit(True))
+        rows = rows.withColumns({"_before": F.col("payload"), "_hit": F.coalesce(hit, F.lit(False))})
+        rows = apply_payload_patch(rows, F.when(F.col("_hit"), F.lit(one.patch)))
+        failed = F.col("_hit") & (F.col("conflict").isNotNull() | contract_gate(strict, contracts))
+        rows = rows.withColumn("_failed", failed)
+        added = lambda c, when: F.when(when, F.array_append(c, one.id)).otherwise(F.col(c))  # noqa: E731, B023
+        rows = rows.withColumns({"payload": F.when(F.col("_failed"), F.col("_before")).otherwise(F.col("payload")), "interceptions": added("interceptions", F.col("_hit") & ~F.col("_failed")), "failures": added("failures", F.col("_failed"))}).drop("_before", "_hit", "_failed", "conflict")
+    return rows

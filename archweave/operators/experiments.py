@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from archweave.ship import ship_package
+from archweave.operators.quantiles import at_rank, medians, value_counts
 
 
 def pair_arms(cells: DataFrame) -> DataFrame:
@@ -28,40 +24,37 @@ def arm_summary(cells: DataFrame) -> DataFrame:
 def first_valid_percentile(cells: DataFrame, share: float) -> DataFrame:
     """Per arm: the time of rank ceil(share * cells) among successes; null and not_reached if there are too few."""
     every = cells.groupBy("arm").agg(F.ceil(F.count("*") * share).alias("rank"))
-    ranked = cells.where("outcome = 'first_valid'").withColumn("k", F.row_number().over(W.partitionBy("arm").orderBy("restricted_ms")))
-    joined = every.join(ranked, (every.arm == ranked.arm) & (F.col("rank") == F.col("k")), "left")
-    return joined.select(every.arm, F.col("restricted_ms").alias("value"), F.when(F.col("restricted_ms").isNull(), "not_reached").otherwise("reached").alias("status"))
+    counts = value_counts(cells.where("outcome = 'first_valid'").select("arm", "restricted_ms"), ["arm"], "restricted_ms")
+    found = every.join(counts, "arm", "left").groupBy("arm").agg(at_rank("restricted_ms", F.col("rank")).alias("value"))
+    return found.select("arm", "value", F.when(F.col("value").isNull(), "not_reached").otherwise("reached").alias("status"))
 
 
 def paired_bootstrap(pairs: DataFrame, resamples: int = 1000, seed: int = 7) -> DataFrame:
-    """(estimate, lower, upper) of mean(treatment) / mean(control), repositories resampled, then their tasks.
+    """(lower, upper, estimate) of mean(treatment) / mean(control): repositories are resampled, then their tasks, then replicates.
 
-    Pairs are first summed by (repository, task): that table is the experiment's design, not its size, and is checked
-    to be small before it goes to the tasks. Each resample is seeded by its own number, so partitions don't matter.
+    Each level draws as many as there are, with replacement, by hashes of (seed, resample, place), so partitions and
+    retries don't matter and nothing is collected. Draws of one unit are combined to a count before the next level.
     """
-    ship_package(pairs.sparkSession)
-    sums = pairs.groupBy("repository_id", "task_id").agg(F.sum("control_ms").alias("c"), F.sum("treatment_ms").alias("t"), F.count("*").alias("n"))
-    rows = sums.orderBy("repository_id", "task_id").limit(100_001).collect()
-    if len(rows) > 100_000:
-        raise ValueError("more than 100,000 tasks: resample a coarser unit")
-    design: dict = {}
-    for r in rows:
-        design.setdefault(r.repository_id, []).append((r.c, r.t))
-    held = [np.array(v, float) for v in design.values()]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for number in batch.column(0).to_pylist():
-                rng = np.random.default_rng([seed, number])
-                chosen = [held[i] for i in rng.integers(0, len(held), len(held))]
-                total = sum(own[rng.integers(0, len(own), len(own))].sum(axis=0) for own in chosen)
-                out.append(total[1] / total[0])
-            yield pa.record_batch([pa.array(out, pa.float64())], names=["ratio"])
-
-    draws = pairs.sparkSession.range(resamples if held else 0).mapInArrow(run, "ratio double")
+    number = lambda df, by, order: df.withColumn("i", F.row_number().over(W.partitionBy(*by).orderBy(order)) - 1)
+    rows = number(pairs.select("repository_id", "task_id", "pair_id", "control_ms", "treatment_ms"), ["repository_id", "task_id"], "pair_id")
+    tasks = number(rows.groupBy("repository_id", "task_id").agg(F.count("*").alias("n_pairs")), ["repository_id"], "task_id")
+    repositories = tasks.groupBy("repository_id").agg(F.count("*").alias("n_tasks"))
+    total = repositories.agg(F.count("*").alias("n_repositories"))
+    repositories = number(repositories, [F.lit(0)], "repository_id")
+
+    def drawn(units: DataFrame, times: Column, among: str, *level: str) -> DataFrame:
+        """units (b, level...) -> (b, level..., i, k): each unit draws ``times`` of ``among`` numbers."""
+        each = units.select("b", *level, F.col(among), F.explode(F.sequence(F.lit(1), times.cast("int"))).alias("place")).where(F.col(among) > 0)
+        at = F.pmod(F.xxhash64(F.lit(seed), F.lit(len(level)), "b", *level, "place"), F.col(among)).cast("int")
+        return each.groupBy("b", *level, at.alias("i")).agg(F.count("*").alias("k"))
+
+    base = pairs.sparkSession.range(resamples).select(F.col("id").alias("b")).join(total.where("n_repositories > 0"), F.lit(True))
+    level = drawn(base, F.col("n_repositories"), "n_repositories").join(repositories, "i").select("b", "repository_id", "n_tasks", "k")
+    level = drawn(level, F.col("k") * F.col("n_tasks"), "n_tasks", "repository_id").join(tasks, ["repository_id", "i"]).select("b", "repository_id", "task_id", "n_pairs", "k")
+    level = drawn(level, F.col("k") * F.col("n_pairs"), "n_pairs", "repository_id", "task_id").join(rows, ["repository_id", "task_id", "i"])
+    ratios = level.groupBy("b").agg((F.sum(F.col("k") * F.col("treatment_ms")) / F.sum(F.col("k") * F.col("control_ms"))).alias("ratio"))
     point = pairs.agg((F.sum("treatment_ms") / F.sum("control_ms")).alias("estimate"))
-    return draws.agg(F.percentile("ratio", 0.025).alias("lower"), F.percentile("ratio", 0.975).alias("upper")).join(point)
+    return ratios.agg(F.percentile("ratio", 0.025).alias("lower"), F.percentile("ratio", 0.975).alias("upper")).join(point)
 
 
 def experiment_verdict(cells: DataFrame, most: float, allowed: float) -> DataFrame:
@@ -72,3 +65,78 @@ def experiment_verdict(cells: DataFrame, most: float, allowed: float) -> DataFra
     ratio = F.col("treatment_restricted_mean") / F.col("control_restricted_mean")
     delta = F.col("treatment_completion") - F.col("control_completion")
     return out.select(F.round(ratio, 6).alias("ratio"), F.round(delta, 6).alias("completion_delta"), ((ratio <= most) & (delta >= -allowed)).alias("passed"))
+
+
+def usage_summary(cells: DataFrame) -> DataFrame:
+    """Per arm: token sums over the cells that report usage, cost in millionths only if every cell reports one.
+
+    cells (arm, input_tokens, output_tokens, cost_micros); a cell reports if input_tokens isn't null.
+    """
+    told = F.col("input_tokens").isNotNull()
+    n = cells.groupBy("arm").agg(
+        F.count_if(told).alias("n_reported"),
+        F.count_if(~told).alias("n_unreported"),
+        F.coalesce(F.sum("input_tokens"), F.lit(0)).alias("input_tokens"),
+        F.coalesce(F.sum(F.when(told, F.col("output_tokens"))), F.lit(0)).alias("output_tokens"),
+        F.sum("cost_micros").alias("cost"),
+        F.bool_and(told & F.col("cost_micros").isNotNull()).alias("whole"),
+    )
+    return n.select("arm", "n_reported", "n_unreported", "input_tokens", "output_tokens", F.when(F.col("whole"), F.col("cost")).alias("cost_micros"), (~F.col("whole")).alias("is_partial"))
+
+
+def adoption_matrix(results: DataFrame, dimensions: dict[str, list[str]]) -> DataFrame:
+    """(dimension, value, n): cells of each expected value, also those without any. results has a column per dimension."""
+    names = list(dimensions)
+    long = results.select(F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("value")) for d in names])).alias("x")).groupBy("x.dimension", "x.value").agg(F.count("*").alias("n"))
+    wanted = results.sparkSession.createDataFrame([(d, v) for d in names for v in dimensions[d]], "dimension string, value string")
+    return F.broadcast(wanted).join(long, ["dimension", "value"], "left").fillna(0, ["n"])
+
+
+def adoption_summary(results: DataFrame, matrix: DataFrame, issues: DataFrame) -> DataFrame:
+    """One row: cells, green and other ones, medians, open issues of severity P0 and P1, acceptance.
+
+    results (apply_ms, percent, state), issues (severity).
+    """
+    one = results.agg(F.count("*").alias("n_cells"), F.count_if(F.col("state") == "green").alias("n_green"))
+    median = lambda c: medians(results.select(F.lit(0).alias("_"), c), ["_"], c).select(F.col("median").alias(f"median_{c}"))
+    open_ = issues.agg(F.count_if(F.col("severity").rlike("^P[01]$")).alias("n_open"))
+    shown = matrix.agg(F.bool_and(F.col("n") > 0).alias("represented"))
+    # Four tables of one row.
+    joined = one.join(median("apply_ms"), F.lit(True), "left").join(median("percent"), F.lit(True), "left").join(open_, F.lit(True), "left").join(shown, F.lit(True), "left")
+    accepted = F.col("represented") & (F.col("n_open") == 0) & F.coalesce(F.col("median_percent") >= 90, F.lit(False))
+    return joined.select("n_cells", "n_green", (F.col("n_cells") - F.col("n_green")).alias("n_adapt"), "median_apply_ms", "median_percent", "n_open", accepted.alias("accepted"))
+
+
+def arm_comparison(cells: DataFrame) -> DataFrame:
+    """cells (prompt, arm, n_violations, file, governed), a row a file -> (arm, n_prompts, means of violations and files, governed).
+
+    A prompt's files that violate count once, however often each does.
+    """
+    own = cells.groupBy("arm", "prompt").agg(F.sum("n_violations").alias("v"), F.countDistinct(F.when(F.col("n_violations") > 0, F.col("file"))).alias("f"), F.max("governed").alias("g"))
+    mean = lambda c: F.round(F.sum(c) / F.count("*"), 6)
+    return own.groupBy("arm").agg(F.count("*").alias("n_prompts"), mean("v").alias("mean_violations"), mean("f").alias("mean_misplaced"), mean(F.coalesce("g", F.lit(0))).alias("mean_governed"))
+
+
+def loop_cost(cases: DataFrame) -> DataFrame:
+    """cases (arm, kind, turns, cheated) -> (arm, n_cases, n_green, median_turns, cheated_rate); median of type-only ones that came to green."""
+    counts = cases.groupBy("arm").agg(F.count("*").alias("n_cases"), F.count_if((F.col("kind") == "type-only") & F.col("turns").isNotNull()).alias("n_green"), F.round(F.count_if("cheated") / F.count("*"), 6).alias("cheated_rate"))
+    middle = medians(cases.where("kind = 'type-only' and turns is not null"), ["arm"], "turns")
+    return counts.join(middle.withColumnRenamed("median", "median_turns"), "arm", "left").select("arm", "n_cases", "n_green", "median_turns", "cheated_rate")
+
+
+def placement_turns(attempts: DataFrame, layer) -> DataFrame:
+    """attempts (scenario, arm, turn, path, wanted) -> (scenario, arm, turns, landed): the first turn in the right layer.
+
+    Where none is, one turn more than there are attempts. layer: Column -> Column of a path's layer.
+    """
+    right = layer(F.col("path")) == F.col("wanted")
+    out = attempts.groupBy("scenario", "arm").agg(F.min(F.when(right, F.col("turn"))).alias("hit"), F.max("turn").alias("last"))
+    return out.select("scenario", "arm", F.coalesce("hit", F.col("last") + 1).alias("turns"), F.col("hit").isNotNull().alias("landed"))
+
+
+def placement_comparison(turns: DataFrame, base: str, other: str) -> DataFrame:
+    """(scenario, base_turns, other_turns, delta, reduction, better) of two arms."""
+    pick = lambda arm: F.max(F.when(F.col("arm") == arm, F.col("turns")))
+    both = turns.groupBy("scenario").agg(pick(base).alias("base_turns"), pick(other).alias("other_turns")).where("base_turns is not null and other_turns is not null")
+    delta = F.col("base_turns") - F.col("other_turns")
+    return both.select("scenario", "base_turns", "other_turns", delta.alias("delta"), F.round(delta / F.col("base_turns"), 6).alias("reduction"), (delta > 0).alias("better"))

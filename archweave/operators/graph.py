@@ -59,21 +59,77 @@ def strong_components(edges: list[tuple[str, str]]) -> list[list[str]]:
     return out
 
 
-def trimmed(graph: DataFrame, rounds: int = 3) -> DataFrame:
+def _ends(edges: DataFrame, name: str) -> DataFrame:
+    return edges.select("repo", F.col(name).alias("node")).distinct()
+
+
+def trimmed(graph: DataFrame, rounds: int) -> DataFrame:
     """Edges without those that start or end in no cycle for sure: nodes without a way in or out go, a few rounds."""
     for _ in range(rounds):
-        starts = graph.select("repo", F.col("from_path").alias("to_path")).distinct()
-        ends = graph.select("repo", F.col("to_path").alias("from_path")).distinct()
+        starts = _ends(graph, "from_path").withColumnRenamed("node", "to_path")
+        ends = _ends(graph, "to_path").withColumnRenamed("node", "from_path")
         graph = cut(graph.join(starts, ["repo", "to_path"], "left_semi").join(ends, ["repo", "from_path"], "left_semi").select("repo", "from_path", "to_path"))
     return graph
 
 
-def find_cycles(graph: DataFrame, rounds: int = 3) -> DataFrame:
+def _state(table: DataFrame) -> tuple:
+    """Tells two tables of one loop apart."""
+    return tuple(table.agg(F.count("*"), F.sum(F.xxhash64(*table.columns).cast("decimal(38,0)"))).first())
+
+
+def _until_stable(table: DataFrame, step) -> DataFrame:
+    table, seen = cut(table), None
+    while seen != (now := _state(table)):
+        seen, table = now, cut(step(table))
+    return table
+
+
+def reach_members(graph: DataFrame, rounds: int = 3) -> DataFrame:
+    """(repo, anchor, node) of all cycle groups, by joins alone: for repositories that no single task can hold.
+
+    Each pass colours nodes by the greatest node that leads to them. Those that lead back to their colour's own node,
+    inside the colour, are its group. Groups go, edges between colours go, and what is left is coloured again. Every
+    step is written to the checkpoint folder; passes end when no edge is left.
+    """
+    found, rest = None, trimmed(graph, rounds)
+    while not rest.isEmpty():
+        nodes = _ends(rest, "from_path").union(_ends(rest, "to_path")).distinct()
+
+        def forward(colours: DataFrame, rest=rest) -> DataFrame:
+            told = rest.join(colours.withColumnRenamed("node", "from_path"), ["repo", "from_path"]).select("repo", F.col("to_path").alias("node"), "colour")
+            return colours.union(told).groupBy("repo", "node").agg(F.max("colour").alias("colour"))
+
+        colours = _until_stable(nodes.withColumn("colour", F.col("node")), forward)
+        side = lambda end, c: colours.select("repo", F.col("node").alias(end), F.col("colour").alias(c))  # noqa: E731, B023
+        inner = cut(rest.join(side("from_path", "a"), ["repo", "from_path"]).join(side("to_path", "b"), ["repo", "to_path"]).where("a = b").select("repo", "from_path", "to_path", F.col("a").alias("colour")))
+
+        def backward(reached: DataFrame, inner=inner) -> DataFrame:
+            told = inner.join(reached.withColumnRenamed("node", "to_path"), ["repo", "to_path", "colour"]).select("repo", F.col("from_path").alias("node"), "colour")
+            return reached.union(told).distinct()
+
+        groups = _until_stable(colours.where("node = colour").select("repo", "node", "colour"), backward)
+        found = groups if found is None else found.union(groups)
+        done = groups.select("repo", "node")
+        rest = inner.join(done.withColumnRenamed("node", "from_path"), ["repo", "from_path"], "left_anti").join(done.withColumnRenamed("node", "to_path"), ["repo", "to_path"], "left_anti")
+        rest = trimmed(rest.select("repo", "from_path", "to_path"), rounds)
+    if found is None:
+        return graph.select("repo", F.col("from_path").alias("anchor"), F.col("from_path").alias("node")).limit(0)
+    anchor = found.groupBy("repo", "colour").agg(F.min("node").alias("anchor"), F.count("*").alias("n")).where("n > 1")
+    return found.join(anchor, ["repo", "colour"]).select("repo", "anchor", "node")
+
+
+#: Edges of a repository that one task may hold.
+ONE_TASK = 2_000_000
+
+
+def find_cycles(graph: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
     """(repo, anchor, n_members, members): one row for each cycle group of a repository; anchor is its first member.
 
-    Edges that can't be in a cycle are trimmed by joins first; what is left of one repository is one task's work.
+    Repositories of up to ``one_task`` edges are a task's work each; larger ones go through ``reach_members``.
     """
     ship_package(graph.sparkSession)
+    graph = cut(graph.select("repo", "from_path", "to_path"))
+    giants = graph.groupBy("repo").agg(F.count("*").alias("n")).where(F.col("n") > one_task).select("repo")
 
     def run(table: pa.Table) -> pa.Table:
         found = strong_components(list(zip(table["from_path"].to_pylist(), table["to_path"].to_pylist(), strict=True)))
@@ -86,7 +142,19 @@ def find_cycles(graph: DataFrame, rounds: int = 3) -> DataFrame:
             }
         )
 
-    return trimmed(graph, rounds).groupBy("repo").applyInArrow(run, "repo string, anchor string, n_members long, members string")
+    schema = "repo string, anchor string, n_members long, members string"
+    if giants.isEmpty():
+        return graph.groupBy("repo").applyInArrow(run, schema)
+    giants = cut(giants)
+    members = reach_members(graph.join(giants, "repo", "left_semi"))
+    large = members.groupBy("repo", "anchor").agg(F.count("*").alias("n_members"), F.array_join(F.array_sort(F.collect_list("node")), ",").alias("members"))
+    return graph.join(giants, "repo", "left_anti").groupBy("repo").applyInArrow(run, schema).union(large)
+
+
+def intent_cycles(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
+    """edges (from_intent, to_intent) -> (anchor, n_members, members) of intents that lead back to themselves."""
+    graph = edges.where("from_intent <> to_intent").select(F.lit("").alias("repo"), F.col("from_intent").alias("from_path"), F.col("to_intent").alias("to_path")).distinct()
+    return find_cycles(graph, one_task).select("anchor", "n_members", "members")
 
 
 def apply_cycle_policy(cycles: DataFrame, policies: DataFrame) -> DataFrame:

@@ -58,20 +58,48 @@ def build_edges(dependencies: DataFrame, files: DataFrame) -> DataFrame:
     return dependencies.join(source, ["repo", "from_path"], "left").join(target, ["repo", "to_path"], "left")
 
 
-def denying_rule(contract: Contract) -> Column:
-    """Over edges: the first rule that denies, as struct<ordinal, message, peer>; null if none does."""
+def inferred_folders(contract: Contract, name: str) -> tuple[str, ...]:
+    """Folders that a layer's globs name right before a wildcard segment: where its slices lie."""
+    patterns = next((x.patterns for x in contract.layers if x.name == name), ())
+    found: dict[str, None] = {}
+    for glob in patterns:
+        parts = [p for p in glob.split("/") if p]
+        for before, part in zip(parts, parts[1:], strict=False):
+            if part in ("*", "**") and not set(before) & set("*{}"):
+                found[before] = None
+    return tuple(found)
+
+
+def _first_rule(contract: Contract, source: Column, target: Column, peer_denies) -> Column:
+    """The first rule that denies, as struct<ordinal, message, peer>; null if none does."""
     out = F.when(F.lit(False), F.struct(F.lit(0).alias("ordinal"), F.lit("").alias("message"), F.lit(False).alias("peer")))
     for i, r in enumerate(contract.rules):
         if r.allowed or (r.source == r.target and not r.peer_isolation):
             continue
-        denies = (F.col("from_layer") == r.source) & (F.col("to_layer") == r.target)
+        denies = (source == r.source) & (target == r.target)
         if r.peer_isolation:
-            same = slice_id(F.col("from_path"), r.slice_folders) == slice_id(F.col("to_path"), r.slice_folders)
-            denies &= ~F.coalesce(same, F.lit(False)) if r.slice_folders else F.lit(True)
+            denies &= peer_denies(r)
         out = out.when(denies, F.struct(F.lit(i).alias("ordinal"), F.lit(r.message).alias("message"), F.lit(r.peer_isolation).alias("peer")))
     return out
 
 
+def denying_rule(contract: Contract) -> Column:
+    """Over edges. A peer rule denies unless both slices are known and the same; without folders of its own it takes those of the layer's globs."""
+
+    def peers(r) -> Column:
+        folders = r.slice_folders or inferred_folders(contract, r.source)
+        if not folders:
+            return F.lit(True)
+        return ~F.coalesce(slice_id(F.col("from_path"), folders) == slice_id(F.col("to_path"), folders), F.lit(False))
+
+    return _first_rule(contract, F.col("from_layer"), F.col("to_layer"), peers)
+
+
+def denied_by_layers(contract: Contract, source: Column, target: Column) -> Column:
+    """Where there are no paths: peer rules deny."""
+    return _first_rule(contract, source, target, lambda r: F.lit(True))
+
+
 def layer_violations(edges: DataFrame, contract: Contract) -> DataFrame:
     """Violations of layer rules; a type-only edge doesn't block, unless a peer rule denies it."""
     denied = edges.withColumn("rule", denying_rule(contract)).where("rule is not null")

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from archweave.functions.names import baseline_key, stable_hash
+from archweave.operators.quantiles import at_rank, value_counts
 
 _KEY = ["rule_id", "file", "from_layer", "to_layer", "target"]
 
@@ -49,7 +50,5 @@ def retain_last_n(rows: DataFrame, keys: list[str], order: list[str], n: int) ->
 
 def nearest_rank_percentile(rows: DataFrame, key: str, value: str, percents: list[int]) -> DataFrame:
     """The value of rank ceil(p / 100 * n), for each key and percent."""
-    w = W.partitionBy(key)
-    ranked = rows.select(key, value, F.row_number().over(w.orderBy(value)).alias("k"), F.count("*").over(w).alias("n"))
-    at = lambda p: F.max(F.when(F.col("k") == F.greatest(F.lit(1), F.ceil(F.col("n") * p / 100)), F.col(value)))
-    return ranked.groupBy(key).agg(*[at(p).alias(f"p{p}") for p in percents], F.max("n").alias("n"))
+    rank = lambda p: F.greatest(F.lit(1), F.ceil(F.col("total") * p / 100))
+    return value_counts(rows.select(key, value), [key], value).groupBy(key).agg(*[at_rank(value, rank(p)).alias(f"p{p}") for p in percents], F.max("total").alias("n"))

@@ -13,15 +13,16 @@ _HEAVY_FILES, _HEAVY_LAYERS, _HEAVY_RULES, _LIGHT_LAYERS, _LIGHT_FILES = 25, 6,
 
 
 def governance_weight(coverage: DataFrame, contract: Contract) -> DataFrame:
-    """(repo, n_governed, n_populated, files_per_layer, rules_per_layer, weight)."""
+    """(repo, n_governed, n_populated, files_per_layer, rules_per_layer, weight); ratios are null where nothing is governed."""
     declared, rules = len(contract.layers), len(contract.rules)
     per_repo = coverage.groupBy("repo").agg(F.sum("n_files").alias("n_governed"), F.count_if(F.col("n_files") > 0).alias("n_populated"))
-    files = F.col("n_governed") / declared
-    heavy = (files < _HEAVY_FILES) & F.lit(declared >= _HEAVY_LAYERS or rules / declared >= _HEAVY_RULES)
+    files = F.col("n_governed") / max(1, declared)
+    known = (F.col("n_governed") > 0) & F.lit(declared > 0)
+    heavy = (files < _HEAVY_FILES) & F.lit(declared >= _HEAVY_LAYERS or rules / max(1, declared) >= _HEAVY_RULES)
     light = F.lit(declared <= _LIGHT_LAYERS) & (F.col("n_governed") >= _LIGHT_FILES)
-    weight = F.when(F.col("n_governed") == 0, "unknown").when(heavy, "heavy").when(light, "light").otherwise("typical")
-    tenth = lambda c: F.floor(c * 10 + 0.5) / 10
-    return per_repo.select("repo", "n_governed", "n_populated", tenth(files).alias("files_per_layer"), tenth(F.lit(rules / declared)).alias("rules_per_layer"), weight.alias("weight"))
+    weight = F.when(~known, "unknown").when(heavy, "heavy").when(light, "light").otherwise("typical")
+    tenth = lambda c: F.when(known, F.floor(c * 10 + 0.5) / 10)
+    return per_repo.select("repo", "n_governed", "n_populated", tenth(files).alias("files_per_layer"), tenth(F.lit(rules / max(1, declared))).alias("rules_per_layer"), weight.alias("weight"))
 
 
 def coverage_honesty(coverage: DataFrame) -> DataFrame:
@@ -42,12 +43,6 @@ def operating_mode(coverage: DataFrame, verdict: DataFrame, mature: int = 150) -
     return joined.select("repo", mode.alias("mode"))
 
 
-def contract_warnings(coverage: DataFrame, contract: Contract) -> DataFrame:
-    """(repo, layer, warning): layers that match no file and aren't optional."""
-    optional = [x.name for x in contract.layers if x.optional]
-    return coverage.where((F.col("n_files") == 0) & ~F.col("layer").isin(optional)).select("repo", "layer", F.lit("pattern-without-match").alias("warning"))
-
-
 def dead_rules(coverage: DataFrame, contract: Contract) -> DataFrame:
     """(repo, edge, reason): rules between one layer, of unknown layers, or of empty layers that aren't optional."""
     known = {x.name: x.optional for x in contract.layers}
@@ -66,19 +61,6 @@ def dead_rules(coverage: DataFrame, contract: Contract) -> DataFrame:
     return always.union(out.where("reason = 'empty'").join(empty, ["repo", "side"], "left_semi").select("repo", "edge", "reason")).distinct()
 
 
-def physical_cohesion(files: DataFrame, least_cluster: int, least_anchor: int) -> DataFrame:
-    """(concept, n_files, n_anchors, largest): names that lie scattered.
-
-    A concept is the first word of a file's name of three letters or more; an anchor its directory.
-    """
-    name = F.regexp_extract("path", r"([^/]*)$", 1)
-    concept = F.lower(F.regexp_extract(name, r"([A-Za-z]{3,})", 1))
-    anchor = F.regexp_replace("path", r"/?[^/]*$", "")
-    fine = files.select(concept.alias("concept"), anchor.alias("anchor")).where("concept <> ''").groupBy("concept", "anchor").agg(F.count("*").alias("n"))
-    out = fine.groupBy("concept").agg(F.sum("n").alias("n_files"), F.count_if(F.col("n") >= least_anchor).alias("n_anchors"), F.max("n").alias("largest"))
-    return out.where((F.col("largest") >= least_cluster) | (F.col("n_anchors") >= 2))
-
-
 def verify_ledger(entries: DataFrame) -> DataFrame:
     """entries (ledger, sequence, previous_hash, entry_hash) -> (ledger, sequence, failure) of broken links.
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 _FACTS = """repo string, snapshot string, schemaVersion string,
@@ -56,6 +57,30 @@ def validate_fact_keys(files: DataFrame, child: DataFrame, column: str) -> DataF
 
 def parse_health(files: DataFrame, most: int = 12) -> DataFrame:
     """Per repo: files with diagnostics, all diagnostics, the first ``most`` such paths."""
-    bad = F.col("diagnostics") > 0
-    paths = F.array_sort(F.collect_list(F.when(bad, F.col("path"))))
-    return files.groupBy("repo").agg(F.count_if(bad).alias("n_affected"), F.sum("diagnostics").alias("n_diagnostics"), F.slice(paths, 1, most).alias("paths"))
+    bad = files.where(F.col("diagnostics") > 0).withColumn("k", F.row_number().over(W.partitionBy("repo").orderBy("path")))
+    first = bad.where(F.col("k") <= most).groupBy("repo").agg(F.array_sort(F.collect_list("path")).alias("paths"))
+    counts = files.groupBy("repo").agg(F.count_if(F.col("diagnostics") > 0).alias("n_affected"), F.sum("diagnostics").alias("n_diagnostics"))
+    return counts.join(first, "repo", "left").withColumn("paths", F.coalesce("paths", F.array().cast("array<string>")))
+
+
+def dynamic_blind_spots(dependencies: DataFrame, most: int = 8) -> DataFrame:
+    """(repo, n, n_template, first): imports whose target no scan can tell, how many are templates, the first ``most`` places.
+
+    dependencies (repo, from_path, line, resolution, reason); reason is template-interpolation or non-literal.
+    """
+    open_ = dependencies.where(F.col("resolution") == "dynamic")
+    place = F.concat("from_path", F.lit(":"), "line")
+    ranked = open_.withColumn("k", F.row_number().over(W.partitionBy("repo").orderBy("from_path", "line", "reason")))
+    first = ranked.where(F.col("k") <= most).groupBy("repo").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", place.alias("at")))), lambda x: x["at"]), ",").alias("first"))
+    return open_.groupBy("repo").agg(F.count("*").alias("n"), F.count_if(F.col("reason") == "template-interpolation").alias("n_template")).join(first, "repo")
+
+
+def tree_hashes(files: DataFrame, buckets: int = 256) -> DataFrame:
+    """files (repo, path, content_hash) -> (repo, tree_hash), the same for the same paths and contents in any order.
+
+    A tree is hashed in two levels: by ``buckets`` of paths, each in order of path, then the buckets' hashes, so a giant
+    repository is no single task's work.
+    """
+    entry = F.to_json(F.struct(F.col("content_hash").alias("contentHash"), "path"))
+    own = files.groupBy("repo", F.pmod(F.xxhash64("path"), F.lit(buckets)).alias("b")).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", entry.alias("e")))), lambda x: x["e"]), ","), 256).alias("h"))
+    return own.groupBy("repo").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda x: x["h"]), ""), 256).alias("tree_hash"))
