@@ -13,7 +13,8 @@ are nested: a smaller budget takes a subset.
 Hashes are of doc_id and text, so reruns agree and only identical rows share one; those are taken alike.
 
 Defined results: a null text has size 0; null is a source of its own; a source without words has target 0; repeated
-rows are documents of their own; other columns are kept by ``mixed_documents``.
+rows are documents of their own; other columns are kept by ``mixed_documents``, but for one named ``copies``, in any
+case, which the mix's own replaces.
 """
 
 from __future__ import annotations
@@ -76,7 +77,7 @@ def thresholds(sized: DataFrame, wanted: DataFrame) -> DataFrame:
         rest = ALL_BITS - done - BITS
         width = 1 << (rest + BITS)
         edges = state.select(F.col("source").alias("s"), F.col("low").alias("l"))
-        inside = sized.join(F.broadcast(edges) if done == 0 else edges, F.col("source").eqNullSafe(F.col("s")) & (F.col("h") >= F.col("l")) & (F.col("h") < F.col("l") + width)) if done else sized
+        inside = sized.join(edges, F.col("source").eqNullSafe(F.col("s")) & (F.col("h") >= F.col("l")) & (F.col("h") < F.col("l") + width)) if done else sized
         sums = inside.groupBy("source", F.shiftright("h", rest).alias("b")).agg(F.sum("size").alias("own"))
         # At most 4096 buckets a source.
         sums = sums.withColumn("upto", F.sum("own").over(W.partitionBy("source").orderBy("b"))).withColumnRenamed("source", "s")
@@ -114,4 +115,4 @@ def mixed_documents(docs: DataFrame, share: float = SHARE, most: float = MOST) -
     """The mix itself: the rows of ``docs`` that are taken, each with ``copies``. Texts are not shuffled."""
     sized = cut(_sized(docs).select("source", "size", "h"))
     limits = thresholds(sized, targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), share, most))
-    return _taken(_sized(docs), limits).where("copies > 0").select("doc.*", F.col("copies").cast("long").alias("copies"))
+    return _taken(_sized(docs), limits).where("copies > 0").select(*[F.col("doc")[c].alias(c) for c in docs.columns if c.lower() != "copies"], F.col("copies").cast("long").alias("copies"))
