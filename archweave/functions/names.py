@@ -29,10 +29,17 @@ def intent_layer(intent: Column, prefixes: dict[str, tuple[str, ...]]) -> Column
     return out if out is not None else F.lit(None).cast("string")
 
 
+def _utf16(text: Column) -> Column:
+    """array<bigint> of a text's UTF-16 units; characters beyond U+FFFF, which are rare, are two."""
+    plain = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
+    points = F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.ascii(F.substring(text, i, F.lit(1))).cast("long"))
+    units = F.flatten(F.transform(points, lambda p: F.when(p > 0xFFFF, F.array(F.lit(0xD800) + F.shiftright(p - 0x10000, 10), F.lit(0xDC00) + (p - 0x10000).bitwiseAND(F.lit(0x3FF)))).otherwise(F.array(p))))
+    return F.when(text.rlike(r"[\x{10000}-\x{10FFFF}]"), units).otherwise(plain)
+
+
 def stable_hash(text: Column) -> Column:
-    """'fnv1a-' and eight hex digits. Characters up to U+FFFF, as the keys here have."""
-    codes = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
-    value = F.aggregate(codes, F.lit(_FNV_START).cast("long"), lambda h, c: (h.bitwiseXOR(c) * F.lit(_FNV_PRIME)).bitwiseAND(F.lit(4294967295)))
+    """'fnv1a-' and eight hex digits, over UTF-16 units."""
+    value = F.aggregate(_utf16(text), F.lit(_FNV_START).cast("long"), lambda h, c: (h.bitwiseXOR(c) * F.lit(_FNV_PRIME)).bitwiseAND(F.lit(4294967295)))
     return F.concat(F.lit("fnv1a-"), F.lower(F.lpad(F.hex(value), 8, "0")))
 
 

@@ -13,7 +13,7 @@ from archweave.contract import FLEET, WALLED, Contract, Layer, Rule
 from archweave.derive import facts
 from archweave.functions.names import stable_hash
 from archweave.functions.paths import is_canonical_path, scan_excluded
-from archweave.operators import changes, cohesion, events, experiments, graph, health, layers, plans, policy, structure, walls
+from archweave.operators import changes, cohesion, events, experiments, graph, health, layers, plans, policy, reports, scan, structure, walls
 from archweave.sources import contracts
 from archweave.sources import facts as src
 
@@ -654,5 +654,90 @@ def intent_cycles(spark: SparkSession, sf: str) -> DataFrame:
     return graph.intent_cycles(edges)
 
 
+@_query
+def extract_imports(spark: SparkSession, sf: str) -> DataFrame:
+    return scan.extract_imports(facts(spark, sf, "sources"))
+
+
+@_query
+def extract_class_shapes(spark: SparkSession, sf: str) -> DataFrame:
+    body = F.expr("CASE ordinal % 4 WHEN 0 THEN 'public count = 0; constructor(a) {}' WHEN 1 THEN 'a: string; b: number;' WHEN 2 THEN concat('private constructor() {}', chr(10), ' static create(x) { return 1 }', chr(10), ' add(x) { this.n = x }') ELSE 'run() { return 1 }' END")
+    rows = facts(spark, sf, "sources").withColumn("content", F.concat(F.lit("export class C"), F.col("ordinal"), F.lit(" {\n"), body, F.lit("\n}\n"), F.col("content")))
+    return scan.extract_class_shapes(rows).where("class_name <> 'Order'").select("repo", "file", "class_name", "public_setters", "public_mutable", "public_constructor", "static_factory", "data_only", F.size("mutating").cast("long").alias("n_mutating"))
+
+
+@_query
+def extract_module_state(spark: SparkSession, sf: str) -> DataFrame:
+    pure = F.coalesce(F.col("layer") == "DomainModel", F.lit(False))
+    rows = layers.classify_layers(facts(spark, sf, "sources"), WALLED).withColumn("content", F.concat(F.lit("let counter = 0;\nfunction f() { let inner = 1 }\nvar "), F.concat(F.lit("v"), F.col("ordinal")), F.lit(" = {};\n")))
+    known = rows.where("ordinal % 2 = 0").select("repo", "path", F.lit("counter").alias("name"))
+    return scan.extract_module_state(rows.withColumn("pure", pure), known)
+
+
+_NESTED = events.EventContract(
+    "Domain.Order.Placed",
+    "3",
+    {
+        "id": events.EventField("number", True),
+        "state": events.EventField("string", values=('"new"', '"paid"')),
+        "buyer": events.EventField("object", True, fields={"name": events.EventField("string", True), "age": events.EventField("number")}),
+        "lines": events.EventField("array", items=events.EventField("object", fields={"sku": events.EventField("string", True)})),
+        "any": events.EventField(),
+    },
+    additional=False,
+)
+
+
+@_query
+def nested_payload_issues(spark: SparkSession, sf: str) -> DataFrame:
+    payload = """CASE event_id % 7 WHEN 0 THEN '{"id": 1, "state": "new", "buyer": {"name": "x"}, "lines": [{"sku": "a"}], "any": null}' WHEN 1 THEN '{"id": "1", "state": "lost", "buyer": null}'
+     WHEN 2 THEN '{"id": 2, "buyer": {"age": "old"}, "lines": [{"sku": "a"}, {}, 5]}' WHEN 3 THEN '[]' WHEN 4 THEN '7' WHEN 5 THEN '{"id": 1.5, "buyer": {"name": "y"}, "more": 1}' END"""
+    rows = facts(spark, sf, "domain_events").where("intent = 'Domain.Order.Placed'").withColumns({"payload": F.expr(payload), "event_version": F.lit("3")})
+    return events.validate_payload(rows, (_NESTED,)).select("event_id", "path", "code")
+
+
+@_query
+def evaluate_policies(spark: SparkSession, sf: str) -> DataFrame:
+    policies = {
+        "positive": ("hard", F.col("value") > 5),
+        "named": ("soft", F.when(F.col("source").isNull(), F.lit("no source"))),
+        "many": ("soft", F.when(F.col("event_id") % 50 == 0, F.array(F.lit("first"), F.lit("second")))),
+    }
+    return events.evaluate_policies(facts(spark, sf, "domain_events"), policies)
+
+
+@_query
+def drift_report(spark: SparkSession, sf: str) -> DataFrame:
+    flows = facts(spark, sf, "intent_flows")
+    produces = flows.where("kind = 'produces'").select("from_intent", "to_intent")
+    seen = facts(spark, sf, "domain_events").select(F.col("source").alias("from_intent"), F.col("intent").alias("to_intent")).union(flows.where("kind = 'observed'").select("from_intent", "to_intent"))
+    registry = produces.select(F.col("from_intent").alias("intent")).union(seen.where("from_intent is not null and from_intent <> 'Domain.Order'").select("from_intent")).union(spark.createDataFrame([("Domain.Never",)], "intent string"))
+    return events.drift_report(produces, seen, registry)
+
+
+@_query
+def verify_evidence(spark: SparkSession, sf: str) -> DataFrame:
+    i = F.col("event_id")
+    rows = facts(spark, sf, "domain_events").select(F.col("correlation_id").alias("ledger"), "event_id", F.row_number().over(W.partitionBy("correlation_id").orderBy("event_id")).cast("long").alias("sequence"))
+    payload = i.cast("string")
+    # Hashes of entries stand for their chain: an entry's previous hash is told apart from what it hashes by its payload.
+    own = F.sha2(F.concat(payload, F.lit("|"), F.sha2(F.concat(F.lit("p"), payload), 256)), 256)
+    chained = rows.withColumns({"payload": payload, "previous_hash": F.sha2(F.concat(F.lit("p"), payload), 256)}).withColumn("entry_hash", F.when(i % 11 == 0, F.lit("wrong")).otherwise(own))
+    entries = chained.select(
+        "ledger", "sequence", "previous_hash", "entry_hash", "payload", F.when(i % 13 == 0, "other").otherwise("m").alias("manifest_hash"), F.concat(F.lit("c"), F.when(i % 17 == 0, 0).otherwise(i)).alias("cell_id"), F.concat(F.lit("s"), i).alias("session"), (F.col("sequence") * 10 - F.when(i % 19 == 0, 5).otherwise(0)).alias("started"), (F.col("sequence") * 10 + 10).alias("finished")
+    )
+    runs = rows.select("ledger", "sequence", F.concat(F.lit("c"), i).alias("cell_id"), F.concat(F.lit("s"), i).alias("session"))
+    extra = runs.groupBy("ledger").agg((F.max("sequence") + 1).alias("sequence"), F.lit("last").alias("cell_id"), F.lit("last").alias("session"))
+    found = reports.verify_evidence(entries, runs.union(extra), rows.select("ledger", F.lit("m").alias("manifest_hash")).distinct())
+    return found.where("failure <> 'chain'")
+
+
+@_query
+def arm_outcomes(spark: SparkSession, sf: str) -> DataFrame:
+    i = F.col("pair_id")
+    ci = F.when(i % 5 == 0, "red").when(i % 7 == 0, "not_run").otherwise("green")
+    return experiments.arm_outcomes(facts(spark, sf, "experiment_cells").select("arm", (i % 9).alias("turns"), (i % 2).alias("escapes"), (i % 3).alias("false_blocks"), (i % 4).alias("bypasses"), (i % 6).alias("decisions"), ci.alias("ci")))
+
+
 def queries() -> dict[str, Query]:
     return dict(_found)

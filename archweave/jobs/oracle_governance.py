@@ -297,8 +297,24 @@ _ORACLE = {
     "read_structure_rules": f"""{with_views('code_files')} SELECT repo, path || 'x' AS path, 'missing-file' AS problem, true AS blocking FROM code_files WHERE ordinal % 6 = 3 UNION ALL SELECT repo, path, 'unreferenced-file', false FROM code_files WHERE ordinal % 6 IN (2, 4)""",
     "valid_acks": f"""{with_views('code_files')}, a AS (SELECT repo, 'a' || ordinal // 100 AS file, ordinal % 97 = 0 AS bad, path AS edge FROM code_files) SELECT repo, file, edge FROM a WHERE (repo, file) NOT IN (SELECT (repo, file) FROM a WHERE bad)""",
     "intent_cycles": """WITH n AS (SELECT s_nationkey AS k, count(*) AS n, min('Domain.S' || s_suppkey) AS anchor, string_agg('Domain.S' || s_suppkey, ',' ORDER BY 'Domain.S' || s_suppkey) AS members FROM supplier GROUP BY ALL) SELECT anchor, n AS n_members, members FROM n WHERE k % 2 = 0 AND n > 1""",
+    "extract_imports": f"""{with_views('code_files')} SELECT repo, path AS file, CAST(0 AS BIGINT) AS ordinal, CAST(1 AS BIGINT) AS line, CASE ordinal % 5 WHEN 0 THEN 'pg' ELSE './other' END AS specifier, false AS type_only, false AS require_call FROM code_files WHERE ordinal % 5 <= 1""",
+    "extract_class_shapes": f"""{with_views('code_files')} SELECT repo, path AS file, 'C' || ordinal AS class_name, false AS public_setters, ordinal % 4 <= 1 AS public_mutable, ordinal % 4 = 0 AS public_constructor, ordinal % 4 = 2 AS static_factory, ordinal % 4 = 1 AS data_only, CAST(CASE WHEN ordinal % 4 = 2 THEN 1 ELSE 0 END AS BIGINT) AS n_mutating FROM code_files""",
+    "extract_module_state": f"""{_base()} SELECT repo, path, CAST(1 AS BIGINT) AS line, 'counter' AS name FROM classified WHERE layer = 'DomainModel' AND ordinal % 2 = 1 UNION ALL SELECT repo, path, 3, 'v' || ordinal FROM classified WHERE layer = 'DomainModel'""",
+    "nested_payload_issues": f"""{_EVENTS}, t(k, path, code) AS (VALUES (1, 'id', 'type'), (1, 'state', 'enum'), (1, 'buyer', 'nested-object'), (2, 'buyer.name', 'missing-required'), (2, 'buyer.age', 'type'), (2, 'lines[1].sku', 'missing-required'), (2, 'lines[2]', 'type'),
+  (3, 'id', 'missing-required'), (3, 'buyer', 'missing-required'), (4, '$', 'not-object'), (5, 'more', 'additional'), (6, '$', 'not-object')) SELECT event_id, path, code FROM domain_events JOIN t ON k = event_id % 7 WHERE intent = 'Domain.Order.Placed'""",
+    "evaluate_policies": f"""{_EVENTS} SELECT event_id, 'positive' AS policy, 'hard' AS severity, 'positive failed' AS message FROM domain_events WHERE NOT coalesce(value > 5, false) UNION ALL SELECT event_id, 'named', 'soft', 'no source' FROM domain_events WHERE source IS NULL
+ UNION ALL SELECT event_id, 'many', 'soft', unnest(['first', 'second']) FROM domain_events WHERE event_id % 50 = 0""",
+    "drift_report": f"""{with_views('domain_events', 'intent_flows')}, d AS (SELECT DISTINCT from_intent, to_intent FROM intent_flows WHERE kind = 'produces'), o AS (SELECT DISTINCT coalesce(source, '') AS from_intent, intent AS to_intent FROM domain_events UNION SELECT from_intent, to_intent FROM intent_flows WHERE kind = 'observed'),
+ r AS (SELECT from_intent AS n FROM d UNION SELECT from_intent FROM o WHERE from_intent NOT IN ('', 'Domain.Order') UNION SELECT 'Domain.Never')
+ SELECT 'declared-unobserved' AS list, * FROM (SELECT * FROM d EXCEPT SELECT * FROM o) UNION ALL SELECT 'observed-undeclared', * FROM (SELECT * FROM o WHERE from_intent <> 'unknown' EXCEPT SELECT * FROM d) UNION ALL SELECT 'unknown-source', * FROM o WHERE from_intent IN ('', 'unknown')
+ UNION ALL SELECT DISTINCT 'unregistered-source', from_intent, CAST(NULL AS VARCHAR) FROM o WHERE from_intent NOT IN ('', 'unknown') AND from_intent NOT IN (SELECT n FROM r) UNION ALL SELECT DISTINCT 'unregistered-intent', CAST(NULL AS VARCHAR), to_intent FROM o WHERE to_intent NOT IN (SELECT n FROM r)
+ UNION ALL SELECT 'never-observed', NULL, n FROM r WHERE n NOT IN (SELECT from_intent FROM o UNION SELECT to_intent FROM o)""",
+    "verify_evidence": f"""{_EVENTS}, n AS (SELECT correlation_id AS ledger, event_id AS i, row_number() OVER (PARTITION BY correlation_id ORDER BY event_id) AS sequence FROM domain_events), z AS (SELECT ledger FROM n WHERE i % 17 = 0 GROUP BY ledger HAVING count(*) > 1)
+ SELECT ledger, sequence, unnest(list_filter([CASE WHEN i % 11 = 0 THEN 'entry-hash' END, CASE WHEN i % 13 = 0 THEN 'manifest' END, CASE WHEN i % 17 = 0 AND i <> 0 THEN 'order' END, CASE WHEN i % 19 = 0 AND sequence > 1 THEN 'overlap' END, CASE WHEN i % 17 = 0 AND ledger IN (SELECT ledger FROM z) THEN 'duplicate-cell' END], lambda x: x IS NOT NULL)) AS failure FROM n
+ UNION ALL SELECT ledger, max(sequence) + 1, 'missing' FROM n GROUP BY ledger""",
+    "arm_outcomes": f"""{_CELLS} SELECT arm, count(*) AS n_cells, CAST(sum(pair_id % 9) AS BIGINT) AS turns, CAST(sum(pair_id % 2) AS BIGINT) AS escapes, CAST(sum(pair_id % 3) AS BIGINT) AS false_blocks, CAST(sum(pair_id % 4) AS BIGINT) AS bypasses, CAST(sum(pair_id % 6) AS BIGINT) AS decisions,
+ count(*) FILTER (pair_id % 5 <> 0 AND pair_id % 7 <> 0) AS n_green, count(*) FILTER (pair_id % 5 = 0) AS n_red, count(*) FILTER (pair_id % 5 <> 0 AND pair_id % 7 = 0) AS n_not_run, round(sum(pair_id % 9) / count(*), 6) AS mean_turns FROM experiment_cells GROUP BY arm""",
 }
 
-
 def oracle_sql() -> dict[str, str]:
     return dict(_ORACLE)

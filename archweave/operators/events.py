@@ -15,14 +15,26 @@ from archweave.contract import DEFAULT_PREFIXES, Contract
 from archweave.functions.names import intent_problem
 
 
+@dataclass(frozen=True)
+class EventField:
+    """type: string, number, boolean, object, array or unknown. values: what is allowed, as JSON."""
+
+    type: str = "unknown"
+    required: bool = False
+    values: tuple[str, ...] = ()
+    fields: dict[str, EventField] | None = None
+    items: EventField | None = None
+
+
 @dataclass(frozen=True)
 class EventContract:
-    """Top-level fields of a payload: name -> (type, required)."""
+    """Fields of a payload: name -> field, or (type, required) for short."""
 
     intent: str
     version: str
-    fields: dict[str, tuple[str, bool]]
+    fields: dict[str, EventField | tuple[str, bool]]
     deprecated: bool = False
+    additional: bool = True
 
 
 REGISTRY = ("Domain.Order.Placed", "Domain.User.Registered", "Application.Ui.Clicked", "Application.PlaceOrder", "Presentation.Web", "Domain.Order")
@@ -58,19 +70,61 @@ def selected_version(contracts: tuple[EventContract, ...] = CONTRACTS) -> Column
     return F.coalesce(F.col("event_version"), fallback)
 
 
+_NO_ISSUES = "array<struct<path:string,code:string>>"
+
+
+def _kind(value: Column) -> Column:
+    """The JSON type of a variant; null counts as an object."""
+    schema = F.call_function("schema_of_variant", value)
+    number = schema.rlike("^(BIGINT|INT|SMALLINT|TINYINT|DECIMAL|DOUBLE|FLOAT)")
+    return F.when(schema.startswith("ARRAY"), "array").when(schema.startswith("OBJECT") | (schema == "VOID"), "object").when(schema == "STRING", "string").when(schema == "BOOLEAN", "boolean").when(number, "number").otherwise("unknown")
+
+
+def _none() -> Column:
+    return F.array().cast(_NO_ISSUES)
+
+
+def _issue(path: Column, code: str) -> Column:
+    return F.array(F.struct(path.alias("path"), F.lit(code).alias("code")))
+
+
+def _value_issues(value: Column, field: EventField, path: Column) -> Column:
+    """Issues of one value: another type ends it; else values, fields and items are looked at."""
+    parts = []
+    if field.values:
+        parts.append(F.when(F.to_json(value).isin(*field.values), _none()).otherwise(_issue(path, "enum")))
+    if field.type == "object" and field.fields is not None:
+        is_null = F.call_function("is_variant_null", value)
+        parts.append(F.when(is_null, _issue(path, "nested-object")).otherwise(_fields_issues(value, field.fields, path)))
+    if field.type == "array" and field.items is not None:
+        items = F.try_variant_get(value, "$", "array<variant>")
+        each = F.transform(items, lambda x, i: _value_issues(x, field.items, F.concat(path, F.lit("["), i.cast("string"), F.lit("]"))))
+        parts.append(F.coalesce(F.flatten(each), _none()))
+    found = F.concat(*parts) if parts else _none()
+    return found if field.type == "unknown" else F.when(_kind(value) == field.type, found).otherwise(_issue(path, "type"))
+
+
+def _fields_issues(value: Column, fields: dict[str, EventField], parent: Column | None) -> Column:
+    found = []
+    for name, field in fields.items():
+        own = F.try_variant_get(value, f"$['{name}']", "variant")
+        path = F.lit(name) if parent is None else F.concat(parent, F.lit(f".{name}"))
+        found.append(F.when(own.isNull(), _issue(path, "missing-required") if field.required else _none()).otherwise(_value_issues(own, field, path)))
+    return F.concat(*found) if found else _none()
+
+
 def _issues_of(contract: EventContract) -> Column:
     """array<struct<path, code>> of a JSON payload against one contract."""
-    kind = lambda name: F.expr(f"schema_of_variant(variant_get(try_parse_json(payload), '$.{name}'))")
-    families = {"string": ("STRING",), "number": ("BIGINT", "DECIMAL", "DOUBLE"), "boolean": ("BOOLEAN",)}
-    found = []
-    for name, (wanted, required) in contract.fields.items():
-        have = kind(name)
-        fits = reduce(lambda a, b: a | b, [have.startswith(x) for x in families[wanted]])
-        code = F.when(have.isNull(), F.lit("missing-required") if required else F.lit(None)).when(~fits, "type")
-        found.append(F.when(code.isNotNull(), F.struct(F.lit(name).alias("path"), code.alias("code"))))
-    if contract.deprecated:
-        found.append(F.struct(F.lit("$").alias("path"), F.lit("deprecated").alias("code")))
-    return F.array_compact(F.array(*found))
+    fields = {n: f if isinstance(f, EventField) else EventField(*f) for n, f in contract.fields.items()}
+    value = F.try_parse_json(F.col("payload"))
+    shaped = F.coalesce(_kind(value).isin("object", "array") & ~F.call_function("is_variant_null", value), F.lit(False))
+    found = _fields_issues(value, fields, None)
+    if not contract.additional:
+        keys = F.array_sort(F.map_keys(F.try_variant_get(value, "$", "map<string,variant>")))
+        extra = F.filter(keys, lambda k: ~k.isin(*fields) if fields else F.lit(True))
+        found = F.concat(found, F.coalesce(F.transform(extra, lambda k: F.struct(k.alias("path"), F.lit("additional").alias("code"))), _none()))
+    found = F.when(shaped, found).otherwise(_issue(F.lit("$"), "not-object"))
+    return F.concat(_issue(F.lit("$"), "deprecated"), found) if contract.deprecated else found
 
 
 def payload_issues(contracts: tuple[EventContract, ...] = CONTRACTS) -> Column:
@@ -158,10 +212,20 @@ def workflow_state(steps: DataFrame) -> DataFrame:
     )
 
 
-def audit_query(records: DataFrame, since, until, limit: int, keys: list[str]) -> DataFrame:
-    """Records from since to until, the last ``limit`` of each key."""
-    w = W.partitionBy(*keys).orderBy(F.desc("occurred_at"), F.desc("event_id"))
-    return records.where(F.col("occurred_at").between(since, until)).withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= limit).drop("_k")
+def audit_query(records: DataFrame, since=None, until=None, limit: int | None = None, keys: list[str] | None = None, **equal: str) -> DataFrame:
+    """Records from since to until with these values (kind, intent, correlation_id, subject); the last ``limit``, of each key if there are keys."""
+    for name, value in equal.items():
+        records = records.where(F.col(name) == value)
+    if since is not None:
+        records = records.where(F.col("occurred_at") >= since)
+    if until is not None:
+        records = records.where(F.col("occurred_at") <= until)
+    newest = [F.desc("occurred_at"), F.desc("event_id")]
+    if limit is None:
+        return records
+    if not keys:
+        return records.orderBy(*newest).limit(limit)
+    return records.withColumn("_k", F.row_number().over(W.partitionBy(*keys).orderBy(*newest))).where(F.col("_k") <= limit).drop("_k")
 
 
 def event_layer(name: Column, prefixes: dict[str, tuple[str, ...]]) -> Column:
@@ -285,3 +349,52 @@ def intercept_events(events: DataFrame, interceptors: tuple[Interceptor, ...], s
         added = lambda c, when: F.when(when, F.array_append(c, one.id)).otherwise(F.col(c))  # noqa: E731, B023
         rows = rows.withColumns({"payload": F.when(F.col("_failed"), F.col("_before")).otherwise(F.col("payload")), "interceptions": added("interceptions", F.col("_hit") & ~F.col("_failed")), "failures": added("failures", F.col("_failed"))}).drop("_before", "_hit", "_failed", "conflict")
     return rows
+
+
+def evaluate_policies(events: DataFrame, policies: dict[str, tuple[str, Column]]) -> DataFrame:
+    """(event_id, policy, severity, message): one row for each violation of each policy.
+
+    policies: name -> (hard or soft, Column over the event): a boolean that must hold, a message or an array of
+    messages where it doesn't. Null is no violation, but a null boolean is one.
+    """
+    rows = []
+    for name, (severity, verdict) in policies.items():
+        kind = events.select(verdict.alias("v")).schema["v"].dataType.simpleString()
+        messages = verdict if kind == "array<string>" else F.when(verdict.isNotNull(), F.array(verdict)) if kind == "string" else F.when(~F.coalesce(verdict, F.lit(False)), F.array(F.lit(f"{name} failed")))
+        rows.append(_violations_of(messages, name, severity))
+    return events.select("event_id", F.explode(F.flatten(F.array(*rows))).alias("x")).select("event_id", "x.*")
+
+
+def _violations_of(messages: Column, name: str, severity: str) -> Column:
+    row = lambda m: F.struct(F.lit(name).alias("policy"), F.lit(severity).alias("severity"), m.alias("message"))
+    return F.transform(F.coalesce(messages, F.array().cast("array<string>")), row)
+
+
+def hard_rejects(violations: DataFrame) -> DataFrame:
+    """(event_id, policies): events that a hard policy rejects, with the names of those policies."""
+    return violations.where("severity = 'hard'").groupBy("event_id").agg(F.array_join(F.array_sort(F.collect_set("policy")), ",").alias("policies"))
+
+
+def drift_report(produces: DataFrame, observed: DataFrame, registry: DataFrame) -> DataFrame:
+    """(list, from_intent, to_intent): all lists of the drift between declared and observed productions.
+
+    produces, observed (from_intent, to_intent), registry (intent). A list of names has them in one of the columns.
+    Flows from 'unknown' are never undeclared, but may be declared and unobserved.
+    """
+    pairs = ["from_intent", "to_intent"]
+    declared, seen = produces.select(*pairs).distinct(), observed.select(F.coalesce("from_intent", F.lit("")).alias("from_intent"), "to_intent").distinct()
+    known = registry.select("intent").distinct()
+    named = lambda df, kind: df.select(F.lit(kind).alias("list"), *pairs)
+    none = F.lit(None).cast("string")
+    sources = seen.where("from_intent not in ('', 'unknown')").select(F.col("from_intent").alias("intent")).distinct().join(known, "intent", "left_anti")
+    targets = seen.select(F.col("to_intent").alias("intent")).distinct().join(known, "intent", "left_anti")
+    met = seen.select(F.explode(F.array("from_intent", "to_intent")).alias("intent")).distinct()
+    parts = [
+        named(declared.join(seen, pairs, "left_anti"), "declared-unobserved"),
+        named(seen.where("from_intent <> 'unknown'").join(declared, pairs, "left_anti"), "observed-undeclared"),
+        named(seen.where("from_intent in ('', 'unknown')"), "unknown-source"),
+        sources.select(F.lit("unregistered-source"), "intent", none),
+        targets.select(F.lit("unregistered-intent"), none, "intent"),
+        known.join(met, "intent", "left_anti").select(F.lit("never-observed"), none, "intent"),
+    ]
+    return reduce(DataFrame.union, parts)

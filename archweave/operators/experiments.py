@@ -140,3 +140,20 @@ def placement_comparison(turns: DataFrame, base: str, other: str) -> DataFrame:
     both = turns.groupBy("scenario").agg(pick(base).alias("base_turns"), pick(other).alias("other_turns")).where("base_turns is not null and other_turns is not null")
     delta = F.col("base_turns") - F.col("other_turns")
     return both.select("scenario", "base_turns", "other_turns", delta.alias("delta"), F.round(delta / F.col("base_turns"), 6).alias("reduction"), (delta > 0).alias("better"))
+
+
+def arm_outcomes(cells: DataFrame) -> DataFrame:
+    """Per arm: turns, escapes, false blocks, bypasses, decisions, and how the last build ended.
+
+    cells (arm, turns, escapes, false_blocks, bypasses, decisions, ci).
+    """
+    total = lambda c: F.sum(c).alias(c)
+    ci = lambda x: F.count_if(F.col("ci") == x).alias(f"n_{x}")
+    n = cells.groupBy("arm").agg(F.count("*").alias("n_cells"), *map(total, ("turns", "escapes", "false_blocks", "bypasses", "decisions")), *map(ci, ("green", "red", "not_run")))
+    return n.withColumn("mean_turns", F.round(F.col("turns") / F.col("n_cells"), 6))
+
+
+def primary_verdict(verdict: DataFrame, interval: DataFrame, below: float) -> DataFrame:
+    """``experiment_verdict`` with the bootstrap's upper bound (one row): passed only if that is below ``below`` too."""
+    both = verdict.join(interval.select("upper"), F.lit(True))
+    return both.select("ratio", "completion_delta", "upper", (F.col("passed") & (F.col("upper") < below)).alias("passed"))

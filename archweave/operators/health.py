@@ -267,7 +267,7 @@ def acknowledged(acks: DataFrame, today: str) -> DataFrame:
 
     The edge of a two-way smell is put in order; one that isn't well formed matches nothing.
     """
-    parts = F.transform(F.split("edge", "<->"), F.trim)
+    parts = F.transform(F.split("edge", "<->"), lambda p: F.trim(p))
     fine = (F.size(parts) == 2) & F.forall(parts, lambda p: p != "")
     edge = F.when(F.col("smell") == "contract-bidirectional-allow", F.when(fine, F.array_join(F.array_sort(parts), "<->"))).otherwise(F.trim("edge"))
     status = _lifecycle(F.col("review_by"), today)

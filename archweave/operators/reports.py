@@ -32,14 +32,18 @@ def coverage_honesty(coverage: DataFrame) -> DataFrame:
     return one.select("repo", "total", "percent", status.alias("status"))
 
 
-def operating_mode(coverage: DataFrame, verdict: DataFrame, mature: int = 150) -> DataFrame:
-    """(repo, mode): suggest, adapt or enforce. A tree that is mostly presentation, without a core, isn't enforced."""
+def operating_mode(coverage: DataFrame, verdict: DataFrame, mature: int = 150, optional_cores: tuple[str, ...] = ()) -> DataFrame:
+    """(repo, mode): suggest, adapt or enforce.
+
+    A tree that is mostly presentation, without a core, isn't enforced, nor is one with files in a core layer that the
+    contract has as optional.
+    """
     files = lambda name: F.max(F.when(F.col("layer") == name, F.col("n_files")))
-    c = coverage.groupBy("repo").agg(F.max("total").alias("total"), F.max("percent").alias("percent"), files("DomainModel").alias("domain"), files("PersistenceAdapters").alias("persistence"), files("PresentationAdapters").alias("presentation"))
+    c = coverage.groupBy("repo").agg(F.max("total").alias("total"), F.max("percent").alias("percent"), F.count_if(F.col("layer").isin(*optional_cores) & (F.col("n_files") > 0)).alias("loose") if optional_cores else F.lit(0).alias("loose"), files("DomainModel").alias("domain"), files("PersistenceAdapters").alias("persistence"), files("PresentationAdapters").alias("presentation"))
     joined = c.join(verdict.select("repo", "valid"), "repo")
     met = F.col("valid") & (F.col("total") > 0) & (F.col("percent") >= 50)
     hollow = met & (F.col("domain") == 0) & (F.col("persistence") == 0) & (F.col("presentation") >= 0.5 * F.col("total"))
-    mode = F.when((F.col("total") == 0) | hollow, "adapt").when(met, "enforce").when((F.col("percent") < 50) | (F.col("total") >= mature) | ~met, "adapt").otherwise("suggest")
+    mode = F.when((F.col("total") == 0) | (F.col("loose") > 0) | hollow, "adapt").when(met, "enforce").when((F.col("percent") < 50) | (F.col("total") >= mature) | ~met, "adapt").otherwise("suggest")
     return joined.select("repo", mode.alias("mode"))
 
 
@@ -72,6 +76,39 @@ def verify_ledger(entries: DataFrame) -> DataFrame:
     return entries.withColumn("failure", failure).where("failure is not null").select("ledger", "sequence", "failure")
 
 
+def entry_hash(payload, previous_hash):
+    """The hash of a ledger entry: of its canonical payload and the hash of the entry before."""
+    return F.sha2(F.concat(payload, F.lit("|"), previous_hash), 256)
+
+
+def verify_evidence(entries: DataFrame, runs: DataFrame, manifests: DataFrame) -> DataFrame:
+    """(ledger, sequence, failure): every way in which a ledger of runs isn't the evidence that its manifest asks for.
+
+    entries (ledger, sequence, previous_hash, entry_hash, payload, manifest_hash, cell_id, session, started, finished);
+    runs (ledger, sequence, cell_id, session), the order that was registered; manifests (ledger, manifest_hash).
+    Failures: sequence, chain, entry-hash, manifest, order, overlap (begins before the run before has ended),
+    duplicate-session, duplicate-cell, and missing for registered runs without an entry.
+    """
+    w = W.partitionBy("ledger").orderBy("sequence")
+    wanted = runs.select("ledger", "sequence", F.col("cell_id").alias("wanted_cell"), F.col("session").alias("wanted_session"))
+    rows = entries.withColumns({"place": F.row_number().over(w), "before": F.lag("entry_hash").over(w), "ended": F.lag("finished").over(w)})
+    rows = rows.withColumns({f"n_{c}": F.count("*").over(W.partitionBy("ledger", c)) for c in ("session", "cell_id")})
+    rows = rows.join(wanted, ["ledger", "sequence"], "left").join(manifests.select("ledger", F.col("manifest_hash").alias("wanted_manifest")), "ledger", "left")
+    tests = [
+        (F.col("sequence") != F.col("place"), "sequence"),
+        (F.col("previous_hash") != F.coalesce("before", F.lit("0" * 64)), "chain"),
+        (F.col("entry_hash") != entry_hash(F.col("payload"), F.col("previous_hash")), "entry-hash"),
+        (~F.col("manifest_hash").eqNullSafe(F.col("wanted_manifest")), "manifest"),
+        (~(F.col("cell_id").eqNullSafe(F.col("wanted_cell")) & F.col("session").eqNullSafe(F.col("wanted_session"))), "order"),
+        (F.col("started") < F.col("ended"), "overlap"),
+        (F.col("n_session") > 1, "duplicate-session"),
+        (F.col("n_cell_id") > 1, "duplicate-cell"),
+    ]
+    found = rows.select("ledger", "sequence", F.explode(F.array_compact(F.array(*[F.when(c, F.lit(k)) for c, k in tests]))).alias("failure"))
+    lost = runs.select("ledger", "sequence").join(entries.select("ledger", "sequence"), ["ledger", "sequence"], "left_anti")
+    return found.union(lost.select("ledger", "sequence", F.lit("missing")))
+
+
 def bench_budgets(measured: DataFrame, budgets: DataFrame) -> DataFrame:
     """(scenario, p, value, ceiling): percentiles (scenario, p50, p95) above their ceilings (scenario, p, ceiling)."""
     long = measured.select("scenario", F.explode(F.map_from_arrays(F.array(F.lit("p50"), F.lit("p95")), F.array("p50", "p95"))).alias("p", "value"))
