@@ -1,18 +1,19 @@
 """Rounds of messages between document chunks and hash buckets.
 
 Operators that compare all windows of all documents share this plan. Documents are dealt into *chunks* by ranges of
-doc_id, of a bounded number of bytes. A chunk sends each bucket the distinct keys it holds, packed into one row; so a
+doc_id that hold about the same bytes of text; rows of one doc_id stay together, rows without one are dealt by their text. A chunk sends each bucket the distinct keys it holds, packed into one row; so a
 key with a third of all occurrences costs one entry a chunk. A *bucket* compares the keys of all chunks and answers
 each chunk. As the chunks are ranges of doc_id, "a smaller doc_id" is "an earlier chunk" between chunks, and no ids
 need travel. Chunks meet answers in a cogroup; the exchange of the texts is one and the same for all rounds.
 
-Sizes follow the input: the number of chunks and of buckets grows with the bytes, what one task holds does not.
+Sizes follow the input: the number of chunks and of buckets grows with the bytes. What one task holds grows with their
+fourth root only (8 MB of text a chunk up to 64 GB, about 50 MB at 100 TB), so that messages don't get too small.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,8 +21,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from archweave.lineage import cut
+
 CHUNK_BYTES = 8 << 20
 BUCKET_KEYS = 2_000_000
+#: Bytes of input up to which chunks don't grow; bounds that the plan itself may hold.
+GROWS_FROM, LITERALS = 1 << 36, 4096
 
 MESSAGE = "bucket long, chunk long, n long, keys binary, extra binary"
 ANSWER = "bucket long, chunk long, answer binary"
@@ -31,10 +36,11 @@ _ANSWER = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("answer", p
 
 @dataclass(frozen=True)
 class Layout:
-    """bounds: the first doc_id of each chunk but the first. buckets: a power of two."""
+    """bounds: the first doc_id of each chunk but the first. buckets: a power of two. loose: further chunks, of rows without doc_id."""
 
     bounds: tuple[int, ...]
     buckets: int
+    loose: int = 1
 
     @property
     def shift(self) -> np.uint64:
@@ -44,35 +50,74 @@ class Layout:
         return (keys >> self.shift).astype(np.int64) if self.buckets > 1 else np.zeros(len(keys), np.int64)
 
 
-def layout(docs: DataFrame, keys_per_byte: float, chunk_bytes: int = CHUNK_BYTES, bucket_keys: int = BUCKET_KEYS) -> Layout:
-    """From the text's bytes and quantiles of doc_id: two aggregations with one row each."""
+def _cuts(size: float):
+    """Where chunks of about ``size`` bytes begin in a sorted partition: ids before which whole multiples of it lie."""
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done, last, at = 0, None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            before = done + np.cumsum(n) - n
+            new = np.concatenate(([last is None or ids[0] != last], ids[1:] != ids[:-1]))
+            first, place = ids[new], (before[new] // size).astype(np.int64)
+            moved = np.diff(place, prepend=at) > 0
+            done, last, at = done + int(n.sum()), ids[-1], int(place[-1]) if len(place) else at
+            yield pa.record_batch([pa.array(first[moved], pa.int64())], names=["bound"])
+
+    return f
+
+
+def layout(docs: DataFrame, keys_per_byte: float, chunk_bytes: int | None = None, bucket_keys: int = BUCKET_KEYS) -> Layout:
+    """From the bytes of each text: documents are sorted by id without their texts, and cut where bytes add up.
+
+    A chunk has twice the aimed bytes at most, or those of one doc_id. The driver holds one number a chunk.
+    """
     tasks = 2 * docs.sparkSession.sparkContext.defaultParallelism
-    size = docs.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count("doc_id").alias("ids")).first()
-    n_bytes, ids = size["bytes"] or 0, size["ids"]
-    chunks = max(1, min(max(math.ceil(n_bytes / chunk_bytes), tasks), ids // 32, n_bytes >> 14))
+    slim = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)).cast("long").alias("n")))
+    size = slim.agg(F.sum("n").alias("n"), F.sum(F.when(F.col("doc_id").isNull(), F.col("n"))).alias("loose")).first()
+    n_bytes = size["n"] or 0
+    aim = chunk_bytes or CHUNK_BYTES * max(1.0, (n_bytes / GROWS_FROM) ** 0.25)
+    chunks = max(1, min(max(math.ceil(n_bytes / aim), tasks), n_bytes >> 14))
     buckets = 1 << max(0, math.ceil(math.log2(max(1.0, n_bytes * keys_per_byte / bucket_keys, min(tasks, chunks)))))
-    bounds: list[int] = []
-    if chunks > 1:
-        shares = [i / chunks for i in range(1, chunks)]
-        bounds = docs.agg(F.percentile_approx("doc_id", shares, max(10_000, 8 * chunks)).alias("q")).first()["q"] or []
-    return Layout(tuple(sorted(set(bounds))), buckets)
+    loose = max(1, math.ceil((size["loose"] or 0) * chunks / max(1, n_bytes)))
+    if chunks == 1:
+        return Layout((), buckets, loose)
+    bounds = slim.where("doc_id is not null").orderBy("doc_id").mapInArrow(_cuts(n_bytes / chunks), "bound long").toArrow()
+    return Layout(tuple(sorted(set(bounds["bound"].to_pylist()))), buckets, loose)
+
+
+def _search(table: Column, n: Column, wanted: Column, most: int) -> Column:
+    """Binary search: how many of the table's n sorted entries are up to ``wanted``."""
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(most.bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= n) & (F.get(table, at + step - 1) <= wanted), at + step).otherwise(at)).cast("long")
+
 
+def with_chunk(docs: DataFrame, bounds: tuple[int, ...], loose: int = 1, most: int = LITERALS) -> DataFrame:
+    """(chunk, doc_id, text): the number of bounds up to doc_id; without a doc_id one of the ``loose`` last, by the text's hash.
 
-def chunk_of(doc_id: Column, bounds: tuple[int, ...]) -> Column:
-    """Binary search for the number of bounds up to doc_id; a null counts as the smallest."""
+    Bounds stand in the plan while they are few. More are a table of blocks, 8 bytes a bound, which is broadcast; the
+    plan has the first bound of each block only.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    spread = F.pmod(F.xxhash64("text"), F.lit(loose)) + len(bounds) + 1
+    pick = lambda c: F.when(F.col("doc_id").isNull(), spread).otherwise(c)
     if not bounds:
-        return F.lit(0).cast("long")
-    steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(bounds).bit_length()))])
-    table = F.lit(list(bounds))
-    return F.aggregate(
-        steps,
-        F.lit(0),
-        lambda at, step: F.when((at + step <= len(bounds)) & (F.get(table, at + step - 1) <= F.coalesce(doc_id, F.lit(-(1 << 63)))), at + step).otherwise(at),
-    ).cast("long")
+        return rows.select(pick(F.lit(0)).cast("long").alias("chunk"), "doc_id", "text")
+    if len(bounds) <= most:
+        return rows.select(pick(_search(F.lit(list(bounds)), F.lit(len(bounds)), F.col("doc_id"), len(bounds))).alias("chunk"), "doc_id", "text")
+    step = max(most, math.isqrt(len(bounds)))
+    blocks = [list(bounds[i : i + step]) for i in range(0, len(bounds), step)]
+    table = docs.sparkSession.createDataFrame(list(enumerate(blocks, 1)), "block long, inner array<long>")
+    heads = [b[0] for b in blocks]
+    placed = rows.withColumn("block", _search(F.lit(heads), F.lit(len(heads)), F.coalesce("doc_id", F.lit(heads[0])), len(heads))).join(F.broadcast(table), "block", "left")
+    inside = _search(F.col("inner"), F.size("inner"), F.col("doc_id"), step)
+    return placed.select(pick(F.when(F.col("block") == 0, 0).otherwise((F.col("block") - 1) * step + inside)).cast("long").alias("chunk"), "doc_id", "text")
 
 
 def dealt(docs: DataFrame, plan: Layout) -> DataFrame:
-    return docs.select(chunk_of(F.col("doc_id"), plan.bounds).alias("chunk"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return with_chunk(docs, plan.bounds, plan.loose)
 
 
 def in_order(table: pa.Table) -> pa.Table:
