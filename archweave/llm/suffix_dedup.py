@@ -11,7 +11,7 @@ windows have equal anchors, so only windows whose anchor occurs elsewhere can re
 2. Of those, chunks send the bytes of each distinct run of windows with one anchor. Buckets sort all their suffixes by
    merge sort with hash comparisons (``suffix_sort``), confirm equal ones byte by byte, and answer a bit a window:
    whether an earlier chunk, so a smaller doc_id, has it.
-3. Repeats within a chunk are found there, from window hashes confirmed byte by byte.
+3. Repeats within a chunk are found there in the same way: the chunk's own records of recurring anchors are sorted.
 
 Defined results: a null text is empty; a document shorter than ``length`` loses nothing; a document without doc_id
 neither causes nor suffers removal; rows with the same doc_id do not remove from each other; each input row gives one
@@ -131,6 +131,34 @@ def _second_message(length: int, plan: ch.Layout):
     return f
 
 
+def _earliest(rows: np.ndarray, key: np.ndarray, least: np.ndarray, length: int) -> np.ndarray:
+    """Of distinct records, their anchors, and where each is first: for each window, where any record has it first.
+
+    A record whose anchor has no other record shares windows with its own copies only. The suffixes of all others are
+    sorted, some thousand records at a time, since anchors don't share windows.
+    """
+    most = length - _gram(length) + 1
+    order = np.argsort(key, kind="stable")
+    begin = np.flatnonzero(np.concatenate(([True], key[order][1:] != key[order][:-1]))) if len(order) else np.zeros(0, np.int64)
+    size = np.diff(np.append(begin, len(order)))
+    earliest = np.repeat(least[:, None], most, axis=1)
+    several = order[np.repeat(size > 1, size)]
+    cuts = np.concatenate(([0], np.cumsum(size[size > 1])))
+    done = 0
+    while done < len(several):
+        stop = int(cuts[max(np.searchsorted(cuts, done + _SORTED, side="right") - 1, np.searchsorted(cuts, done) + 1)])
+        some = several[done:stop]
+        records = rows[some]
+        count = records[:, 0].astype(np.int64)
+        record = np.repeat(np.arange(len(some)), count)
+        offset = np.arange(len(record)) - np.repeat(np.cumsum(count) - count, count)
+        place, number = Suffixes(np.ascontiguousarray(records[:, 1:]), length).classes(record, offset)
+        lowest = np.minimum.reduceat(least[some][record[place]], np.flatnonzero(np.diff(number, prepend=-1)))
+        earliest[some[record[place]], offset[place]] = lowest[number]
+        done = stop
+    return earliest
+
+
 def _sort_suffixes(length: int):
     """Bucket side of the second round."""
     width = 2 * length - _gram(length)
@@ -144,27 +172,7 @@ def _sort_suffixes(length: int):
         inverse = inverse.ravel()
         least = np.full(len(first), np.iinfo(np.int64).max)
         np.minimum.at(least, inverse, chunk)
-        # A record whose anchor has no other record shares windows with its own copies only.
-        key = keys[first]
-        order = np.argsort(key, kind="stable")
-        begin = np.flatnonzero(np.concatenate(([True], key[order][1:] != key[order][:-1])))
-        size = np.diff(np.append(begin, len(order)))
-        earliest = np.repeat(least[:, None], most, axis=1)
-        several = order[np.repeat(size > 1, size)]
-        # Anchors don't share windows: sort the suffixes of some thousand records at a time.
-        cuts = np.concatenate(([0], np.cumsum(size[size > 1])))
-        done = 0
-        while done < len(several):
-            stop = int(cuts[max(np.searchsorted(cuts, done + _SORTED, side="right") - 1, np.searchsorted(cuts, done) + 1)])
-            some = several[done:stop]
-            records = rows[first[some]]
-            count = records[:, 0].astype(np.int64)
-            record = np.repeat(np.arange(len(some)), count)
-            offset = np.arange(len(record)) - np.repeat(np.cumsum(count) - count, count)
-            place, number = Suffixes(np.ascontiguousarray(records[:, 1:]), length).classes(record, offset)
-            lowest = np.minimum.reduceat(least[some][record[place]], np.flatnonzero(np.diff(number, prepend=-1)))
-            earliest[some[record[place]], offset[place]] = lowest[number]
-            done = stop
+        earliest = _earliest(rows[first], keys[first], least, length)
         mask = np.zeros(len(rows), np.uint64)
         for i in range(most):
             seen = (earliest[:, i][inverse] < chunk) & (i < rows[:, 0])
@@ -174,37 +182,22 @@ def _sort_suffixes(length: int):
     return f
 
 
-def _hash_windows(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
-    """64 bits of each window's bytes, eight bytes a step; a slice at a time."""
-    lanes = -(-length // 8)
-    out = np.zeros(len(at), np.uint64)
-    for i in range(0, len(at), 1 << 16):
-        part = at[i : i + (1 << 16)]
-        rows = np.zeros((len(part), lanes * 8), np.uint8)
-        rows[:, :length] = bt.gather(data, part, length)
-        for lane in rows.view("<u8").T:
-            out[i : i + len(part)] = bt.mix(out[i : i + len(part)] * bt.ROLL_B + lane)
-    return out
-
-
 def _in_chunk(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, runs: _Runs, length: int) -> np.ndarray:
     """Starts of windows that a document with a smaller doc_id in the chunk has too; rows are in order of doc_id."""
     _, of, times = np.unique(runs.anchor, return_inverse=True, return_counts=True)
     hit = np.flatnonzero(times[of.ravel()] > 1) if len(runs.anchor) else np.zeros(0, np.int64)
-    count = runs.count[hit]
-    at = np.repeat(runs.start[hit], count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-    hashes = _hash_windows(data, at, length)
-    order, leader = ch.groups(hashes)
-    later = np.flatnonzero(leader != np.arange(len(order)))
-    here, first = at[order[later]], at[order[leader[later]]]
-    row = np.searchsorted(offsets, here, side="right") - 1
-    smaller = ids[row] > ids[np.searchsorted(offsets, first, side="right") - 1]
-    here, first = here[smaller], first[smaller]
-    same = np.zeros(len(here), bool)
-    for i in range(0, len(here), 1 << 16):
-        part = slice(i, i + (1 << 16))
-        same[part] = (bt.gather(data, here[part], length) == bt.gather(data, first[part], length)).all(axis=1)
-    return here[same]
+    if not len(hit):
+        return hit
+    row = np.searchsorted(offsets, runs.start[hit], side="right") - 1
+    rows, source, record = _records(data, runs, hit, length)
+    least = np.full(len(rows), np.iinfo(np.int32).max, np.int32)
+    np.minimum.at(least, record, row.astype(np.int32))
+    earliest = _earliest(rows, runs.anchor[source], least, length)
+    found = []
+    for i in range(earliest.shape[1]):
+        here = (i < runs.count[hit]) & (ids[earliest[record, i]] < ids[row])
+        found.append(runs.start[hit[here]] + i)
+    return np.concatenate(found)
 
 
 def _finish(length: int, plan: ch.Layout):
