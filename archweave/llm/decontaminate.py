@@ -5,8 +5,11 @@ pattern. Patterns of one length m share a searcher. Its symbols are words, its b
 
 * SHIFT[block hash] is how far the search may move on when a text block ends at the cursor: the least distance of such
   a block from the end of any pattern, m - 1 if no pattern holds it. Most positions are never looked at.
-* Where the shift is 0, the pattern's last block may end here: the block's bucket of patterns is searched for the hash
-  of the m words, and equal ones are confirmed by comparing the words' bytes.
+* Where the shift is 0, some pattern's last block may end here. Patterns lie in buckets by the hash of their last
+  block, and in a bucket by the hash of their first; those whose first block is that of the m words up to here are
+  compared with them, word by word and then byte by byte.
+
+All patterns are places in one buffer of item texts: arrays of numbers, no strings. Equal windows are one pattern.
 
 Many cursors move at once: texts are cut into stretches of window ends, each with its own cursor.
 
@@ -22,7 +25,6 @@ row; other columns are ignored.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,10 +39,10 @@ from archweave.llm import bytetext as bt
 from archweave.ship import ship_package
 
 WINDOW = 10
-BLOCK_BYTES = 16 << 20
-#: Window ends that one cursor passes.
-_STRETCH = 64
-_WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
+#: Of item text; its tables take some 25 times as much on the driver while they are made.
+BLOCK_BYTES = 8 << 20
+#: Window ends that one cursor passes, and those whose buckets are tested at once.
+_STRETCH, _TESTED = 64, 1 << 14
 _SPANS = pa.list_(pa.struct([("first_word", pa.int64()), ("n_words", pa.int64())]))
 SCHEMA = "doc_id long, text string, n_words long, spans array<struct<first_word: long, n_words: long>>, item_ids array<string>"
 
@@ -51,48 +53,70 @@ class Searcher:
 
     m: int
     shift: np.ndarray  # by the low bits of the block hash
-    hashes: np.ndarray  # of whole patterns, sorted
-    patterns: list[bytes]  # in the same order, words joined by one space
-    items: list[tuple[str | None, ...]]
+    bucket: np.ndarray  # sorted: half of the last block's hash, then half of the first one's
+    first: np.ndarray  # the patterns' first words, in the same order
+    item_at: np.ndarray  # where the items of each pattern begin in ``item``
+    item: np.ndarray  # item numbers
 
     def block(self, words: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hash of the block that ends at a word."""
         h = words[end]
         if self.m > 1:
             h = words[end - 1] * bt.ROLL_B + h
-        return (bt.mix(h) & np.uint64(len(self.shift) - 1)).astype(np.int64)
-
-    def whole(self, words: np.ndarray, end: np.ndarray) -> np.ndarray:
-        h = np.zeros(len(end), np.uint64)
-        for i in range(self.m - 1, -1, -1):
-            h = h * bt.ROLL_A + words[end - i]
-        return h
-
-
-def searchers(items: list[tuple[str | None, str | None]], window: int) -> list[Searcher]:
-    by_length: dict[int, dict[bytes, set]] = {}
-    for item, text in items:
-        words = _WORD.findall((text or "").encode().lower())
-        m = min(window, len(words))
-        for i in range(len(words) - m + 1 if m else 0):
-            by_length.setdefault(m, {}).setdefault(b" ".join(words[i : i + m]), set()).add(item)
+        return bt.mix(h)
+
+    def slot(self, block: np.ndarray) -> np.ndarray:
+        return (block & np.uint64(len(self.shift) - 1)).astype(np.int64)
+
+    def bucket_of(self, words: np.ndarray, end: np.ndarray) -> np.ndarray:
+        half = np.uint64(32)
+        return (self.block(words, end) >> half << half) | (self.block(words, end - self.m + min(self.m, 2)) >> half)
+
+
+@dataclass
+class Patterns:
+    """The words of a block of items, their ids, and a searcher for each length of pattern."""
+
+    words: bt.Words
+    data: bytes
+    ids: list[str | None]
+    searchers: list[Searcher]
+
+
+def patterns(ids: list[str | None], texts: pa.ChunkedArray, window: int) -> Patterns:
+    data, offsets = bt.column_bytes(texts)
+    data = bt.LOWER[data] if len(data) else data
+    words = bt.all_words(data, offsets, bt.ALNUM)
+    known = list(dict.fromkeys(ids))
+    number = {x: i for i, x in enumerate(known)}
+    code = np.array([number[x] for x in ids], np.int32)
+    count = words.count()
+    own = np.minimum(count, window)
     found = []
-    for m, patterns in sorted(by_length.items()):
-        texts = sorted(patterns)
-        data = np.frombuffer(b" ".join(texts), np.uint8)
-        words = bt.spans(data, np.array([0, len(data)]), bt.ALNUM).hash
-        end = np.arange(len(texts)) * m + m - 1
-        bits = max(12, (4 * len(texts) * m).bit_length())
-        s = Searcher(m, np.full(1 << bits, max(1, m - 1), np.uint8), np.zeros(0, np.uint64), [], [])
+    for m in sorted(set(own[own > 0].tolist())):
+        row = np.flatnonzero(own == m)
+        n = count[row] - m + 1
+        first = np.repeat(words.first[row], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        of = np.repeat(code[row], n)
+        s = Searcher(m, np.full(1 << max(12, (4 * len(first)).bit_length()), max(1, m - 1), np.uint8), first, first, first, of)
         for back in range(max(1, m - 1)):
-            np.minimum.at(s.shift, s.block(words, end - back), back)
-        whole = s.whole(words, end)
-        order = np.argsort(whole, kind="stable")
-        s.hashes, s.patterns, s.items = whole[order], [texts[i] for i in order], [tuple(patterns[texts[i]]) for i in order]
+            np.minimum.at(s.shift, s.slot(s.block(words.hash, first + m - 1 - back)), np.uint8(back))
+        # Equal windows: equal in two independent hashes of all words.
+        both = np.zeros(len(first), np.dtype([("bucket", "<u8"), ("a", "<u8"), ("b", "<u8")]))
+        both["bucket"] = s.bucket_of(words.hash, first + m - 1)
+        for i in range(m):
+            both["a"], both["b"] = both["a"] * bt.ROLL_A + words.hash[first + i], both["b"] * bt.WORD_BASE + bt.mix(words.hash[first + i].copy())
+        order = np.lexsort((of, both["b"], both["a"], both["bucket"]))
+        both, of, first = both[order], of[order], first[order]
+        new = np.concatenate(([True], both[1:] != both[:-1]))
+        again = np.concatenate(([False], ~new[1:] & (of[1:] == of[:-1])))
+        s.bucket, s.first, s.item = both["bucket"][new].copy(), first[new].astype(np.int32), of[~again]
+        s.item_at = np.append(np.flatnonzero(new[~again]), len(s.item))
         found.append(s)
-    return found
+    return Patterns(words, data.tobytes(), known, found)
 
 
-def occurrences(s: Searcher, words: bt.Words, data: bytes) -> Iterator[tuple[int, int]]:
+def occurrences(p: Patterns, s: Searcher, words: bt.Words, data: bytes) -> Iterator[tuple[int, int]]:
     """(first word, pattern number) of every occurrence; words hold several rows, and none spans two."""
     count = np.maximum(words.count() - s.m + 1, 0)
     stretches = -(-count // _STRETCH)
@@ -102,26 +126,28 @@ def occurrences(s: Searcher, words: bt.Words, data: bytes) -> Iterator[tuple[int
     stop = np.minimum(cursor + _STRETCH, words.first[row + 1])
     maybe = []
     while len(cursor):
-        step = s.shift[s.block(words.hash, cursor)].astype(np.int64)
+        step = s.shift[s.slot(s.block(words.hash, cursor))].astype(np.int64)
         maybe.append(cursor[step == 0])
         cursor = cursor + np.maximum(step, 1)
         going = cursor < stop
         cursor, stop = cursor[going], stop[going]
     end = np.concatenate(maybe) if maybe else np.zeros(0, np.int64)
-    whole = s.whole(words.hash, end)
-    place = np.searchsorted(s.hashes, whole)
-    same = place < len(s.hashes)
-    same[same] = s.hashes[place[same]] == whole[same]
-    for e, p, h in zip(end[same].tolist(), place[same].tolist(), whole[same], strict=True):
-        first = e - s.m + 1
-        text = b" ".join(data[a:b] for a, b in zip(words.start[first : e + 1].tolist(), words.end[first : e + 1].tolist(), strict=True))
-        while p < len(s.patterns) and s.hashes[p] == h:
-            if s.patterns[p] == text:
-                yield first, p
-            p += 1
-
-
-def _pass(tables: list[Searcher], batch: pa.RecordBatch) -> pa.RecordBatch:
+    bucket = s.bucket_of(words.hash, end)
+    low, high = np.searchsorted(s.bucket, bucket, "left"), np.searchsorted(s.bucket, bucket, "right")
+    for a in range(0, len(end), _TESTED):
+        n = (high - low)[a : a + _TESTED]
+        first = np.repeat(end[a : a + _TESTED] - s.m + 1, n)
+        pattern = np.repeat(low[a : a + _TESTED], n) + np.arange(len(first)) - np.repeat(np.cumsum(n) - n, n)
+        for i in range(s.m):
+            same = words.hash[first + i] == p.words.hash[s.first[pattern] + i]
+            first, pattern = first[same], pattern[same]
+        for f, k in zip(first.tolist(), pattern.tolist(), strict=True):
+            q = int(s.first[k])
+            if all(data[words.start[f + i] : words.end[f + i]] == p.data[p.words.start[q + i] : p.words.end[q + i]] for i in range(s.m)):
+                yield f, k
+
+
+def _pass(held: Patterns, batch: pa.RecordBatch) -> pa.RecordBatch:
     data, offsets = bt.column_bytes(batch.column("text"))
     n_words = np.zeros(batch.num_rows, np.int64)
     spans = [[(s["first_word"], s["n_words"]) for s in row or []] for row in batch.column("spans").to_pylist()]
@@ -132,11 +158,11 @@ def _pass(tables: list[Searcher], batch: pa.RecordBatch) -> pa.RecordBatch:
         words = bt.spans(low, offsets[row : stop + 1] - base, bt.ALNUM)
         n_words[row:stop] = words.count()
         raw = low.tobytes()
-        for s in tables:
-            for first, p in occurrences(s, words, raw):
+        for s in held.searchers:
+            for first, k in occurrences(held, s, words, raw):
                 r = int(np.searchsorted(words.first, first, side="right")) - 1
                 spans[row + r].append((first - int(words.first[r]), s.m))
-                items[row + r].update(s.items[p])
+                items[row + r].update(held.ids[i] for i in s.item[s.item_at[k] : s.item_at[k + 1]].tolist())
     out = []
     for own in spans:
         joined: list[list[int]] = []
@@ -153,13 +179,14 @@ def _pass(tables: list[Searcher], batch: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def _broadcasts(benchmark: DataFrame, window: int, block_bytes: int) -> Iterator[tuple[Broadcast, bool]]:
-    """The searchers of one block of items after the other, and whether it is the last."""
+    """The patterns of one block of items after the other, and whether it is the last."""
     spark = benchmark.sparkSession
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where(F.octet_length("text") > 0)
     blocks = 1 + (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes
     for block in range(blocks):
         own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block) if blocks > 1 else items
-        yield spark.sparkContext.broadcast(searchers([(r.item_id, r.text) for r in own.collect()], window)), block == blocks - 1
+        rows = own.select("item_id", "text").toArrow()
+        yield spark.sparkContext.broadcast(patterns(rows["item_id"].to_pylist(), rows["text"], window)), block == blocks - 1
 
 
 def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -187,7 +214,7 @@ def n_hit(spans: str = "spans") -> Column:
     return F.aggregate(spans, F.lit(0).cast("long"), lambda total, s: total + s["n_words"])
 
 
-def _any_hit(tables: list[Searcher], text: pa.Array) -> np.ndarray:
+def _any_hit(held: Patterns, text: pa.Array) -> np.ndarray:
     data, offsets = bt.column_bytes(text)
     hit = np.zeros(len(text), bool)
     for row, stop in bt.blocks(offsets):
@@ -195,8 +222,8 @@ def _any_hit(tables: list[Searcher], text: pa.Array) -> np.ndarray:
         low = bt.LOWER[data[base : offsets[stop]]]
         words = bt.spans(low, offsets[row : stop + 1] - base, bt.ALNUM)
         raw = low.tobytes()
-        for s in tables:
-            for first, _ in occurrences(s, words, raw):
+        for s in held.searchers:
+            for first, _ in occurrences(held, s, words, raw):
                 hit[row + int(np.searchsorted(words.first, first, side="right")) - 1] = True
     return hit
 

@@ -71,3 +71,33 @@ def test_empty_tables(spark):
     b = spark.createDataFrame([(1, "a b")], "item_id int, text string")
     assert [(r.n_words, r.item_ids) for r in find_benchmark(d, b.limit(0)).collect()] == [(2, [])]
     assert find_benchmark(d.limit(0), b).select(F.col("doc_id")).collect() == []
+
+
+def test_tables_of_a_whole_block_stay_small():
+    """A block of distinct windows, as large as it may be: what the driver allocates for it, beyond the text."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from archweave.llm.decontaminate import BLOCK_BYTES, patterns
+
+    rnd = random.Random(1)
+    texts, left = [], BLOCK_BYTES
+    while left > 0:
+        texts.append(" ".join(f"w{rnd.randint(0, 30_000)}" for _ in range(600)))
+        left -= len(texts[-1])
+    column = pa.chunked_array([texts])
+    tracemalloc.start()
+    made = patterns([str(i) for i in range(len(texts))], column, 10)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300 << 20 and len(made.searchers) == 1 and len(made.searchers[0].first) > 1_000_000
+
+
+def test_a_very_long_text_and_windows_that_many_items_share(spark):
+    passage = " ".join(f"p{i}" for i in range(12))
+    items = [(str(i), passage) for i in range(300)] + [("x", "lone word"), ("y", "p1 p2")]
+    long = " ".join(f"w{i}" for i in range(200_000)) + " " + passage
+    docs = spark.createDataFrame([(1, long), (2, "lone words")], "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, len(r.item_ids), [tuple(s) for s in r.spans]) for r in find_benchmark(docs, spark.createDataFrame(items, "item_id string, text string")).collect()}
+    assert got == {1: (200_012, 301, [(200_000, 12)]), 2: (2, 0, [])}
