@@ -9,6 +9,7 @@ import re
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 TABLES = {
     "code_files": ["documents"],
@@ -121,12 +122,22 @@ TABLES |= {name: ["documents"] for name in _OF_FILES}
 _PREFIX = "archweave_"
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
+def _read(spark: SparkSession, path: str) -> DataFrame:
+    """A table, whose schema is looked up in its files the first time only."""
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
+
+
 def facts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One derived view over the tables of ``sf_dir``."""
     used = {x: _PREFIX + x for x in (*TABLES[name], *_NEEDS.get(name, []))}
     own = lambda sql: reduce(lambda text, kv: re.sub(rf"(FROM|JOIN) {kv[0]}\b", rf"\1 {kv[1]}", text), used.items(), sql)
     for table in TABLES[name]:
-        spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(used[table])
+        _read(spark, f"{sf_dir}/{table}.parquet").createOrReplaceTempView(used[table])
     for needed in _NEEDS.get(name, []):
         spark.sql(own(VIEWS[needed])).createOrReplaceTempView(used[needed])
     return spark.sql(own(VIEWS[name]))

@@ -45,16 +45,30 @@ def segments(path: Column) -> Column:
     return F.filter(F.split(path, r"[/\\]"), lambda s: s != "")
 
 
+def matches(path: Column, glob: str) -> Column:
+    """Whether a glob matches; 'folder/**' is a comparison of prefixes."""
+    folder = glob.removesuffix("/**")
+    if folder != glob and folder and not set(folder) & set("*?{}[]\\"):
+        return path.startswith(f"{folder}/")
+    return path.rlike(glob_to_regex(glob))
+
+
 def specificity(path: Column, glob: str) -> Column:
-    """Rank of a glob that matches the path: depth of its last concrete segment, then how many, then literal length."""
+    """Rank of a glob that matches the path: depth of its last concrete segment, then how many, then literal length.
+
+    Where all concrete segments lead the glob, any path that it matches begins with them, and the rank is a constant.
+    """
     named, literal = concrete_segments(glob), len(glob.replace("*", ""))
     if not named:
         return F.lit(literal).cast("long")
-    parts, at = segments(path), F.lit(0).cast("long")
+    base = len(named) * 10_000 + literal
+    parts = glob.split("/")
+    if parts[: len(named)] == named:
+        return F.lit(len(named) * 1_000_000 + base).cast("long")
+    own, at = segments(path), F.lit(0).cast("long")
     for name in named:
-        next_ = F.array_position(F.slice(parts, (at + 1).cast("int"), F.greatest(F.size(parts), F.lit(1))), name)
+        next_ = F.array_position(F.slice(own, (at + 1).cast("int"), F.greatest(F.size(own), F.lit(1))), name)
         at = F.when(at.isNull() | (next_ == 0), F.lit(None)).otherwise(at + next_)
-    base = len(named) * 10_000 + literal
     return F.coalesce(at * 1_000_000, F.lit(0)) + F.lit(base).cast("long")
 
 

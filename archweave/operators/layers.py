@@ -7,14 +7,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from archweave.contract import Contract
-from archweave.functions.paths import glob_to_regex, parent, slice_id, specificity
+from archweave.functions.paths import glob_to_regex, matches, parent, slice_id, specificity
 
 
 def _scores(path: Column, contract: Contract, excludes: bool = True) -> Column:
     """array<struct<layer, score, ordinal>> of the layers whose globs match; the best glob of each."""
     found = []
     for ordinal, layer in enumerate(contract.layers):
-        hit = [F.when(path.rlike(glob_to_regex(p)), specificity(path, p)) for p in layer.patterns]
+        hit = [F.when(matches(path, p), specificity(path, p)) for p in layer.patterns]
         if not hit:
             continue
         score = F.greatest(*hit) if len(hit) > 1 else hit[0]
