@@ -13,7 +13,7 @@ from archweave.contract import FLEET, WALLED, Contract, Layer, Rule
 from archweave.derive import facts
 from archweave.functions.names import stable_hash
 from archweave.functions.paths import is_canonical_path, scan_excluded
-from archweave.operators import changes, cohesion, events, experiments, graph, health, layers, plans, policy, reports, scan, structure, walls
+from archweave.operators import changes, coach, cohesion, events, experiments, graph, health, layers, plans, policy, reports, scan, structure, walls
 from archweave.sources import contracts
 from archweave.sources import facts as src
 
@@ -739,5 +739,45 @@ def arm_outcomes(spark: SparkSession, sf: str) -> DataFrame:
     return experiments.arm_outcomes(facts(spark, sf, "experiment_cells").select("arm", (i % 9).alias("turns"), (i % 2).alias("escapes"), (i % 3).alias("false_blocks"), (i % 4).alias("bypasses"), (i % 6).alias("decisions"), ci.alias("ci")))
 
 
+_LENSES = [("design", "god-module", "cohesion", 2), ("design", "soft-contract", "rules", 1), ("design", "mixed-pattern-cluster", "cohesion", 2), ("rules", "LAYER_IMPORT_VIOLATION", "direction", 0), ("rules", "NEVER", "never", 9)]
+
+
+def _lensed(spark: SparkSession, sf: str) -> DataFrame:
+    smells = _smells(spark, sf).select("repo", F.lit("design").alias("source"), F.col("smell").alias("id"), F.explode(F.split("evidence", ",")).alias("evidence"))
+    edges = _violations(spark, sf).where(F.length("repo") > 4).select("repo", F.lit("rules").alias("source"), F.col("rule_id").alias("id"), F.concat("from_layer", F.lit("->"), "to_layer").alias("evidence"))
+    return coach.compass(smells.union(edges), spark.createDataFrame(_LENSES, "source string, id string, lens string, priority long"), _repos(spark, sf))
+
+
+@_query
+def compass(spark: SparkSession, sf: str) -> DataFrame:
+    return _lensed(spark, sf)
+
+
+@_query
+def top_residual(spark: SparkSession, sf: str) -> DataFrame:
+    return coach.top_residual(_lensed(spark, sf), 2)
+
+
+@_query
+def deepening_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    pilots = health.next_pilot(_smells(spark, sf)).select("repo", F.lit(0).alias("rank"), F.col("smell").alias("target"), F.lit("pilot").alias("friction"))
+    smells = _smells(spark, sf).select("repo", F.lit(0).alias("rank"), F.upper("smell").alias("target"), F.when(F.col("n") > 3, "pilot").otherwise("few").alias("friction"))
+    lenses = coach.top_residual(_lensed(spark, sf)).select("repo", F.col("place").alias("rank"), F.concat(F.lit("lens:"), "lens").alias("target"), F.lit("residual").alias("friction"))
+    return coach.deepening_candidates([pilots, smells, lenses], 4)
+
+
+@_query
+def best_fit_model(spark: SparkSession, sf: str) -> DataFrame:
+    presets = {"sliced": ["features", "ui"], "hexagonal": ["domain", "application", "adapters"], "kernel": ["kernel", "lib", "gen"]}
+    return coach.best_fit_model(facts(spark, sf, "code_files"), presets)
+
+
+@_query
+def archetype_scores(spark: SparkSession, sf: str) -> DataFrame:
+    signals = facts(spark, sf, "code_files").groupBy("repo", F.col("lang").alias("signal")).agg(F.count("*").alias("value"))
+    weights = spark.createDataFrame([("en", "service", 3), ("en", "library", -1), ("de", "library", 2), ("fr", "app", 4), ("es", "app", -2), ("es", "service", 1)], "signal string, archetype string, weight long")
+    return coach.archetype_scores(signals, weights)
+
+
 def queries() -> dict[str, Query]:
     return dict(_found)
