@@ -174,3 +174,25 @@ def test_moved_findings_are_not_new(spark):
 def test_a_pure_layer_denies_every_capability():
     pure = next(x for x in WALLED.layers if x.pure)
     assert len(walls.denied_capabilities(pure)) == 7 and walls.denied_capabilities(FLEET.layers[0]) == []
+
+
+def test_acknowledgement_files_and_audit_trails(spark, tmp_path):
+    (tmp_path / "acks").mkdir()
+    for name, acks in {"good": [{"id": "s", "edge": "a->b"}], "bad": [{"id": "s", "edge": " "}, {"id": "s", "edge": "c->d"}], "none": None}.items():
+        (tmp_path / "acks" / f"{name}.json").write_text(json.dumps({"repo": name, "acks": acks}))
+    (tmp_path / "acks" / "broken.json").write_text("{")
+    assert [(r.repo, r.edge) for r in contracts.read_acks(spark, str(tmp_path / "acks")).collect()] == [("good", "a->b")]
+    rows = spark.sql("SELECT timestamp '2026-01-01 10:00:00' AS occurred_at, 1 AS event_id, 'x' AS kind UNION ALL SELECT timestamp '2026-01-02 10:00:00', 2, 'y'")
+    for _ in range(2):
+        contracts.append_audit(rows, str(tmp_path / "audit"))
+    back = spark.read.parquet(str(tmp_path / "audit"))
+    assert back.count() == 4 and "day" in back.columns
+    assert [r.event_id for r in events.audit_query(back, since=F.lit("2026-01-02"), limit=1, kind="y").collect()] == [2]
+
+
+def test_ledgers_and_snapshots(spark, tmp_path):
+    (tmp_path / "l.json").write_text("\n".join(json.dumps({"ledger": "l", "sequence": i, "previousHash": "p", "entryHash": "e", "cellId": f"c{i}"}) for i in (1, 2)))
+    assert [(r.sequence, r.cell_id) for r in contracts.read_ledger(spark, str(tmp_path / "l.json")).orderBy("sequence").collect()] == [(1, "c1"), (2, "c2")]
+    shots = spark.createDataFrame([("r", t) for t in range(9)], "repo string, ts long")
+    contracts.append_snapshot(shots, str(tmp_path / "s"))
+    assert sorted(r.ts for r in contracts.retained_snapshots(spark.read.parquet(str(tmp_path / "s")), 3).collect()) == [0, 6, 7, 8]
