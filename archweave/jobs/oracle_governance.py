@@ -308,7 +308,7 @@ _ORACLE = {
     "extract_class_shapes": f"""{with_views('code_files')} SELECT repo, path AS file, 'C' || ordinal AS class_name, false AS public_setters, ordinal % 4 <= 1 AS public_mutable, ordinal % 4 = 0 AS public_constructor, ordinal % 4 = 2 AS static_factory, ordinal % 4 = 1 AS data_only, CAST(CASE WHEN ordinal % 4 = 2 THEN 1 ELSE 0 END AS BIGINT) AS n_mutating FROM code_files""",
     "extract_module_state": f"""{_base()} SELECT repo, path, CAST(1 AS BIGINT) AS line, 'counter' AS name FROM classified WHERE layer = 'DomainModel' AND ordinal % 2 = 1 UNION ALL SELECT repo, path, 3, 'v' || ordinal FROM classified WHERE layer = 'DomainModel'""",
     "nested_payload_issues": f"""{_EVENTS}, t(k, path, code) AS (VALUES (1, 'id', 'type'), (1, 'state', 'enum'), (1, 'buyer', 'nested-object'), (2, 'buyer.name', 'missing-required'), (2, 'buyer.age', 'type'), (2, 'lines[1].sku', 'missing-required'), (2, 'lines[2]', 'type'),
-  (3, 'id', 'missing-required'), (3, 'buyer', 'missing-required'), (4, '$', 'not-object'), (5, 'more', 'additional'), (6, '$', 'not-object')) SELECT event_id, path, code FROM domain_events JOIN t ON k = event_id % 7 WHERE intent = 'Domain.Order.Placed'""",
+  (3, 'id', 'missing-required'), (3, 'buyer', 'missing-required'), (4, '$', 'not-object'), (5, 'more', 'additional'), (6, 'id', 'missing-required'), (6, 'buyer', 'missing-required')) SELECT event_id, path, code FROM domain_events JOIN t ON k = event_id % 7 WHERE intent = 'Domain.Order.Placed'""",
     "evaluate_policies": f"""{_EVENTS} SELECT event_id, 'positive' AS policy, 'hard' AS severity, 'positive failed' AS message FROM domain_events WHERE NOT coalesce(value > 5, false) UNION ALL SELECT event_id, 'named', 'soft', 'no source' FROM domain_events WHERE source IS NULL
  UNION ALL SELECT event_id, 'many', 'soft', unnest(['first', 'second']) FROM domain_events WHERE event_id % 50 = 0""",
     "drift_report": f"""{with_views('domain_events', 'intent_flows')}, d AS (SELECT DISTINCT from_intent, to_intent FROM intent_flows WHERE kind = 'produces'), o AS (SELECT DISTINCT coalesce(source, '') AS from_intent, intent AS to_intent FROM domain_events UNION SELECT from_intent, to_intent FROM intent_flows WHERE kind = 'observed'),

@@ -114,10 +114,10 @@ def _fields_issues(value: Column, fields: dict[str, EventField], parent: Column
 
 
 def _issues_of(contract: EventContract) -> Column:
-    """array<struct<path, code>> of a JSON payload against one contract."""
+    """array<struct<path, code>> of a JSON payload against one contract; no payload, or no JSON, has no fields."""
     fields = {n: f if isinstance(f, EventField) else EventField(*f) for n, f in contract.fields.items()}
     value = F.try_parse_json(F.col("payload"))
-    shaped = F.coalesce(_kind(value).isin("object", "array") & ~F.call_function("is_variant_null", value), F.lit(False))
+    shaped = value.isNull() | (_kind(value).isin("object", "array") & ~F.call_function("is_variant_null", value))
     found = _fields_issues(value, fields, None)
     if not contract.additional:
         keys = F.array_sort(F.map_keys(F.try_variant_get(value, "$", "map<string,variant>")))
