@@ -50,29 +50,45 @@ class Layout:
         return (keys >> self.shift).astype(np.int64) if self.buckets > 1 else np.zeros(len(keys), np.int64)
 
 
-def _cuts(size: float):
-    """Where chunks of about ``size`` bytes begin in a sorted partition: ids before which whole multiples of it lie."""
+def _pieces_of(step: float):
+    """Pieces of about ``step`` bytes of a sorted partition: (id that it begins with, bytes before it), and at last (null, all bytes)."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done, last, at = 0, None, 0
+        done, last, at = 0, None, -1
         for batch in batches:
             if not batch.num_rows:
                 continue
             ids, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             before = done + np.cumsum(n) - n
             new = np.concatenate(([last is None or ids[0] != last], ids[1:] != ids[:-1]))
-            first, place = ids[new], (before[new] // size).astype(np.int64)
+            first, before = ids[new], before[new]
+            place = (before // step).astype(np.int64)
             moved = np.diff(place, prepend=at) > 0
             done, last, at = done + int(n.sum()), ids[-1], int(place[-1]) if len(place) else at
-            yield pa.record_batch([pa.array(first[moved], pa.int64())], names=["bound"])
+            yield pa.record_batch([pa.array(first[moved], pa.int64()), pa.array(before[moved], pa.int64())], names=["bound", "before"])
+        yield pa.record_batch([pa.array([None], pa.int64()), pa.array([done], pa.int64())], names=["bound", "before"])
 
     return f
 
 
+def _joined(pieces: pa.Table, size: float) -> tuple[int, ...]:
+    """Where chunks of up to ``size`` bytes begin, each of as many pieces as fit, over all partitions in their order."""
+    bounds, held, open_ = [], 0, None
+    for bound, before in zip(pieces["bound"].to_pylist(), pieces["before"].to_pylist(), strict=True):
+        if open_ is not None:
+            begin, n = open_[0], before - open_[1]
+            if held and held + n > size:
+                bounds.append(begin)
+                held = 0
+            held += n
+        open_ = None if bound is None else (bound, before)
+    return tuple(bounds)
+
+
 def layout(docs: DataFrame, keys_per_byte: float, chunk_bytes: int | None = None, bucket_keys: int = BUCKET_KEYS) -> Layout:
     """From the bytes of each text: documents are sorted by id without their texts, and cut where bytes add up.
 
-    A chunk has twice the aimed bytes at most, or those of one doc_id. The driver holds one number a chunk.
+    A chunk has twice the aimed bytes at most, or those of one doc_id. The driver holds some numbers a chunk.
     """
     tasks = 2 * docs.sparkSession.sparkContext.defaultParallelism
     slim = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)).cast("long").alias("n")))
@@ -84,8 +100,9 @@ def layout(docs: DataFrame, keys_per_byte: float, chunk_bytes: int | None = None
     loose = max(1, math.ceil((size["loose"] or 0) * chunks / max(1, n_bytes)))
     if chunks == 1:
         return Layout((), buckets, loose)
-    bounds = slim.where("doc_id is not null").orderBy("doc_id").mapInArrow(_cuts(n_bytes / chunks), "bound long").toArrow()
-    return Layout(tuple(sorted(set(bounds["bound"].to_pylist()))), buckets, loose)
+    size = n_bytes / chunks
+    pieces = slim.where("doc_id is not null").orderBy("doc_id").mapInArrow(_pieces_of(size / 4), "bound long, before long").toArrow()
+    return Layout(_joined(pieces, size), buckets, loose)
 
 
 def _search(table: Column, n: Column, wanted: Column, most: int) -> Column:

@@ -39,6 +39,18 @@ def test_no_chunk_is_over_twice_its_aim(spark, rows):
     assert len(found) > 5 and max(found) <= 2 * most and plan.bounds == tuple(sorted(set(plan.bounds)))
 
 
+def test_partitions_smaller_than_a_chunk_are_joined(spark):
+    rows = [(i, f"{i} " * 100) for i in range(3000)]
+    spark.conf.set("spark.sql.shuffle.partitions", "100")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        _, found = sizes(spark, rows)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(found) > 10 and max(found) <= 2 * max(AIM, sum(found) / len(found))
+
+
 def test_chunks_grow_with_the_fourth_root():
     grown = ch.CHUNK_BYTES * ((10**14) / ch.GROWS_FROM) ** 0.25
     assert 40 << 20 < grown < 64 << 20
