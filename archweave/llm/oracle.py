@@ -1,4 +1,8 @@
-"""DuckDB SQL for the queries that it can express (op4, op8 and op10 need a tokenizer, byte windows and XXH64)."""
+"""DuckDB SQL for the queries that it can express.
+
+op4, op8 and op10 need a tokenizer, byte windows and XXH64; op11 tries all periods of all stretches, op12 hashes all triplets
+of bytes: these are held against brute force in tests.
+"""
 
 from __future__ import annotations
 
@@ -91,5 +95,48 @@ SELECT page_id, n AS payload_bytes, sha1(html) AS payload_digest, CASE WHEN n >=
  CASE WHEN n >= 1000 AND page_id IS DISTINCT FROM largest THEN largest END AS refers_to FROM m"""
 
 
+def _field(c: str) -> str:
+    return f"coalesce(CAST(strlen(CAST({c} AS VARCHAR)) AS VARCHAR) || ':' || CAST({c} AS VARCHAR), '-')"
+
+
+def _tree(name: str, levels: int) -> str:
+    """From {name}0 (grp, pos, node, n) the levels above, as long as a group has several nodes: {name}1 and so on, with the runs joined."""
+    step = "SELECT grp, pos // 8 AS pos, sha256(string_agg(node, '' ORDER BY pos)) AS node, (n + 7) // 8 AS n FROM {0} WHERE n > 1 GROUP BY grp, pos // 8, n UNION ALL SELECT grp, pos, node, n FROM {0} WHERE n = 1"
+    return ",\n ".join(f"{name}{i} AS ({step.format(f'{name}{i - 1}')})" for i in range(1, levels + 1))
+
+
+def _climb(name: str, start: str, grp: str, levels: int) -> str:
+    """Each row of ``start`` level by level: what stands before and after it in its run, appended to proof and folded into x."""
+    parts, last = [], start
+    for i in range(levels):
+        run = f"(SELECT grp, pos // 8 AS r, list(node ORDER BY pos) AS run FROM {name}{i} WHERE n > 1 GROUP BY grp, pos // 8)"
+        before, after = "array_to_string(list_slice(run, 1, p % 8), '')", "array_to_string(list_slice(run, p % 8 + 2, 8), '')"
+        parts.append(
+            f"{start}_{i} AS (SELECT c.* EXCLUDE (p, x, proof), p // 8 AS p, CASE WHEN run IS NULL THEN x ELSE sha256({before} || x || {after}) END AS x, CASE WHEN run IS NULL THEN proof ELSE proof || {before} || {after} END AS proof"
+            f" FROM {last} c LEFT JOIN {run} t ON t.grp IS NOT DISTINCT FROM c.{grp} AND t.r = c.p // 8)"
+        )
+        last = f"{start}_{i}"
+    return ",\n ".join(parts)
+
+
+#: CRC-32 of a decimal number: each digit's byte, then eight shifts (-1).
+_CRC = "xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda ch: list_concat([CAST(ascii(ch) AS BIGINT)], list_transform(range(8), lambda z: CAST(-1 AS BIGINT)))))), lambda c, v: CASE WHEN v < 0 THEN xor(c >> 1, (c & 1) * 3988292384) ELSE xor(c, v) END), 4294967295)"
+_LEAF = " || ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars"))
+_HEIGHT, _TOP = 9, 5
+
+OP13 = f"""WITH a AS (SELECT doc_id, lang, sha256({_LEAF} || {_field("text")}) AS leaf, CASE WHEN {_CRC} % 3 = 0 THEN sha256({_LEAF} || {_field("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}) END AS bad FROM documents),
+ l AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM a),
+ t0 AS (SELECT lang AS grp, pos, leaf AS node, n FROM l),
+ {_tree("t", _HEIGHT)},
+ s AS (SELECT grp AS lang, node, row_number() OVER (ORDER BY grp IS NOT NULL, encode(grp)) - 1 AS pos, count(*) OVER () AS n FROM t{_HEIGHT}),
+ u0 AS (SELECT 0 AS grp, pos, node, n FROM s),
+ {_tree("u", _TOP)},
+ c AS (SELECT l.doc_id, l.lang, l.leaf, s.node AS subroot, s.pos AS place, l.pos AS p, coalesce(bad, leaf) AS x, '' AS proof FROM l JOIN s ON s.lang IS NOT DISTINCT FROM l.lang),
+ {_climb("t", "c", "lang", _HEIGHT)},
+ d AS (SELECT * EXCLUDE (p, place), 0 AS grp, place AS p FROM c_{_HEIGHT - 1}),
+ {_climb("u", "d", "grp", _TOP)}
+SELECT doc_id, leaf, subroot, r.node AS root, sha256(proof) AS proof_sha256, x AS folded_root, x = r.node AS verified FROM d_{_TOP - 1} CROSS JOIN u{_TOP} r"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1, "op2_quality": OP2, "op3_substring_dedup": OP3, "op5_lm_scores": OP5, "op6_line_dedup": OP6, "op7_mixing": OP7, "op9_warc": OP9}
+    return {"op1_decontaminate": OP1, "op2_quality": OP2, "op3_substring_dedup": OP3, "op5_lm_scores": OP5, "op6_line_dedup": OP6, "op7_mixing": OP7, "op9_warc": OP9, "op13_merkle_manifest": OP13}

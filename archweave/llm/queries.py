@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from archweave.llm import decontaminate, line_dedup, lm_scores, mixing, oracle, quality, simhash, substring_dedup, suffix_dedup, token_counts, warc
+from archweave.llm import decontaminate, grammar_runs, line_dedup, lm_scores, merkle, mixing, oracle, quality, quartile_digest, simhash, substring_dedup, suffix_dedup, token_counts, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,8 +72,39 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = grammar_runs.find_runs(grammar_runs.with_planted_runs(_table(spark, sf_dir, "documents")))
+    best = grammar_runs.longest(F.col("runs"))
+    return found.select("doc_id", "runs", "collapsed_text", best.alias("best")).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("best.start").alias("start"),
+        F.col("best.length").alias("length"),
+        F.col("best.period").alias("period"),
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(grammar_runs.listed(F.col("runs")), 256).alias("runs_sha256"),
+        F.sha2("collapsed_text", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quartile_digest.edited_digests(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    given = [merkle.lower_cased(F.col(c)) if c == "text" else F.col(c) for c in fields]
+    presented = F.when(tampered, merkle.leaf(given)).otherwise(merkle.leaf([F.col(c) for c in fields]))
+    proofs = merkle.manifest(_table(spark, sf_dir, "documents"), fields, "lang", "doc_id", presented)
+    root = merkle.folded(F.col("presented"), F.col("siblings"))
+    kept = proofs.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("siblings")).alias("proof_sha256"), root.alias("folded_root"))
+    return kept.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_quality, op3_substring_dedup, op4_token_counts, op5_lm_scores, op6_line_dedup, op7_mixing, op8_suffix_dedup, op9_warc, op10_simhash)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_quality, op3_substring_dedup, op4_token_counts, op5_lm_scores, op6_line_dedup, op7_mixing, op8_suffix_dedup, op9_warc, op10_simhash, op11_periodic_runs, op12_fingerprints, op13_merkle_manifest)}
 
 
 def oracle_sql() -> dict[str, str]:
