@@ -97,6 +97,14 @@ SOURCES = """SELECT f.repo, f.path, f.ordinal, f.ordinal % 23 = 0 AS is_test, co
  coalesce(d.text, '')) AS content
 FROM code_files f JOIN documents d ON d.doc_id = f.ordinal"""
 
+#: Three snapshots a repository; from each, files are missing, and from the last but one their layer has moved.
+SNAPSHOT_FILES = """SELECT f.repo, concat('s', k.k) AS snapshot, f.ordinal, CASE WHEN k.k = 2 THEN replace(f.path, 'src/lib/', 'src/kernel/') ELSE f.path END AS path
+FROM code_files f CROSS JOIN (SELECT CAST(1 AS BIGINT) AS k UNION ALL SELECT CAST(2 AS BIGINT) UNION ALL SELECT CAST(3 AS BIGINT)) k WHERE f.ordinal % 7 <> k.k"""
+
+SNAPSHOT_DEPENDENCIES = """SELECT d.repo, concat('s', k.k) AS snapshot, CASE WHEN k.k = 2 THEN replace(d.from_path, 'src/lib/', 'src/kernel/') ELSE d.from_path END AS from_path,
+ CASE WHEN k.k = 2 THEN replace(d.to_path, 'src/lib/', 'src/kernel/') ELSE d.to_path END AS to_path, d.type_only, d.line
+FROM dependencies d CROSS JOIN (SELECT CAST(1 AS BIGINT) AS k UNION ALL SELECT CAST(2 AS BIGINT) UNION ALL SELECT CAST(3 AS BIGINT)) k WHERE d.from_ordinal % 7 <> k.k"""
+
 VIEWS = {
     "code_files": CODE_FILES,
     "dependencies": DEPENDENCIES,
@@ -114,10 +122,13 @@ VIEWS = {
     "class_shapes": CLASS_SHAPES,
     "safety_uses": SAFETY_USES,
     "sources": SOURCES,
+    "snapshot_files": SNAPSHOT_FILES,
+    "snapshot_dependencies": SNAPSHOT_DEPENDENCIES,
 }
-_OF_FILES = ("dependencies", "tree_base", "tree_candidate", "module_imports", "ambient_uses", "publish_calls", "intent_references", "class_shapes", "safety_uses", "sources")
+_OF_FILES = ("dependencies", "tree_base", "tree_candidate", "module_imports", "ambient_uses", "publish_calls", "intent_references", "class_shapes", "safety_uses", "sources", "snapshot_files")
 _NEEDS = {name: ["code_files"] for name in _OF_FILES}
-TABLES |= {name: ["documents"] for name in _OF_FILES}
+_NEEDS["snapshot_dependencies"] = ["code_files", "dependencies"]
+TABLES |= {name: ["documents"] for name in (*_OF_FILES, "snapshot_dependencies")}
 #: Names of the views while they are read, so that a session's own tables and views aren't replaced.
 _PREFIX = "archweave_"
 

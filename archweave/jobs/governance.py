@@ -443,7 +443,7 @@ def _contract_of(spark: SparkSession, sf: str, candidate: bool) -> dict[str, Dat
     own = atoms.groupBy("repo", "layer").agg(F.array_sort(F.collect_list(F.when(F.col("kind") == "atom", F.col("atom")))).alias("atoms"), F.array_sort(F.collect_list(F.when(F.col("kind") == "raw", F.col("atom")))).alias("raw_globals"))
     tables = contracts.contract_tables(WALLED, repos)
     rows = tables["layers"].join(own, ["repo", "layer"], "left").select("repo", "layer", "optional", "patterns", "exclude", "prefixes", F.coalesce("raw_globals", strings()).alias("raw_globals"), F.coalesce("atoms", strings()).alias("atoms"))
-    rules = tables["rules"].select("repo", "source", "target", "allowed", "peer_isolation", "slice_folders")
+    rules = tables["rules"].select("repo", "ordinal", "source", "target", "allowed", "peer_isolation", "slice_folders")
     settings = repos.select("repo", strings("src").alias("include"), strings("dist").alias("exclude"), strings().alias("allowlist"), F.lit("soft").alias("cycle_policy"), F.lit(True).alias("exclude_generated"), F.lit(3).alias("max_suppressions"), F.lit(0).alias("max_any"), F.lit(False).alias("in_memory"), F.lit(False).alias("disabled_peers"))
     if not candidate:
         return {"layers": rows, "rules": rules, "settings": settings}
@@ -663,7 +663,7 @@ def extract_imports(spark: SparkSession, sf: str) -> DataFrame:
 def extract_class_shapes(spark: SparkSession, sf: str) -> DataFrame:
     body = F.expr("CASE ordinal % 4 WHEN 0 THEN 'public count = 0; constructor(a) {}' WHEN 1 THEN 'a: string; b: number;' WHEN 2 THEN concat('private constructor() {}', chr(10), ' static create(x) { return 1 }', chr(10), ' add(x) { this.n = x }') ELSE 'run() { return 1 }' END")
     rows = facts(spark, sf, "sources").withColumn("content", F.concat(F.lit("export class C"), F.col("ordinal"), F.lit(" {\n"), body, F.lit("\n}\n"), F.col("content")))
-    return scan.extract_class_shapes(rows).where("class_name <> 'Order'").select("repo", "file", "class_name", "public_setters", "public_mutable", "public_constructor", "static_factory", "data_only", F.size("mutating").cast("long").alias("n_mutating"))
+    return scan.extract_class_shapes(rows).select("repo", "file", "class_name", "public_setters", "public_mutable", "public_constructor", "static_factory", "data_only", F.size("mutating").cast("long").alias("n_mutating"))
 
 
 @_query

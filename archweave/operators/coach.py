@@ -8,18 +8,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from archweave.keys import sized
+
+#: Rows of lenses or weights that are broadcast; larger tables are joined.
+SMALL = 10_000
+
 
 def compass(found: DataFrame, lenses: DataFrame, repos: DataFrame, most: int = 12) -> DataFrame:
     """(repo, lens, status, n, evidence): every lens of every repository, residual where a fact speaks for it, else clear.
 
     found (repo, source, id, evidence); lenses (source, id, lens, priority), a small table: which facts stand for which
-    lens. evidence: the first ``most`` distinct ones, joined.
+    lens; as a whole it fits one row. evidence: the first ``most`` distinct ones, joined.
     """
     each = lenses.groupBy("lens").agg(F.min("priority").alias("priority"))
-    hits = found.join(F.broadcast(lenses.limit(10_000).select("source", "id", "lens").distinct()), ["source", "id"]).select("repo", "lens", "evidence").distinct()
+    hits = found.join(sized(lenses.select("source", "id", "lens").distinct(), SMALL), ["source", "id"]).select("repo", "lens", "evidence").distinct()
     ranked = hits.withColumn("k", F.row_number().over(W.partitionBy("repo", "lens").orderBy("evidence")))
     told = ranked.groupBy("repo", "lens").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("k") <= most, F.col("evidence")))), ",").alias("evidence"))
-    every = repos.select("repo", F.lit(1).alias("_")).join(F.broadcast(each.withColumn("_", F.lit(1))), "_").drop("_")
+    # All lenses as one array, so that no join without keys is needed: a row a repository, exploded.
+    listed = each.agg(F.collect_list(F.struct("lens", "priority")).alias("lenses")).withColumn("_", F.lit(1))
+    every = repos.select("repo", F.lit(1).alias("_")).join(F.broadcast(listed), "_").select("repo", F.explode("lenses").alias("x")).select("repo", "x.*")
     joined = every.join(told, ["repo", "lens"], "left").fillna(0, ["n"])
     return joined.select("repo", "lens", "priority", F.when(F.col("n") > 0, "residual").otherwise("clear").alias("status"), "n", F.coalesce("evidence", F.lit("")).alias("evidence"))
 
@@ -56,8 +63,8 @@ def best_fit_model(files: DataFrame, presets: dict[str, list[str]]) -> DataFrame
 def archetype_scores(signals: DataFrame, weights: DataFrame) -> DataFrame:
     """signals (repo, signal, value), weights (signal, archetype, weight) -> (repo, archetype, score, place, margin).
 
-    place: by score, then name; margin: how far the next one is behind, null for the last. Weights are a small table.
+    place: by score, then name; margin: how far the next one is behind, null for the last.
     """
-    scored = signals.join(F.broadcast(weights.limit(10_000)), "signal").groupBy("repo", "archetype").agg(F.sum(F.col("value") * F.col("weight")).alias("score"))
+    scored = signals.join(sized(weights, SMALL), "signal").groupBy("repo", "archetype").agg(F.sum(F.col("value") * F.col("weight")).alias("score"))
     order = W.partitionBy("repo").orderBy(F.desc("score"), "archetype")
     return scored.select("repo", "archetype", "score", F.row_number().over(order).cast("long").alias("place"), (F.col("score") - F.lead("score").over(order)).alias("margin"))

@@ -6,15 +6,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from archweave.keys import scope, shared, sized
 from archweave.lineage import cut
 from archweave.ship import ship_package
 
 
 def value_graph(edges: DataFrame, governed: DataFrame) -> DataFrame:
-    """Distinct (repo, from_path, to_path) that aren't type-only nor self, between governed files (repo, path)."""
-    found = edges.where(~F.col("type_only") & F.col("to_path").isNotNull() & (F.col("from_path") != F.col("to_path"))).select("repo", "from_path", "to_path").distinct()
-    found = found.join(governed.select("repo", F.col("path").alias("from_path")), ["repo", "from_path"], "left_semi")
-    return found.join(governed.select("repo", F.col("path").alias("to_path")), ["repo", "to_path"], "left_semi").select("repo", "from_path", "to_path")
+    """Distinct (keys, from_path, to_path) that aren't type-only nor self, between governed files (keys, path)."""
+    keys, on = scope(edges), shared(edges, governed)
+    found = edges.where(~F.col("type_only") & F.col("to_path").isNotNull() & (F.col("from_path") != F.col("to_path"))).select(*keys, "from_path", "to_path").distinct()
+    found = found.join(governed.select(*on, F.col("path").alias("from_path")), [*on, "from_path"], "left_semi")
+    return found.join(governed.select(*on, F.col("path").alias("to_path")), [*on, "to_path"], "left_semi").select(*keys, "from_path", "to_path")
 
 
 def strong_components(edges: list[tuple[str, str]]) -> list[list[str]]:
@@ -125,8 +127,15 @@ ONE_TASK = 2_000_000
 def find_cycles(graph: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
     """(repo, anchor, n_members, members): one row for each cycle group of a repository; anchor is its first member.
 
-    Repositories of up to ``one_task`` edges are a task's work each; larger ones go through ``reach_members``.
+    Repositories of up to ``one_task`` edges are a task's work each; larger ones go through ``reach_members``. Each snapshot
+    is a graph of its own.
     """
+    keys = scope(graph)
+    if len(keys) > 1:
+        named = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}).alias("repo")
+        found = find_cycles(graph.select(named, "from_path", "to_path"), one_task)
+        told = F.from_json("repo", ", ".join(f"{k} {graph.schema[k].dataType.simpleString()}" for k in keys))
+        return found.withColumn("_at", told).select(*[F.col("_at")[k].alias(k) for k in keys], "anchor", "n_members", "members")
     ship_package(graph.sparkSession)
     graph = cut(graph.select("repo", "from_path", "to_path"))
     giants = graph.groupBy("repo").agg(F.count("*").alias("n")).where(F.col("n") > one_task).select("repo")
@@ -159,8 +168,8 @@ def intent_cycles(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
 
 def apply_cycle_policy(cycles: DataFrame, policies: DataFrame) -> DataFrame:
     """policies (repo, cycle_policy): strict blocks, soft and framework-soft warn, off drops."""
-    joined = cycles.join(F.broadcast(policies) if policies.limit(10_001).count() <= 10_000 else policies, "repo")
-    return joined.where("cycle_policy <> 'off'").select("repo", F.lit("CIRCULAR_DEPENDENCY").alias("rule_id"), F.col("anchor").alias("file"), (F.col("cycle_policy") == "strict").alias("blocking"))
+    joined = cycles.join(sized(policies, 10_000), shared(cycles, policies))
+    return joined.where("cycle_policy <> 'off'").select(*scope(cycles), F.lit("CIRCULAR_DEPENDENCY").alias("rule_id"), F.col("anchor").alias("file"), (F.col("cycle_policy") == "strict").alias("blocking"))
 
 
 def intent_graph(flows: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 Contracts are tables keyed by repository, so one call handles a fleet with a contract each:
 
 * layers (repo, layer, optional, patterns, exclude, prefixes, raw_globals, atoms), the last five array<string>
-* rules (repo, source, target, allowed, peer_isolation, slice_folders array<string>), the first of each edge
+* rules (repo, ordinal, source, target, allowed, peer_isolation, slice_folders array<string>), of which the first of each edge counts
 * settings (repo, include, exclude, allowlist array<string>, cycle_policy, exclude_generated,
   max_suppressions, max_any, in_memory, disabled_peers)
 
@@ -75,7 +75,10 @@ def layer_delta(before: DataFrame, after: DataFrame) -> DataFrame:
 def rule_delta(before: DataFrame, after: DataFrame) -> DataFrame:
     path = F.concat(F.lit("$.rules["), "source", F.lit("->"), "target", F.lit("]"))
     at = lambda name: F.concat(path, F.lit(f".{name}"))
-    rows = _both(before, after, ["repo", "source", "target"])
+    edge = ["repo", "source", "target"]
+    fields = F.struct("allowed", "peer_isolation", "slice_folders")
+    first = lambda rules: rules.groupBy(*edge).agg(F.min_by(fields, "ordinal").alias("x")).select(*edge, "x.*")
+    rows = _both(first(before), first(after), edge)
     both = F.col("b").isNotNull() & F.col("a").isNotNull()
     b, a = F.col("b.peer_isolation"), F.col("a.peer_isolation")
     kind = F.when(a, "peer-isolation-enabled").otherwise("peer-isolation-disabled")

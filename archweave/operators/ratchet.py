@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from archweave.functions.names import baseline_key, stable_hash
+from archweave.keys import scope
 from archweave.operators.quantiles import at_rank, value_counts
 
 _KEY = ["rule_id", "file", "from_layer", "to_layer", "target"]
@@ -16,7 +17,7 @@ def occurrence_keys(violations: DataFrame) -> DataFrame:
     """With key: repeats of one identity, in order of line, gain '#2', '#3', ..."""
     base = baseline_key(*map(F.col, _KEY))
     keyed = violations.withColumn("_base", base)
-    nth = F.row_number().over(W.partitionBy("repo", "_base").orderBy("line"))
+    nth = F.row_number().over(W.partitionBy(*scope(violations), "_base").orderBy("line"))
     return keyed.withColumn("_nth", nth).withColumn("key", F.when(F.col("_nth") == 1, F.col("_base")).otherwise(F.concat("_base", F.lit("#"), "_nth"))).drop("_base", "_nth")
 
 

@@ -20,16 +20,16 @@ AMBIENT = {"fetch": "network", "XMLHttpRequest": "network", "Date": "clock", "Da
 MODULES = {
     "filesystem": ("fs", "node:fs", "fs/promises", "node:fs/promises", "fs-extra", "graceful-fs", "memfs", "chokidar"),
     "network": (
-        *("http", "https", "http2", "net", "tls", "dgram", "dns"),
-        *("node:http", "node:https", "node:http2", "node:net", "node:tls", "node:dgram", "node:dns"),
-        *("axios", "undici", "node-fetch", "got", "ky", "superagent", "ws"),
+        "http", "https", "http2", "net", "tls", "dgram", "dns",
+        "node:http", "node:https", "node:http2", "node:net", "node:tls", "node:dgram", "node:dns",
+        "axios", "undici", "node-fetch", "got", "ky", "superagent", "ws",
     ),
     "process": ("process", "node:process", "child_process", "node:child_process"),
     "persistence": (
-        *("@prisma/client", "prisma", "pg", "mysql", "mysql2", "mongodb", "mongoose", "sqlite3", "better-sqlite3"),
-        *("redis", "ioredis", "typeorm", "knex", "drizzle-orm", "sequelize", "kysely", "@supabase/supabase-js"),
+        "@prisma/client", "prisma", "pg", "mysql", "mysql2", "mongodb", "mongoose", "sqlite3", "better-sqlite3",
+        "redis", "ioredis", "typeorm", "knex", "drizzle-orm", "sequelize", "kysely", "@supabase/supabase-js",
     ),
-}
+}
 #: Modules that are the import form of a forbidden global.
 DUALS = {"process": ("process", "node:process")}
 #: Names that look like intents.

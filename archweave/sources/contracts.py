@@ -33,7 +33,8 @@ def default_rules() -> list[tuple[str, str]]:
 def read_contract(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """One JSON contract a line -> layers, rules, settings (as ``operators.policy`` takes them), and rejects (raw, reason).
 
-    A contract without rules gets the default ones; of rules for the same edge the first counts.
+    A contract without rules gets the default ones. All rules stay, in their order: the first that denies an edge counts, and only
+    ``allowed: false`` denies.
     """
     raw = spark.read.schema(_CONTRACT).option("columnNameOfCorruptRecord", "_corrupt").option("mode", "PERMISSIVE").json(path)
     good = raw.where("_corrupt is null and repo is not null")
@@ -43,9 +44,7 @@ def read_contract(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     layers = good.select("repo", F.posexplode("layers").alias("ordinal", "x"))
     layers = layers.select("repo", "ordinal", F.col("x.name").alias("layer"), F.coalesce("x.optional", F.lit(False)).alias("optional"), F.coalesce("x.pure", F.lit(False)).alias("pure"), or_none("x.patterns").alias("patterns"), or_none("x.exclude").alias("exclude"), or_none("x.intentPrefixes").alias("prefixes"), or_none("x.capabilities.deny").alias("deny"), or_none("x.forbiddenGlobals").alias("forbidden_globals"))
     rules = good.select("repo", F.posexplode(F.coalesce("rules", defaults)).alias("ordinal", "x"))
-    first = W.partitionBy("repo", "x.from", "x.to").orderBy("ordinal")
-    rules = rules.withColumn("k", F.row_number().over(first)).where("k = 1")
-    rules = rules.select("repo", "ordinal", F.col("x.from").alias("source"), F.col("x.to").alias("target"), F.coalesce("x.allowed", F.lit(False)).alias("allowed"), F.coalesce("x.peerIsolation", F.lit(False)).alias("peer_isolation"), or_none("x.sliceFolders").alias("slice_folders"), F.coalesce("x.message", F.lit("")).alias("message"))
+    rules = rules.select("repo", "ordinal", F.col("x.from").alias("source"), F.col("x.to").alias("target"), F.coalesce("x.allowed", F.lit(True)).alias("allowed"), F.coalesce("x.peerIsolation", F.lit(False)).alias("peer_isolation"), or_none("x.sliceFolders").alias("slice_folders"), F.coalesce("x.message", F.lit("")).alias("message"))
     settings = good.select(
         "repo",
         F.coalesce("include", F.array(F.lit("src"))).alias("include"),
@@ -66,16 +65,22 @@ def contract_tables(contract: Contract, repos: DataFrame) -> dict[str, DataFrame
     """layers and rules of one contract, for each repository."""
     strings = lambda values: F.array(*map(F.lit, values)) if values else F.array().cast("array<string>")
     each = [F.struct(F.lit(i).alias("ordinal"), F.lit(x.name).alias("layer"), F.lit(x.optional).alias("optional"), strings(x.patterns).alias("patterns"), strings(x.exclude).alias("exclude"), strings(x.prefixes).alias("prefixes")) for i, x in enumerate(contract.layers)]
-    edges = [F.struct(F.lit(i).alias("ordinal"), F.lit(r.source).alias("source"), F.lit(r.target).alias("target"), F.lit(r.allowed).alias("allowed"), F.lit(r.peer_isolation).alias("peer_isolation"), strings(r.slice_folders).alias("slice_folders")) for i, r in enumerate(contract.rules)]
+    edges = [F.struct(F.lit(i).alias("ordinal"), F.lit(r.source).alias("source"), F.lit(r.target).alias("target"), F.lit(r.allowed).alias("allowed"), F.lit(r.peer_isolation).alias("peer_isolation"), strings(r.slice_folders).alias("slice_folders"), F.lit(r.message).alias("message")) for i, r in enumerate(contract.rules)]
     table = lambda rows: repos.select("repo", F.explode(F.array(*rows)).alias("x")).select("repo", "x.*")
     return {"layers": table(each), "rules": table(edges)}
 
 
-def as_contract(layers: DataFrame, rules: DataFrame, repo: str) -> Contract:
-    """One repository's contract as a driver-side value: at most some hundred rows, which the reader's schema bounds."""
-    own = layers.where(F.col("repo") == repo).orderBy("ordinal").limit(10_000).collect()
-    edges = rules.where(F.col("repo") == repo).orderBy("ordinal").limit(10_000).collect()
-    return Contract(tuple(Layer(x.layer, tuple(x.patterns), tuple(x.exclude), tuple(x.prefixes), x.optional) for x in own), tuple(Rule(r.source, r.target, r.allowed, r.peer_isolation, tuple(r.slice_folders)) for r in edges))
+def as_contract(layers: DataFrame, rules: DataFrame, repo: str, most: int = 10_000) -> Contract:
+    """One repository's contract as a driver-side value; more than ``most`` layers or rules are refused."""
+
+    def rows(table: DataFrame) -> list:
+        found = table.where(F.col("repo") == repo).orderBy("ordinal").limit(most + 1).collect()
+        if len(found) > most:
+            raise ValueError(f"the contract of {repo} has more than {most} layers or rules; operators.fleet takes it as a table")
+        return found
+
+    own = tuple(Layer(x.layer, tuple(x.patterns), tuple(x.exclude), tuple(x.prefixes), x.optional) for x in rows(layers))
+    return Contract(own, tuple(Rule(r.source, r.target, r.allowed, r.peer_isolation, tuple(r.slice_folders), r.message or "") for r in rows(rules)))
 
 
 def read_structure_rules(references: DataFrame, files: DataFrame) -> DataFrame:

@@ -66,6 +66,32 @@ export abstract class Sealed { private constructor() {}
     assert got["Sealed"]["static_factory"] and not got["Sealed"]["public_constructor"] and not got["Sealed"]["public_mutable"]
 
 
+def test_members_are_read_in_order_whatever_they_hold():
+    text = """export class Order<T> extends Base<T> implements I {
+  public status: string = 'new }';
+  private total = 0; static MAX = 3; #secret = 1
+  tags: string[] = [
+    'a', 'b' ]
+  constructor(private readonly id: string) {}
+  get label(): string { return `x { ${this.id}`; }
+  protected set state(v: string) { this.status = v; }
+  cancel(): { ok: boolean } {
+    this.status = "cancelled }"; // {
+    return { ok: true };
+  }
+  abstract run(x: T): void;
+  static async make<U>(x: U): Promise<U> { return x }
+} export class Dto { id: string = ''
+  name: string }"""
+    members = list(scan.members_of(text, text.index("{") + 1))
+    assert [(m.name, m.kind) for m in members] == [("status", "field"), ("total", "field"), ("MAX", "field"), ("#secret", "field"), ("tags", "field"), ("constructor", "constructor"), ("label", "get"), ("state", "set"), ("cancel", "method"), ("run", "method"), ("make", "method")]
+    assert [m.name for m in members if m.mutable] == ["status", "tags"]
+    order, dto = scan.class_shapes_of(text)
+    assert (order["public_setters"], order["static_factory"], [m["name"] for m in order["mutating"]], order["data_only"]) == (False, True, ["cancel"], False)
+    assert dto["data_only"] and dto["class_name"] == "Dto"
+    assert list(scan.class_shapes_of("export class Open { a: string")) and list(scan.class_shapes_of("")) == []
+
+
 def test_peer_rules_take_folders_from_globs(spark):
     contract = Contract((Layer("F", ("src/features/**", "src/{a,b}/**")),), (Rule("F", "F", peer_isolation=True),))
     assert layers.inferred_folders(contract, "F") == ("features",)
@@ -158,10 +184,10 @@ def test_contracts_of_several_repositories(spark, tmp_path):
     (tmp_path / "c.json").write_text("\n".join([*map(json.dumps, docs), "{broken", '{"layers": []}']))
     got = contracts.read_contract(spark, str(tmp_path))
     rules = got["rules"].groupBy("repo").count().collect()
-    assert {r.repo: r["count"] for r in rules} == {"a": 1, "b": 105} and len(contracts.default_rules()) == 105
+    assert {r.repo: r["count"] for r in rules} == {"a": 2, "b": 105} and len(contracts.default_rules()) == 105
     assert sorted(r.reason for r in got["rejects"].collect()) == ["no-repo", "not-json"]
     own = contracts.as_contract(got["layers"], got["rules"], "a")
-    assert own.rules == (Rule("L", "L", peer_isolation=True),) and own.layers[0].patterns == ("x/**",)
+    assert own.rules == (Rule("L", "L", peer_isolation=True), Rule("L", "L", allowed=True)) and own.layers[0].patterns == ("x/**",)
 
 
 def test_moved_findings_are_not_new(spark):
