@@ -23,11 +23,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from archweave.keys import sized
 from archweave.lineage import cut
 
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2.0
 #: Bits of the hash that one pass looks at, and all of them (15 hex digits).
 BITS, ALL_BITS = 12, 60
+#: Sources whose thresholds are broadcast.
+SOURCES = 100_000
 SPACE = " \t\n\x0b\f\r"
 
 
@@ -112,7 +115,7 @@ def mix(docs: DataFrame, share: float = SHARE, most: float = MOST) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """The mix itself: the rows of ``docs`` that are taken, each with ``copies``. Texts are not shuffled."""
-    sized = cut(_sized(docs).select("source", "size", "h"))
-    limits = thresholds(sized, targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), share, most))
-    return _taken(_sized(docs), limits).where("copies > 0").select(*[F.col("doc")[c].alias(c) for c in docs.columns if c.lower() != "copies"], F.col("copies").cast("long").alias("copies"))
+    """The mix itself: the rows of ``docs`` that are taken, each with ``copies``. Texts are not shuffled while there are up to ``SOURCES`` sources."""
+    measured = cut(_sized(docs).select("source", "size", "h"))
+    limits = thresholds(measured, targets(measured.groupBy("source").agg(F.sum("size").alias("source_size")), share, most))
+    return _taken(_sized(docs), sized(limits, SOURCES)).where("copies > 0").select(*[F.col("doc")[c].alias(c) for c in docs.columns if c.lower() != "copies"], F.col("copies").cast("long").alias("copies"))

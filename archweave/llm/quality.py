@@ -23,6 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from archweave.keys import sized
 from archweave.lineage import cut
 
 #: ASCII white space, as characters and as a pattern.
@@ -30,6 +31,8 @@ SPACE, SPACE_RE = " \t\n\x0b\f\r", r"[\x20\x09-\x0D]+"
 SYMBOLS_RE = "[#*$%&|<>]"
 MIN_WORDS, MOST_REPEATED = 50, 50
 MIN_GROUP, FENCE = 100, 3
+#: Groups of language and source whose limits are broadcast.
+GROUPS = 100_000
 #: Ratios as integers (numerator times scale, by denominator), the least spread that counts, and whether low is bad too.
 METRICS = {
     "word_length": ("word_chars", 100, "n_words", 50, True),
@@ -158,7 +161,8 @@ def quality_report(docs: DataFrame) -> DataFrame:
 def filter_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns.
 
-    Features are computed twice, for the sketches and for the verdict, so that no text is shuffled or stored.
+    Features are computed twice, for the sketches and for the verdict, so that no text is shuffled or stored: the limits are
+    broadcast up to ``GROUPS`` languages and sources. Beyond that, texts are shuffled by these.
     """
-    limits = cut(thresholds(sketches(_measured(docs))))
+    limits = sized(cut(thresholds(sketches(_measured(docs)))), GROUPS)
     return _kept(limits, _measured(docs)).where("kept").select("doc.*")

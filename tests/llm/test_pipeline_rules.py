@@ -2,16 +2,35 @@
 
 from __future__ import annotations
 
+import random
+
 import corpus_pipeline as cp
 from archweave.llm.line_dedup import LONG_WORDS
 from tests.llm import test_decontaminate as contamination
 from tests.llm import test_mixing as mixing
 from tests.llm import test_quality as quality
 from tests.llm.test_line_dedup import SPACE
-from tests.llm.test_pipeline import corpus
 from tests.llm.test_shingle_join import brute_roots
 
 
+def corpus():
+    rnd = random.Random(5)
+    items = [(i, " ".join(f"q{rnd.randint(0, 400)}" for _ in range(14))) for i in range(5)]
+    rows = []
+    for i in range(120):
+        text = "\n".join(" ".join(rnd.choice(["the", "of", "é", "data"]) + str(rnd.randint(0, 60)) for _ in range(rnd.randint(5, 25))) + "." for _ in range(rnd.randint(2, 12)))
+        if rnd.random() < 0.15 and rows:
+            text = rnd.choice(rows)[1]
+            if rnd.random() < 0.5:  # the same lines, joined, so that line dedup doesn't see the copy
+                text = text.replace("\n", " ")
+        if rnd.random() < 0.1:
+            text += "\n" + rnd.choice(items)[1].upper()
+        if rnd.random() < 0.1:
+            text = " ".join(w + "$$$" for w in text.split())
+        rows.append((i, text, rnd.choice(["en", "fr"]), rnd.choice(["s1", "s1", "s2", None]), len(text)))
+    return rows + [(200, None, "en", "s1", None), (200, None, "en", "s1", None), (None, rows[0][1], None, "s2", 1)], items
+
+
 def without_later_copies(rows):
     """Per row: the text that is left, or None if the document goes."""
     docs = {(r[0], r[1] or ""): [x for x in (r[1] or "").split("\n") if x.strip(SPACE)] for r in rows}
@@ -81,3 +100,21 @@ def test_all_stages_match_brute_force(spark, tmp_path):
         held = want if name != "mixing" else held
         sizes.append(len(held))
     assert sizes == sorted(sizes, reverse=True) and len(set(sizes)) >= 4
+
+
+def test_no_text_is_shuffled_by_source_or_language(spark, tmp_path):
+    """Of the last plans of these stages, no exchange has the documents' rows below it."""
+    rows, items = corpus()
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for stage in (cp.quality_rules, cp.mixing_stage):
+            plan = stage(spark, docs, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+            lines = plan.split("\n")
+            scan = next(i for i, x in enumerate(lines) if "FileScan" in x and "text" in x)
+            depth = lambda x: len(x) - len(x.lstrip(" :+-*(0123456789)"))
+            above = [x for i, x in enumerate(lines[:scan]) if depth(x) < depth(lines[scan]) and all(depth(y) > depth(x) for y in lines[i + 1 : scan + 1])]
+            assert above and not any("Exchange" in x for x in above), plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
