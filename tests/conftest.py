@@ -19,8 +19,3 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
-
-
-def pytest_collection_modifyitems(items):
-    # This one holds older rules of two stages and fails (see README): last, so that -x runs all others before.
-    items.sort(key=lambda item: item.path.name == "test_pipeline.py")
