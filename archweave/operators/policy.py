@@ -116,9 +116,65 @@ def settings_delta(before: DataFrame, after: DataFrame) -> DataFrame:
     return _exploded(rows, found)
 
 
-def policy_delta(before: dict[str, DataFrame], after: dict[str, DataFrame]) -> DataFrame:
-    """before, after: layers, rules, settings. (repo, path, classification, kind, id)."""
+def _first(rules: DataFrame) -> DataFrame:
+    """One row of each (repo, layer, rule): of several, the last in the file, as its index keeps it."""
+    fields = [c for c in rules.columns if c not in ("repo", "layer", "rule", "ordinal")]
+    order = F.col("ordinal") if "ordinal" in rules.columns else F.struct(*fields)
+    return rules.groupBy("repo", "layer", "rule").agg(F.max_by(F.struct(*fields), order).alias("x")).select("repo", "layer", "rule", "x.*")
+
+
+def rule_file_delta(before: dict[str, DataFrame], after: dict[str, DataFrame], coverage: DataFrame | None = None) -> DataFrame:
+    """(repo, path, classification, kind) of rule files: references, structure rules and invariants that they hold.
+
+    before, after: rule_files (repo, layer, file), structure (repo, layer, rule, sensor, mode, [ordinal]), invariants
+    (repo, layer, rule, mode, [ordinal]); modes are advisory and enforced. coverage (repo, invariant, covered, partial):
+    the candidate's evidence; an invariant that is promoted without whole evidence isn't stronger, it is to be judged.
+    """
+    at = lambda kind, key: F.concat(F.lit(f"$.rules.{kind}["), key, F.lit("]"))
+    new, gone = F.col("b").isNull(), F.col("a").isNull()
+    both = ~new & ~gone
+    path = F.concat(F.lit("$.ruleFiles["), "layer", F.lit("]"))
+    references = _both(before["rule_files"].distinct(), after["rule_files"].distinct(), ["repo", "layer"])
+    of_files = [_row(new, path, STRONGER, "rule-file-added"), _row(gone, path, WEAKER, "rule-file-removed"), _row(both & (F.col("b.file") != F.col("a.file")), path, JUDGE, "rule-file-moved")]
+
+    key = F.concat("layer", F.lit("::"), "rule")
+    up = both & (F.col("b.mode") == "advisory") & (F.col("a.mode") == "enforced")
+    down = both & (F.col("b.mode") != F.col("a.mode")) & ~up
+    structure = _both(_first(before["structure"]), _first(after["structure"]), ["repo", "layer", "rule"])
+    here = at("structure", key)
+    inside = lambda name: F.concat(here, F.lit(f".{name}"))
+    of_structure = [
+        _row(new, here, STRONGER, "structure-added"),
+        _row(gone, here, WEAKER, "structure-removed"),
+        _row(up, inside("mode"), STRONGER, "structure-promoted"),
+        _row(down, inside("mode"), WEAKER, "structure-demoted"),
+        _row(both & (F.col("b.sensor") != F.col("a.sensor")), inside("sensor"), JUDGE, "sensor-changed"),
+    ]
+
+    invariants = _both(_first(before["invariants"]), _first(after["invariants"]), ["repo", "layer", "rule"])
+    if coverage is None:
+        invariants = invariants.withColumn("proven", F.lit(False))
+    else:
+        proof = coverage.groupBy("repo", F.col("invariant").alias("rule")).agg(F.bool_and(F.col("covered") & ~F.col("partial")).alias("proven"))
+        invariants = invariants.join(proof, ["repo", "rule"], "left").withColumn("proven", F.coalesce("proven", F.lit(False)))
+    place = at("invariants", key)
+    mode = F.concat(place, F.lit(".mode"))
+    of_invariants = [
+        _row(new, place, STRONGER, "invariant-added"),
+        _row(gone, place, WEAKER, "invariant-removed"),
+        _row(up & F.col("proven"), mode, STRONGER, "invariant-promoted"),
+        _row(up & ~F.col("proven"), mode, JUDGE, "invariant-promotion-refused"),
+        _row(down, mode, WEAKER, "invariant-demoted"),
+    ]
+    return reduce(DataFrame.union, [_exploded(references, of_files), _exploded(structure, of_structure), _exploded(invariants, of_invariants)])
+
+
+def policy_delta(before: dict[str, DataFrame], after: dict[str, DataFrame], coverage: DataFrame | None = None) -> DataFrame:
+    """before, after: layers, rules, settings and, where both sides have them, rule_files, structure, invariants
+    (``rule_file_delta``). (repo, path, classification, kind, id)."""
     parts = [layer_delta(before["layers"], after["layers"]), rule_delta(before["rules"], after["rules"]), settings_delta(before["settings"], after["settings"])]
+    if "rule_files" in before and "rule_files" in after:
+        parts.append(rule_file_delta(before, after, coverage))
     return reduce(DataFrame.union, parts).withColumn("id", F.concat_ws(":", "classification", "path", "kind"))
 
 
