@@ -779,5 +779,18 @@ def archetype_scores(spark: SparkSession, sf: str) -> DataFrame:
     return coach.archetype_scores(signals, weights)
 
 
+@_query
+def recommendations(spark: SparkSession, sf: str) -> DataFrame:
+    """A signal is there where a repository's files of that language are odd in number; coverage goes by the contract."""
+    files = facts(spark, sf, "code_files")
+    signals = files.groupBy("repo", F.col("lang").alias("signal")).agg((F.count("*") % 2).alias("value"))
+    weights = spark.createDataFrame([("en", "service", 6), ("en", "library", -1), ("de", "library", 5), ("fr", "app", 4), ("es", "app", -2), ("es", "service", 1), ("zh", "app", 3)], "signal string, archetype string, weight long")
+    covered = _coverage(spark, sf).groupBy("repo").agg(F.max("percent").alias("percent"))
+    # Of every other repository the uncovered files aren't counted.
+    share = F.when(F.length("repo") > 4, 100).otherwise(F.col("percent"))
+    trees = files.groupBy("repo").agg(F.count("*").alias("n_sources"), (F.min("ordinal") % 5 == 0).alias("tiny")).join(covered, "repo").withColumn("coverage", share)
+    return coach.recommendations(coach.archetype_scores(signals, weights), weights, trees, "spike")
+
+
 def queries() -> dict[str, Query]:
     return dict(_found)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from archweave.derive import with_views
-from archweave.jobs import documents, fleet, inventory, oracle_governance, streams
+from archweave.jobs import documents, extensions, fleet, inventory, oracle_governance, streams
 
 _LAYER = """CASE WHEN regexp_matches(path, '^src/domain/') AND NOT regexp_matches(path, '[.]gen[.]ts$') THEN 'DomainModel'
  WHEN regexp_matches(path, '^src/application/') THEN 'ApplicationOrchestration'
@@ -184,4 +184,4 @@ _ORACLE |= {
 
 
 def oracle_sql() -> dict[str, str]:
-    return _ORACLE | oracle_governance.oracle_sql() | fleet.oracle_sql() | inventory.oracle_sql() | documents.oracle_sql() | streams.oracle_sql(_ORACLE)
+    return _ORACLE | oracle_governance.oracle_sql() | fleet.oracle_sql() | inventory.oracle_sql() | extensions.oracle_sql() | documents.oracle_sql() | streams.oracle_sql(_ORACLE)

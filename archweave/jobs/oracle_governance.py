@@ -334,6 +334,13 @@ _ORACLE = {
     "archetype_scores": f"""{with_views('code_files')}, w(lang, archetype, weight) AS (VALUES ('en', 'service', 3), ('en', 'library', -1), ('de', 'library', 2), ('fr', 'app', 4), ('es', 'app', -2), ('es', 'service', 1)),
  s AS (SELECT repo, archetype, CAST(sum(weight) AS BIGINT) AS score FROM code_files JOIN w ON w.lang = code_files.lang GROUP BY ALL)
  SELECT repo, archetype, score, row_number() OVER o AS place, score - lead(score) OVER o AS margin FROM s WINDOW o AS (PARTITION BY repo ORDER BY score DESC, archetype)""",
+    "recommendations": f"""{_base()}, {_COVERAGE}, w(lang, archetype, weight) AS (VALUES ('en', 'service', 6), ('en', 'library', -1), ('de', 'library', 5), ('fr', 'app', 4), ('es', 'app', -2), ('es', 'service', 1), ('zh', 'app', 3)),
+ g AS (SELECT repo, lang, count(*) % 2 AS value FROM code_files GROUP BY ALL), s AS (SELECT repo, archetype, sum(weight * value) AS score FROM g JOIN w ON w.lang = g.lang GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY score DESC, archetype) AS k FROM s),
+ t AS (SELECT repo, count(*) AS n, min(ordinal) % 5 = 0 AS tiny FROM code_files GROUP BY repo), c AS (SELECT repo, CASE WHEN length(repo) > 4 THEN 100 ELSE max(percent) END AS share FROM coverage GROUP BY repo),
+ x AS (SELECT t.*, share < 90 AS low, a.archetype AS one, b.archetype AS two, coalesce(a.score, 0) AS s1, b.score AS s2, CASE a.archetype WHEN 'service' THEN 7 WHEN 'app' THEN 7 ELSE 5 END AS most FROM t JOIN c ON c.repo = t.repo LEFT JOIN r a ON a.repo = t.repo AND a.k = 1 LEFT JOIN r b ON b.repo = t.repo AND b.k = 2),
+ y AS (SELECT *, s1 > 0 AS found, s1 > 0 AND coalesce(s1 - s2 <= 2, false) AS near, s1 > 0 AND (n < 8 OR tiny) AS thin, least(1.0, greatest(0.1, CAST(s1 AS DOUBLE) / most * 0.7 + CASE WHEN s2 > 0 THEN CAST(s1 - s2 AS DOUBLE) / greatest(s1, 1) ELSE 0.25 END * 0.3)) AS sure FROM x)
+ SELECT repo, CASE WHEN found THEN one ELSE 'spike' END AS archetype, CASE WHEN NOT found OR two <> one THEN two END AS runner_up, CAST(s1 AS BIGINT) AS score,
+  CAST(CASE WHEN found THEN floor(least(sure, CASE WHEN thin THEN 0.28 ELSE 1 END, CASE WHEN near OR low THEN 0.49 ELSE 1 END) * 1000 + 0.5) / 1000 WHEN tiny THEN 0.55 ELSE 0.35 END AS DOUBLE) AS confidence, near AS close, thin, low AS low_coverage, NOT found OR near OR thin OR low AS to_confirm FROM y""",
 }
 
 def oracle_sql() -> dict[str, str]:

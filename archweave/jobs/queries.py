@@ -11,7 +11,7 @@ from archweave.contract import DEFAULT_PREFIXES, FLEET, Contract, Layer
 from archweave.derive import facts
 from archweave.functions.names import intent_layer, intent_problem, stable_hash
 from archweave.functions.paths import normalize_path, slice_id
-from archweave.jobs import documents, fleet, governance, inventory, streams
+from archweave.jobs import documents, extensions, fleet, governance, inventory, streams
 from archweave.operators import changes, events, experiments, graph, layers, ratchet, reports
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -376,4 +376,4 @@ def path_hashes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return _found | governance.queries() | fleet.queries() | inventory.queries() | streams.queries() | documents.queries()
+    return _found | governance.queries() | fleet.queries() | inventory.queries() | extensions.queries() | streams.queries() | documents.queries()

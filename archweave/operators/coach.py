@@ -68,3 +68,38 @@ def archetype_scores(signals: DataFrame, weights: DataFrame) -> DataFrame:
     scored = signals.join(sized(weights, SMALL), "signal").groupBy("repo", "archetype").agg(F.sum(F.col("value") * F.col("weight")).alias("score"))
     order = W.partitionBy("repo").orderBy(F.desc("score"), "archetype")
     return scored.select("repo", "archetype", "score", F.row_number().over(order).cast("long").alias("place"), (F.col("score") - F.lead("score").over(order)).alias("margin"))
+
+
+#: What caps a recommendation's confidence, and from where on it needs to be confirmed.
+_CLOSE, _THIN_FILES, _WHOLE = 2, 8, 90
+_THIN_CAP, _UNSURE_CAP = 0.28, 0.49
+_NONE_TINY, _NONE = 0.55, 0.35
+
+
+def recommendations(scores: DataFrame, weights: DataFrame, trees: DataFrame, fallback: str) -> DataFrame:
+    """(repo, archetype, runner_up, score, confidence, close, thin, low_coverage, to_confirm): one row for each tree.
+
+    scores: of ``archetype_scores``; weights (signal, archetype, weight): the positive ones are what an archetype could
+    have scored at most; trees (repo, n_sources, tiny, coverage), coverage in percent, nulls count as none. Confidence
+    is seven tenths the share of that most, three tenths the margin; thin trees, close runners-up and low coverage cap
+    it. Where no archetype scores above zero it is ``fallback``, whose runner-up is the second of the list, if another.
+    """
+    most = weights.groupBy("archetype").agg(F.sum(F.when(F.col("weight") > 0, F.col("weight"))).alias("most"))
+    first = scores.where("place = 1").select("repo", "archetype", F.col("score").alias("first"))
+    second = scores.where("place = 2").select("repo", F.col("archetype").alias("second_name"), F.col("score").alias("second"))
+    rows = trees.join(first, "repo", "left").join(second, "repo", "left").join(sized(most, SMALL), "archetype", "left")
+    tiny = F.coalesce("tiny", F.lit(False))
+    found = F.coalesce(F.col("first") > 0, F.lit(False))
+    close = found & F.coalesce(F.col("first") - F.col("second") <= _CLOSE, F.lit(False))
+    thin = found & ((F.coalesce("n_sources", F.lit(0)) < _THIN_FILES) | tiny)
+    low = F.coalesce("coverage", F.lit(0)) < _WHOLE
+    margin = F.when(F.col("second") > 0, (F.col("first") - F.col("second")) / F.greatest(F.col("first"), F.lit(1))).otherwise(0.25)
+    share = F.col("first") / F.when(F.col("most") > 0, F.col("most")).otherwise(1)
+    sure = F.least(F.lit(1.0), F.greatest(F.lit(0.1), share * 0.7 + margin * 0.3))
+    capped = F.least(sure, F.when(thin, _THIN_CAP).otherwise(1.0), F.when(close | low, _UNSURE_CAP).otherwise(1.0))
+    name = F.when(found, F.col("archetype")).otherwise(fallback)
+    # Halves go up, as in scores elsewhere; doubles as they are, so that ties don't depend on decimals.
+    confidence = F.when(found, F.floor(capped * 1000 + 0.5) / 1000).otherwise(F.when(tiny, _NONE_TINY).otherwise(_NONE))
+    runner = F.when(F.col("second_name") != name, F.col("second_name"))
+    flags = [close.alias("close"), thin.alias("thin"), low.alias("low_coverage"), (~found | close | thin | low).alias("to_confirm")]
+    return rows.select("repo", name.alias("archetype"), runner.alias("runner_up"), F.coalesce("first", F.lit(0)).cast("long").alias("score"), confidence.cast("double").alias("confidence"), *flags)
