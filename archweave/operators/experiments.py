@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from archweave.operators.quantiles import at_rank, medians, value_counts
+from archweave.ship import ship_package
 
 
 def pair_arms(cells: DataFrame) -> DataFrame:
@@ -29,14 +33,79 @@ def first_valid_percentile(cells: DataFrame, share: float) -> DataFrame:
     return found.select("arm", "value", F.when(F.col("value").isNull(), "not_reached").otherwise("reached").alias("status"))
 
 
-def paired_bootstrap(pairs: DataFrame, resamples: int = 1000, seed: int = 7) -> DataFrame:
+#: Pairs that a bootstrap's task holds at once, and draws that it makes at once.
+BLOCK, _DRAWS = 65_536, 1 << 20
+_XX = [np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
+
+
+def _hashed(seeds: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Spark's xxhash64 of int places, each with the hash of the columns before it as its seed."""
+    p1, p2, p3, p5 = _XX
+    h = (seeds + p5 + np.uint64(4)) ^ (places * p1)
+    h = ((h << np.uint64(23)) | (h >> np.uint64(41))) * p2 + p3
+    h = (h ^ (h >> np.uint64(33))) * p2
+    h = (h ^ (h >> np.uint64(29))) * p3
+    return h ^ (h >> np.uint64(32))
+
+
+def _share(times: int, total: int, block: int, size: int, key: int) -> int:
+    """How many of ``times`` draws among ``total`` numbers fall into one block of ``size``; each block finds its own by halving,
+    with draws that all blocks make alike."""
+    low, high, node = 0, -(-total // size), 1
+    while high - low > 1 and times:
+        mid = (low + high) // 2
+        left = (mid - low) * size / (min(high * size, total) - low * size)
+        taken = int(np.random.Generator(np.random.Philox(key=[key, node])).binomial(times, left))
+        low, high, times, node = (low, mid, taken, 2 * node) if block < mid else (mid, high, times - taken, 2 * node + 1)
+    return times
+
+
+def _block_sums(size: int, kind: pa.DataType):
+    """Over the draws of a block (b, k, n_pairs, block, hash, of_block) and its pairs (i, treatment, control): sums per b."""
+
+    def run(draws: pa.Table, pairs: pa.Table) -> pa.Table:
+        names = ["b", "treatment", "control"]
+        order = np.argsort(pairs["i"].to_numpy())
+        treatment, control = (pairs[c].to_numpy()[order] for c in names[1:])
+        if not len(draws) or not len(order):
+            return pa.table([pa.array([], t) for t in (pa.int64(), kind, kind)], names)
+        b, k, seeds = draws["b"].to_numpy(), draws["k"].to_numpy(), draws["hash"].to_numpy().view(np.uint64)
+        total, block = draws["n_pairs"][0].as_py(), draws["block"][0].as_py()
+        times = k * total
+        if total > size:
+            times = np.array([_share(t, total, block, size, h) for t, h in zip(times.tolist(), seeds.tolist(), strict=True)], np.int64)
+            seeds = draws["of_block"].to_numpy().view(np.uint64)
+        sums = np.zeros((2, len(b)), treatment.dtype)
+        ends = np.cumsum(times)
+        for at in range(0, int(ends[-1]), _DRAWS):
+            # Draws of one batch, by the resamples that they belong to.
+            first, last = np.searchsorted(ends, [at, min(at + _DRAWS, ends[-1]) - 1], "right")
+            upto = np.minimum(ends[first : last + 1], at + _DRAWS)
+            since = np.concatenate([[at], upto[:-1]])
+            n = upto - since
+            place = np.arange(at, upto[-1]) - np.repeat(ends[first : last + 1] - times[first : last + 1], n) + 1
+            drawn = _hashed(np.repeat(seeds[first : last + 1], n), place.astype(np.uint64)).view(np.int64) % len(order)
+            held = np.flatnonzero(n)
+            for out, values in zip(sums, (treatment, control), strict=True):
+                out[first + held] += np.add.reduceat(values[drawn], since[held] - at)
+        return pa.table([pa.array(b), pa.array(sums[0], kind), pa.array(sums[1], kind)], names)
+
+    return run
+
+
+def paired_bootstrap(pairs: DataFrame, resamples: int = 1000, seed: int = 7, size: int = BLOCK) -> DataFrame:
     """(lower, upper, estimate) of mean(treatment) / mean(control): repositories are resampled, then their tasks, then replicates.
 
     Each level draws as many as there are, with replacement, by hashes of (seed, resample, place), so partitions and
     retries don't matter and nothing is collected. Draws of one unit are combined to a count before the next level.
+    Replicates are drawn in blocks of ``size`` pairs, each by one Arrow group that returns sums; where a task has more
+    pairs, how many draws fall into each block is drawn first, by halves.
     """
+    ship_package(pairs.sparkSession)
     number = lambda df, by, order: df.withColumn("i", F.row_number().over(W.partitionBy(*by).orderBy(order)) - 1)
-    rows = number(pairs.select("repository_id", "task_id", "pair_id", "control_ms", "treatment_ms"), ["repository_id", "task_id"], "pair_id")
+    exact = isinstance(pairs.schema["treatment_ms"].dataType, IntegralType) and isinstance(pairs.schema["control_ms"].dataType, IntegralType)
+    kind = "long" if exact else "double"
+    rows = number(pairs.select("repository_id", "task_id", "pair_id", F.col("control_ms").cast(kind).alias("control"), F.col("treatment_ms").cast(kind).alias("treatment")), ["repository_id", "task_id"], "pair_id")
     tasks = number(rows.groupBy("repository_id", "task_id").agg(F.count("*").alias("n_pairs")), ["repository_id"], "task_id")
     repositories = tasks.groupBy("repository_id").agg(F.count("*").alias("n_tasks"))
     total = repositories.agg(F.count("*").alias("n_repositories"))
@@ -51,8 +120,14 @@ def paired_bootstrap(pairs: DataFrame, resamples: int = 1000, seed: int = 7) ->
     base = pairs.sparkSession.range(resamples).select(F.col("id").alias("b")).join(total.where("n_repositories > 0"), F.lit(True))
     level = drawn(base, F.col("n_repositories"), "n_repositories").join(repositories, "i").select("b", "repository_id", "n_tasks", "k")
     level = drawn(level, F.col("k") * F.col("n_tasks"), "n_tasks", "repository_id").join(tasks, ["repository_id", "i"]).select("b", "repository_id", "task_id", "n_pairs", "k")
-    level = drawn(level, F.col("k") * F.col("n_pairs"), "n_pairs", "repository_id", "task_id").join(rows, ["repository_id", "task_id", "i"])
-    ratios = level.groupBy("b").agg((F.sum(F.col("k") * F.col("treatment_ms")) / F.sum(F.col("k") * F.col("control_ms"))).alias("ratio"))
+    keys = ["repository_id", "task_id"]
+    blocks = F.sequence(F.lit(0), F.floor((F.col("n_pairs") - 1) / size).cast("int"))
+    hashes = [F.xxhash64(F.lit(seed), F.lit(len(keys)), "b", *keys).alias("hash"), F.xxhash64(F.lit(seed), F.lit(len(keys)), "b", *keys, "block").alias("of_block")]
+    draws = level.select("b", *keys, "n_pairs", "k", F.explode(blocks).alias("block")).select("b", *keys, "n_pairs", "k", "block", *hashes)
+    held = rows.select(*keys, "i", "treatment", "control", F.floor(F.col("i") / size).cast("int").alias("block"))
+    by = [*keys, "block"]
+    sums = draws.groupBy(*by).cogroup(held.groupBy(*by)).applyInArrow(_block_sums(size, pa.int64() if exact else pa.float64()), f"b long, treatment {kind}, control {kind}")
+    ratios = sums.groupBy("b").agg((F.sum("treatment") / F.sum("control")).alias("ratio"))
     point = pairs.agg((F.sum("treatment_ms") / F.sum("control_ms")).alias("estimate"))
     return ratios.agg(F.percentile("ratio", 0.025).alias("lower"), F.percentile("ratio", 0.975).alias("upper")).join(point)
 
