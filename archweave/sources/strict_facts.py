@@ -115,7 +115,9 @@ def read_facts_strictly(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     at = {"repo": key("repo"), "snapshot": key("snapshot")}
     array = lambda name: F.try_variant_get(m[name], "$", "array<variant>")
     row = lambda name: F.transform(F.coalesce(array(name), F.array().cast("array<variant>")), lambda x, i: F.struct(F.lit(name).alias("table"), i.alias("ordinal"), F.try_variant_get(x, "$", "map<string, variant>").alias("f")))
-    rows = cut(lines.select("doc", *[c.alias(n) for n, c in at.items()], F.explode(F.concat(*map(row, FACTS))).alias("x")).select("doc", *at, "x.*"))
+    # The document is dropped before its rows are laid out; else each of them would carry a copy of it.
+    listed = lines.select("doc", *[c.alias(n) for n, c in at.items()], F.concat(*map(row, FACTS)).alias("all"))
+    rows = cut(listed.select("doc", *at, F.explode("all").alias("x")).select("doc", *at, "x.*"))
 
     top = {"repo": TEXT, "snapshot": TEXT, "schemaVersion": VERSIONS, "completeness": COMPLETENESS, **dict.fromkeys((*IDENTITIES, "projectPackageName", "candidateTreeHash", "factsHash"), TEXT)}
     arrays = (*FACTS, "completenessReasons")
