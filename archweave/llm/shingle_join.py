@@ -1,5 +1,11 @@
 """All pairs of texts whose sets of word shingles have a Jaccard similarity of ``least`` or more, joined to components.
 
+Near copies (``near_copies``) are looked for by operator 10 first: SimHash fingerprints of the same shingles, and pairs
+within its three bits from its vantage-point tree (``simhash.neighbours``), a forest; texts of one fingerprint meet the
+one of least key. These pairs are confirmed on the whole sets. Three bits don't reach all pairs of that similarity, and a
+forest's pair may be refused where another one would not, so the join below looks for the rest: pairs that the tree has
+not joined already.
+
 Texts are lower-cased (A-Z) and split at ASCII white space; each run of ``shingle`` words is a shingle, a 64-bit hash;
 fewer words make one; none make the empty set, which is like no other than itself. A key of 64 bits stands for the word
 sequence, so exact copies are one node.
@@ -31,6 +37,7 @@ from pyspark.sql import functions as F
 from archweave.components import components
 from archweave.lineage import cut
 from archweave.llm import bytetext as bt
+from archweave.llm import simhash
 from archweave.ship import ship_package
 
 SHINGLE, LEAST = 5, 0.8
@@ -249,17 +256,17 @@ def star_candidates(sent: DataFrame, least: float = LEAST) -> DataFrame:
     return sent.mapInArrow(run, "u long, v long").distinct()
 
 
-def rest_candidates(sent: DataFrame, roots: DataFrame, known: DataFrame, least: float = LEAST) -> DataFrame:
-    """``shared``, roots (key, root), known (key, sketch) -> distinct pairs (u, v) of keys that have different roots and sketches that leave room.
+def rest_candidates(sent: DataFrame, known: DataFrame, least: float = LEAST) -> DataFrame:
+    """``shared``, known (key, root, sketch) -> distinct pairs (u, v) of keys that have different roots and sketches that leave room.
 
-    Keys without a root are their own. Sketches travel with the keys, once for each shingle that a text shares, so that
-    pairs that they rule out, which are nearly all, never leave the bucket that finds them. So do the first few shared
-    shingles, by bucket: a pair that has one of an earlier bucket in common is told of there, once, and not here again.
+    Sketches travel with the keys, once for each shingle that a text shares, so that pairs that they rule out, which are
+    nearly all, never leave the bucket that finds them. So do the first few shared shingles, by bucket: a pair that has
+    one of an earlier bucket in common is told of there, once, and not here again.
     """
     each = sent.select("bucket", F.explode(F.arrays_zip("h", "key", "n", "at")).alias("x")).select("bucket", "x.*")
     code = F.shiftleft("bucket", 32) + F.col("h").bitwiseAND(F.lit((1 << 32) - 1))
     heads = each.groupBy("key").agg(F.slice(F.array_sort(F.collect_list(code)), 1, _HEADS).alias("heads"))
-    told = known.join(roots, "key", "left").join(heads, "key").select("key", F.coalesce("root", "key").alias("root"), "sketch", "heads")
+    told = known.join(heads, "key").select("key", "root", "sketch", "heads")
 
     def run(table: pa.Table) -> pa.Table:
         columns = [table[c].to_numpy() for c in ("h", "key", "n", "at", "root")]
@@ -307,9 +314,10 @@ def sketches(sets: DataFrame) -> DataFrame:
 
 
 def possible(pairs: DataFrame, known: DataFrame, least: float = LEAST) -> DataFrame:
-    """Pairs whose sketches leave room for that similarity; known (key, sketch), a key once. Without a sketch a pair stays."""
-    side = lambda end, name: known.select(F.col("key").alias(end), F.col("sketch").alias(name))
-    both = pairs.join(side("u", "a"), "u").join(side("v", "b"), "v")
+    """Pairs of different roots whose sketches leave room for that similarity; known (key, root, sketch), a key once.
+    Without a sketch a pair stays."""
+    side = lambda end, name: known.select(F.col("key").alias(end), F.col("root").alias(f"{end}_root"), F.col("sketch").alias(name))
+    both = pairs.join(side("u", "a"), "u").join(side("v", "b"), "v").where("u_root <> v_root")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         full = bytes([255]) * _BINS
@@ -321,11 +329,32 @@ def possible(pairs: DataFrame, known: DataFrame, least: float = LEAST) -> DataFr
     return both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
-def _linked(sent: DataFrame, known: DataFrame, chosen: Callable[[DataFrame], DataFrame], least: float) -> DataFrame:
-    stars = cut(confirmed(possible(star_candidates(sent, least), known, least), chosen, least))
-    of = cut(components(stars))
-    rest = cut(confirmed(rest_candidates(sent, of.withColumnRenamed("node", "key"), known, least), chosen, least))
-    return of if rest.isEmpty() else components(stars.union(rest))
+def tree_pairs(prints: DataFrame) -> DataFrame:
+    """prints (key, fp), a key once -> pairs (u, v) of keys within three bits, from operator 10's vantage-point tree."""
+    first = cut(prints.groupBy("fp").agg(F.min("key").alias("key"), F.count("*").alias("n")))
+    end = lambda name: first.select(F.col("fp").alias(f"{name}_fp"), F.col("key").alias(name))
+    near = simhash.neighbours(first.select("fp")).withColumnsRenamed({"u": "u_fp", "v": "v_fp"}).join(end("u"), "u_fp").join(end("v"), "v_fp")
+    same = prints.join(first.where("n > 1").select("fp", F.col("key").alias("u")), "fp").where("key <> u")
+    return near.select("u", "v").union(same.select("u", F.col("key").alias("v"))).distinct()
+
+
+def _rooted(known: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, root, sketch) of known (key, sketch) and roots (node, root); keys without a root are their own."""
+    return known.join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", F.coalesce("root", "key").alias("root"), "sketch")
+
+
+def _linked(sent: DataFrame, known: DataFrame, chosen: Callable[[DataFrame], DataFrame], least: float, near: DataFrame | None = None) -> DataFrame:
+    """near: pairs to confirm before those of ``sent``, which aren't looked for among what they join."""
+    own = known.select("key", F.col("key").alias("root"), "sketch")
+    links = None
+    if near is not None:
+        links = cut(confirmed(possible(near, own, least), chosen, least))
+        own = _rooted(known, cut(components(links)))
+    stars = cut(confirmed(possible(star_candidates(sent, least), own, least), chosen, least))
+    links = stars if links is None else links.union(stars)
+    of = cut(components(links))
+    rest = cut(confirmed(rest_candidates(sent, _rooted(known, of), least), chosen, least))
+    return of if rest.isEmpty() else components(links.union(rest))
 
 
 def similar(sets: DataFrame, least: float = LEAST, sample: int = SAMPLE, bucket: int = _BUCKET) -> DataFrame:
@@ -337,7 +366,7 @@ def similar(sets: DataFrame, least: float = LEAST, sample: int = SAMPLE, bucket:
 
 
 def _keys(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, tag, key, n, sketch) of each row: n shingles."""
+    """(doc_id, tag, key, n, sketch, fp) of each row: n shingles; fp is operator 10's fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -345,22 +374,24 @@ def _keys(docs: DataFrame, shingle: int) -> DataFrame:
             raw = data.tobytes()
             found = [shingles(raw[s:e], shingle) for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
             keys = np.array([k for k, _ in found], np.uint64).view(np.int64)
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(keys), pa.array([len(h) for _, h in found], pa.int64()), pa.array([sketch(h) for _, h in found], pa.binary())], names=["doc_id", "tag", "key", "n", "sketch"])
+            prints = np.array([simhash.fingerprint(raw[s:e], shingle) for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], np.uint64)
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(keys), pa.array([len(h) for _, h in found], pa.int64()), pa.array([sketch(h) for _, h in found], pa.binary()), pa.array(prints.view(np.int64))], names=["doc_id", "tag", "key", "n", "sketch", "fp"])
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), tag().alias("tag"), text.alias("text")).mapInArrow(run, "doc_id long, tag string, key long, n long, sketch binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), tag().alias("tag"), text.alias("text")).mapInArrow(run, "doc_id long, tag string, key long, n long, sketch binary, fp long")
 
 
 def near_copies(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
-    """(doc_id, tag) of the rows of a component that don't have its smallest (doc_id, tag); rows without doc_id stay."""
+    """(doc_id, tag) of the rows of a component that don't have its smallest (doc_id, tag); rows without doc_id stay.
+    Pairs are operator 10's, within three bits and confirmed, and all others of that similarity."""
     ship_package(docs.sparkSession)
     keyed = cut(_keys(docs, shingle))
     size = keyed.agg(F.count("*").alias("n"), F.sum("n").alias("shingles")).first()
-    rows = keyed.where("doc_id is not null").select("doc_id", "tag", "key", "sketch")
-    own = cut(rows.groupBy("key").agg(F.min(F.struct("doc_id", "tag", "sketch")).alias("first")))
-    known = own.select("key", "first.sketch")
+    rows = keyed.where("doc_id is not null").select("doc_id", "tag", "key", "sketch", "fp")
+    own = cut(rows.groupBy("key").agg(F.min(F.struct("doc_id", "tag", "sketch", "fp")).alias("first")))
+    known, prints = own.select("key", "first.sketch"), own.select("key", "first.fp")
     own = own.select("key", F.struct("first.doc_id", "first.tag").alias("first"))
-    rows = rows.drop("sketch").distinct()
+    rows = rows.drop("sketch", "fp").distinct()
     texts = docs.where("doc_id is not null").withColumn("_tag", tag())
     some = shingle_sets(texts.where(F.pmod(F.xxhash64("_tag"), F.lit(max(1, size["n"] // SAMPLE))) == 0), shingle)
     sent = cut(shared(prefixes(shingle_sets(texts, shingle), some, size["shingles"] or 0, least)))
@@ -371,7 +402,7 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST) -
         of = texts.withColumn("_doc", F.col("doc_id").cast("long")).join(first, ["_doc", "_tag"], "left_semi")
         return shingle_sets(of, shingle).select("key", "hashes")
 
-    linked = cut(_linked(sent, known, chosen, least).join(own, F.col("node") == F.col("key")).select("key", "root", "first"))
+    linked = cut(_linked(sent, known, chosen, least, tree_pairs(prints)).join(own, F.col("node") == F.col("key")).select("key", "root", "first"))
     best = linked.groupBy("root").agg(F.min("first").alias("keeper"))
     keepers = cut(own.join(linked.join(best, "root").select("key", "keeper"), "key", "left").select("key", F.coalesce("keeper", "first").alias("keeper")))
     return rows.join(keepers, "key").where(F.struct("doc_id", "tag") != F.col("keeper")).select("doc_id", "tag").distinct()

@@ -147,8 +147,25 @@ def unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             label[:] = label[label]
 
 
-def link(points: np.ndarray, home: np.ndarray, radius: int) -> np.ndarray:
-    """Roots of all points after joining each to the home points within the radius; all points ask."""
+def joining(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """As ``unite``; gives the linked nodes that joined two trees, which are a forest."""
+    while True:
+        x, y = label[a], label[b]
+        apart = x != y
+        a, b, high, low = a[apart], b[apart], np.maximum(x, y)[apart], np.minimum(x, y)[apart]
+        if not len(a):
+            return
+        order = np.lexsort((low, high))
+        first = order[np.r_[True, high[order][1:] != high[order][:-1]]]
+        label[high[first]] = low[first]
+        while (label[label] != label).any():
+            label[:] = label[label]
+        yield a[first], b[first]
+
+
+def link(points: np.ndarray, home: np.ndarray, radius: int, forest: list | None = None) -> np.ndarray:
+    """Roots of all points after joining each to the home points within the radius; all points ask. ``forest`` is
+    filled with pairs within the radius, as indexes, that span what is joined."""
     label = np.arange(len(points))
     open_ = [(np.arange(len(points)), np.flatnonzero(home))]
     while open_:
@@ -161,7 +178,10 @@ def link(points: np.ndarray, home: np.ndarray, radius: int) -> np.ndarray:
             for at in range(0, len(ask), step):
                 some = ask[at : at + step]
                 i, j = np.nonzero(np.bitwise_count(points[some][:, None] ^ points[held][None, :]) <= radius)
-                unite(label, some[i], held[j])
+                if forest is None:
+                    unite(label, some[i], held[j])
+                else:
+                    forest.extend(joining(label, some[i], held[j]))
             continue
         v, m = split
         d, of = _distance(points[ask], v), _distance(points[held], v)
@@ -170,8 +190,8 @@ def link(points: np.ndarray, home: np.ndarray, radius: int) -> np.ndarray:
     return label
 
 
-def linked(distinct: DataFrame, radius: int = BITS, shard: int = SHARD, sample: int = SAMPLE) -> DataFrame:
-    """distinct (fp) -> (node, root) of every fingerprint that links to another."""
+def _shards(distinct: DataFrame, radius: int, shard: int, sample: int) -> DataFrame:
+    """distinct (fp) -> (shard, fp, home): each fingerprint in its own shard (home), and in all that its ball overlaps."""
     ship_package(distinct.sparkSession)
     spark = distinct.sparkSession
     n = distinct.count()
@@ -187,16 +207,39 @@ def linked(distinct: DataFrame, radius: int = BITS, shard: int = SHARD, sample:
                 cut_ = slice(at, at + (1 << 16))
                 yield pa.record_batch([pa.array(to[cut_], pa.int64()), pa.array(fp[index[cut_]]), pa.array(home[cut_])], names=["shard", "fp", "home"])
 
+    return distinct.select("fp").mapInArrow(deal, "shard long, fp long, home boolean")
+
+
+def _sorted(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    fp, home = table["fp"].to_numpy(), table["home"].to_numpy()
+    order = np.argsort(fp, kind="stable")
+    return fp[order], home[order]
+
+
+def linked(distinct: DataFrame, radius: int = BITS, shard: int = SHARD, sample: int = SAMPLE) -> DataFrame:
+    """distinct (fp) -> (node, root) of every fingerprint that links to another."""
+
     def search(table: pa.Table) -> pa.Table:
-        fp, home = table["fp"].to_numpy(), table["home"].to_numpy()
-        order = np.argsort(fp, kind="stable")
-        fp, home = fp[order], home[order]
+        fp, home = _sorted(table)
         root = link(np.ascontiguousarray(fp).view(np.uint64), home, radius)
         moved = root != np.arange(len(root))
         return pa.table({"u": fp[moved], "v": fp[root[moved]]})
 
-    shards = distinct.select("fp").mapInArrow(deal, "shard long, fp long, home boolean")
-    return components(shards.groupBy("shard").applyInArrow(search, "u long, v long"))
+    return components(_shards(distinct, radius, shard, sample).groupBy("shard").applyInArrow(search, "u long, v long"))
+
+
+def neighbours(distinct: DataFrame, radius: int = BITS, shard: int = SHARD, sample: int = SAMPLE) -> DataFrame:
+    """distinct (fp) -> pairs (u, v) of fingerprints within the radius that join all that ``linked`` joins. Each shard gives
+    a forest of pairs that it has compared, so that a check can follow on pairs, of which there are few."""
+
+    def search(table: pa.Table) -> pa.Table:
+        fp, home = _sorted(table)
+        forest: list[tuple[np.ndarray, np.ndarray]] = []
+        link(np.ascontiguousarray(fp).view(np.uint64), home, radius, forest)
+        u, v = (np.concatenate([pair[i] for pair in forest]) if forest else np.zeros(0, np.int64) for i in (0, 1))
+        return pa.table({"u": fp[u], "v": fp[v]})
+
+    return _shards(distinct, radius, shard, sample).groupBy("shard").applyInArrow(search, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = BITS, shard: int = SHARD) -> DataFrame:

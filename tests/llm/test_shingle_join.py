@@ -5,7 +5,9 @@ import random
 import corpus_pipeline as cp
 import pytest
 
+from archweave.llm import shingle_join
 from archweave.llm.shingle_join import near_copies, shingle_sets, similar
+from archweave.llm.simhash import fingerprint
 
 
 def shingled(text, k=5):
@@ -85,3 +87,31 @@ def test_rows_of_one_doc_id_are_judged_by_their_own_texts(spark):
 
 def test_empty_table(spark):
     assert near_copies(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_stage_takes_links_of_the_fingerprint_tree(spark, monkeypatch):
+    """With nothing from the exact join, copies within three bits still go, and only those that the check confirms."""
+    rnd = random.Random(8)
+    base = [f"w{rnd.randint(0, 5000)}" for _ in range(300)]
+    once = [*base[:-1], "edit"]
+    short = ["same"] * 30 + [f"s{i}" for i in range(12)]  # most shingles are one, repeated: equal bits, sets far apart
+    far = ["same"] * 30 + [f"t{i}" for i in range(12)]
+    texts = {4: base, 9: once, 2: short, 6: far, 5: base + base[:1], 8: [f"z{i}" for i in range(50)]}
+    prints = {d: fingerprint(" ".join(t).encode(), 5) for d, t in texts.items()}
+    bits = lambda a, b: (prints[a] ^ prints[b]).bit_count()
+    assert bits(4, 9) <= 3 and bits(4, 5) <= 3 and bits(2, 6) <= 3
+    df = spark.createDataFrame([(d, " ".join(t)) for d, t in texts.items()], "doc_id long, text string")
+    gone = lambda: sorted(r.doc_id for r in near_copies(df).collect())
+    assert gone() == [5, 9]
+    none = lambda sent, *_: sent.selectExpr("bucket as u", "bucket as v").where("false")
+    monkeypatch.setattr(shingle_join, "star_candidates", none)
+    monkeypatch.setattr(shingle_join, "rest_candidates", none)
+    assert gone() == [5, 9]
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_tree_and_join_together_match_brute_force(spark, seed):
+    texts = corpus(seed)
+    roots = brute_roots(texts)
+    gone = {r.doc_id for r in near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert gone == {i for i, r in enumerate(roots) if r in roots[:i]}

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from archweave.llm.simhash import link, linked, near_duplicates, overlapped, shard_tree
+from archweave.llm.simhash import link, linked, near_duplicates, neighbours, overlapped, shard_tree
 
 
 def brute_print(text):
@@ -74,5 +74,20 @@ def test_tree_loses_no_pair(spark, seed):
     assert sorted(map(sorted, mine.values())) == sorted(sorted(g) for g in groups.values() if len(g) > 1)
 
 
+def test_neighbours_are_within_the_radius_and_span_what_is_linked(spark):
+    rnd = np.random.default_rng(3)
+    points = np.repeat(rnd.integers(0, 2**64, 60, dtype=np.uint64), 12)
+    for _ in range(4):
+        points ^= (np.uint64(1) << rnd.integers(0, 64, len(points)).astype(np.uint64)) * rnd.integers(0, 2, len(points)).astype(np.uint64)
+    points = np.unique(points)
+    pairs = neighbours(spark.createDataFrame([(int(x),) for x in points.view(np.int64)], "fp long"), shard=32).toPandas()
+    u, v = (np.searchsorted(points, pairs[c].to_numpy().view(np.uint64)) for c in "uv")
+    assert np.bitwise_count(points[u] ^ points[v]).max() <= 3 and (u != v).all()
+    root = np.arange(len(points))
+    for a, b in zip(u, v, strict=True):
+        root[root == max(root[a], root[b])] = min(root[a], root[b])
+    assert (root == link(points, np.ones(len(points), bool), 3)).all()
+
+
 def test_empty_table(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
