@@ -62,3 +62,12 @@ def test_evidence_is_the_first_of_all_parts(spark):
 @pytest.mark.parametrize("name", ["compass", "top_residual", "deepening_candidates"])
 def test_lenses_are_those_of_sql(spark, two, name):
     assert difference(spark, queries.queries()[name], oracle.oracle_sql()[name], two) is None
+
+
+def test_candidates_have_lenses_of_all_repositories(spark, tmp_path):
+    """src1 and src10 have one violation each and no smell, so the lens is all that there is to name."""
+    own = {3: "src1", 23: "src1", 8: "src10", 28: "src10"}
+    folder = written(tmp_path, [own.get(i, "other") for i in range(60)])
+    got = queries.queries()["deepening_candidates"](spark, folder).where("repo <> 'other'").orderBy("repo").collect()
+    assert [tuple(r) for r in got] == [(repo, 1, "lens:direction", "residual") for repo in ("src1", "src10")]
+    assert difference(spark, queries.queries()["deepening_candidates"], oracle.oracle_sql()["deepening_candidates"], folder) is None
